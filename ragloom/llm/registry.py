@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import fingerprint, language, mixing, packing, quality, secrets, sharding, simhash
 
-QUERIES: tuple = (simhash.op10_simhash,)
+QUERIES: tuple = (
+    mixing.op2_poisson_mixing,
+    quality.op3_quality_rules,
+    language.op5_language_id,
+    sharding.op6_minimax_shards,
+    secrets.op7_secret_scan,
+    packing.op8_harmonic_packing,
+    fingerprint.op9_weighted_fingerprints,
+    simhash.op10_simhash,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL; only the operators that SQL can express."""
-    return {}
+    return {"op2_poisson_mixing": mixing.OP2_SQL}
