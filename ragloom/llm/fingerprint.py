@@ -104,23 +104,20 @@ def in_ranges(docs: DataFrame, count: int) -> DataFrame:
     row = ids.agg(F.min("f_id"), F.percentile_approx("f_id", [k / count for k in range(1, count)], 20 * count)).first()
     firsts = sorted({row[0], *(row[1] or [])}) if row[0] is not None else [0]
     bounds = F.array(*[F.lit(x).cast("long") for x in firsts])
-    at = _places(bounds, len(firsts))
     both = F.when(F.get(bounds, F.col("f_range")) == F.col("f_id"), F.array(F.struct(F.col("f_range").alias("r"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("f_range") - 1, F.lit(len(firsts))).alias("r"), F.lit(1).alias("tail"))))
     both = both.otherwise(F.array(F.struct(F.col("f_range").alias("r"), F.lit(0).alias("tail"))))
-    spread = keyed.withColumn("f_range", at).withColumn("x", F.explode(both))
+    spread = _with_range(keyed, bounds, len(firsts)).withColumn("x", F.explode(both))
     return spread.select(F.col("x.r").alias("f_range"), F.col("x.tail").alias("f_tail"), "f_id", "doc_id", "text")
 
 
-def _places(bounds: Column, n: int) -> Column:
-    """The index of the last bound at most f_id, by halving."""
-    at, step = F.lit(0), 1
-    while step * 2 < n:
-        step *= 2
-    while step:
-        further = at + step
-        at = F.when(F.get(bounds, further) <= F.col("f_id"), further).otherwise(at)
-        step //= 2
-    return at
+def _with_range(keyed: DataFrame, bounds: Column, n: int) -> DataFrame:
+    """``keyed`` with f_range, the index of the last bound at most f_id, by halving; a column a step."""
+    step = 1 << max(0, n - 1).bit_length()
+    out = keyed.withColumn("f_range", F.lit(0))
+    while step := step // 2:
+        further = F.col("f_range") + step
+        out = out.withColumn("f_range", F.when(F.get(bounds, further) <= F.col("f_id"), further).otherwise(F.col("f_range")))
+    return out
 
 
 def fingerprint_next(docs: DataFrame) -> DataFrame:

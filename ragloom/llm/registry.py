@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, mixing, packing, quality, secrets, sharding, simhash
+from . import fingerprint, html, language, licenses, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES: tuple = (
+    html.op1_html_blocks,
     mixing.op2_poisson_mixing,
     quality.op3_quality_rules,
+    licenses.op4_license_scan,
     language.op5_language_id,
     sharding.op6_minimax_shards,
     secrets.op7_secret_scan,
