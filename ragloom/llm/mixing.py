@@ -99,13 +99,13 @@ present AS (
   SELECT sum(coalesce(weight.w, rest.w)) AS p, sum(n) AS total
   FROM sums CROSS JOIN rest LEFT JOIN weight ON sums.source = weight.source WHERE n > 0),
 rate AS (
-  SELECT sums.source, CASE WHEN n > 0 THEN coalesce(weight.w, rest.w) * total / (p * n) ELSE 0 END AS lambda
+  SELECT sums.source, CASE WHEN n > 0 THEN coalesce(weight.w, rest.w) * total / (p * n) ELSE 0 END AS mean
   FROM sums CROSS JOIN rest CROSS JOIN present LEFT JOIN weight ON sums.source = weight.source),
-steps(source, lambda, k, term, total) AS (
-  SELECT source, lambda, 0, exp(-lambda), exp(-lambda) FROM rate
+steps(source, mean, k, term, total) AS (
+  SELECT source, mean, 0, exp(-mean), exp(-mean) FROM rate
   UNION ALL
-  SELECT source, lambda, k + 1, term * lambda / (k + 1), total + term * lambda / (k + 1)
-  FROM steps WHERE NOT (k + 1 > lambda AND total + term * lambda / (k + 1) = total)),
+  SELECT source, mean, k + 1, term * mean / (k + 1), total + term * mean / (k + 1)
+  FROM steps WHERE NOT (k + 1 > mean AND total + term * mean / (k + 1) = total)),
 drawn AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, weight.source AS listed,
     ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u

@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
-from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ from .common import count_of, hash_sample, words
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: At most about so many labelled rows are learned from.
 SAMPLE_ROWS = 6000
-#: A rule must be so precise on both parts of the sample, cover so many rows, and have at most so many tests.
-PRECISION, LEAST_COVER, MOST_TESTS, MOST_RULES, CUTS = 0.97, 8, 3, 12, 40
+#: A rule must be so precise on the sample, cover so many rejected rows, and have at most so many tests.
+PRECISION, LEAST_COVER, MOST_TESTS, MOST_RULES, CUTS, BEAM = 0.97, 8, 3, 12, 40, 8
 
 #: Name to expression over the statistics; what rules test.
 FEATURES = {
@@ -93,37 +93,50 @@ def base_failed() -> Column:
     return (F.col("q_n_words") < LEAST_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MOST_REPEATED)
 
 
-def _score(rows: list[dict], rule: list[Test]) -> tuple[int, int]:
-    """How many rejected and how many kept rows a rule covers."""
-    got = [r["bad"] for r in rows if all(t.holds(r) for t in rule)]
-    return sum(got), len(got) - sum(got)
-
-
-def _grow(rows: list[dict], candidates: list[Test]) -> list[Test]:
-    """Add the test of the most information gain, until the rule covers no kept row."""
-    rule: list[Test] = []
-    inside = rows
-    while len(rule) < MOST_TESTS:
-        p0, n0 = _score(inside, [])
-        if not p0 or not n0:
-            break
-        best, gain = None, 0.0
-        for test in candidates:
-            p, n = _score(inside, [test])
-            if p >= LEAST_COVER and (g := p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))) > gain + 1e-9:
-                best, gain = test, g
-        if best is None:
-            break
-        rule.append(best)
-        inside = [r for r in inside if best.holds(r)]
-    return rule
-
-
-def _prune(rows: list[dict], rule: list[Test]) -> list[Test]:
+class _Part:
+    """A part of the sample: which rows are rejected, and which each test holds for."""
+
+    def __init__(self, rows: list[dict], tests: list[Test]) -> None:
+        self.bad = np.array([r["bad"] for r in rows], bool)
+        values = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
+        self.holds = np.array([(values[t.feature] >= t.cut) == t.over for t in tests], bool).reshape(len(tests), len(rows))
+
+    def score(self, rule: tuple[int, ...], left: np.ndarray) -> tuple[int, int]:
+        """How many rejected and how many kept rows of those left a rule covers."""
+        got = self.covered(rule) & left
+        return int((got & self.bad).sum()), int((got & ~self.bad).sum())
+
+    def covered(self, rule: tuple[int, ...]) -> np.ndarray:
+        return self.holds[list(rule)].all(0)
+
+
+def _grow(part: _Part, left: np.ndarray) -> tuple[int, ...]:
+    """The conjunction that covers the most rejected rows at PRECISION, by a beam search on information gain."""
+    bad, good = part.bad & left, ~part.bad & left
+    beam, best, most = [((), left)], (), 0
+    for _ in range(MOST_TESTS):
+        found = []
+        for rule, inside in beam:
+            p0, n0 = int((inside & bad).sum()), int((inside & good).sum())
+            p, n = part.holds @ (inside & bad).astype(np.int64), part.holds @ (inside & good).astype(np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p >= LEAST_COVER, p * (np.log2(p / (p + n)) - np.log2(p0 / max(1, p0 + n0))), -1)
+            for k in np.argsort(-gain, kind="stable")[:BEAM]:
+                if gain[k] > 1e-9:
+                    found.append((float(gain[k]), (*rule, int(k)), inside & part.holds[k]))
+            sure = (p >= LEAST_COVER) & (p >= PRECISION * (p + n))
+            if sure.any() and p[sure].max() > most:
+                k = int(np.flatnonzero(sure)[p[sure].argmax()])
+                best, most = (*rule, k), int(p[k])
+        beam = [(rule, inside) for _, rule, inside in sorted(found, key=lambda x: (-x[0], x[1]))[:BEAM]]
+    return best
+
+
+def _prune(part: _Part, left: np.ndarray, rule: tuple[int, ...]) -> tuple[int, ...]:
     """Drop last tests while (rejected - kept) / covered doesn't fall on the other part of the sample."""
 
-    def worth(x: list[Test]) -> float:
-        p, n = _score(rows, x)
+    def worth(x: tuple[int, ...]) -> float:
+        p, n = part.score(x, left)
         return (p - n) / (p + n) if p + n else -1.0
 
     while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
@@ -136,22 +149,26 @@ def learn(rows: list[dict], seed: int = 5) -> list[list[Test]]:
     rows = sorted(rows, key=lambda r: tuple(r[f] for f in FEATURES) + (r["bad"],))
     random.Random(seed).shuffle(rows)
     cut = len(rows) * 2 // 3
-    grow, prune, rules = rows[:cut], rows[cut:], []
-    while len(rules) < MOST_RULES and any(r["bad"] for r in grow):
-        candidates = []
-        for f in FEATURES:
-            # cuts lie halfway between neighbouring values, spread over the rejected rows and over all rows
-            for part in ([r for r in grow if r["bad"]], grow):
-                values = sorted({r[f] for r in part})
-                places = {round(k * (len(values) - 1) / CUTS) for k in range(1, CUTS)} if len(values) > CUTS else set(range(1, len(values)))
-                candidates += [Test(f, over, (values[k - 1] + values[k]) / 2) for k in places if k for over in (True, False)]
-        rule = _prune(prune, _grow(grow, sorted(set(candidates), key=lambda t: (t.feature, t.over, t.cut))))
-        p, n = _score(grow, rule)
-        q, m = _score(prune, rule)
-        if not rule or p + n < LEAST_COVER or p / (p + n) < PRECISION or q + m and q / (q + m) < PRECISION:
+    tests = set()
+    for f in FEATURES:
+        # cuts lie halfway between neighbouring values, spread over the rejected rows and over all rows
+        for part in ([r for r in rows[:cut] if r["bad"]], rows[:cut]):
+            values = sorted({r[f] for r in part})
+            places = {round(k * (len(values) - 1) / CUTS) for k in range(1, CUTS)} if len(values) > CUTS else range(1, len(values))
+            tests |= {Test(f, over, (values[k - 1] + values[k]) / 2) for k in places if k for over in (True, False)}
+    ordered = sorted(tests, key=lambda t: (t.feature, t.over, t.cut))
+    grow, prune = _Part(rows[:cut], ordered), _Part(rows[cut:], ordered)
+    left, other, rules = np.ones(len(grow.bad), bool), np.ones(len(prune.bad), bool), []
+    while ordered and len(rules) < MOST_RULES:
+        rule = _grow(grow, left)
+        if not rule:
+            break
+        rule = _prune(prune, other, rule)
+        (p, n), (q, m) = grow.score(rule, left), prune.score(rule, other)
+        if p + q < PRECISION * (p + q + n + m):
             break
-        rules.append(rule)
-        grow, prune = ([r for r in part if not all(t.holds(r) for t in rule)] for part in (grow, prune))
+        rules.append([ordered[k] for k in rule])
+        left, other = left & ~grow.covered(rule), other & ~prune.covered(rule)
     return rules
 
 
