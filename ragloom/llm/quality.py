@@ -110,10 +110,10 @@ class _Part:
         return self.holds[list(rule)].all(0)
 
 
-def _grow(part: _Part, left: np.ndarray) -> tuple[int, ...]:
-    """The conjunction that covers the most rejected rows at PRECISION, by a beam search on information gain."""
+def _grow(part: _Part, left: np.ndarray) -> list[tuple[int, ...]]:
+    """Conjunctions of PRECISION by a beam search on information gain, those that cover the most rejected rows first."""
     bad, good = part.bad & left, ~part.bad & left
-    beam, best, most = [((), left)], (), 0
+    beam, best = [((), left)], []
     for _ in range(MOST_TESTS):
         found = []
         for rule, inside in beam:
@@ -125,11 +125,10 @@ def _grow(part: _Part, left: np.ndarray) -> tuple[int, ...]:
                 if gain[k] > 1e-9:
                     found.append((float(gain[k]), (*rule, int(k)), inside & part.holds[k]))
             sure = (p >= LEAST_COVER) & (p >= PRECISION * (p + n))
-            if sure.any() and p[sure].max() > most:
-                k = int(np.flatnonzero(sure)[p[sure].argmax()])
-                best, most = (*rule, k), int(p[k])
+            at = np.flatnonzero(sure)
+            best += [(int(-p[k]), len(rule), (*rule, int(k))) for k in at[np.argsort(-p[at], kind="stable")[:BEAM]]]
         beam = [(rule, inside) for _, rule, inside in sorted(found, key=lambda x: (-x[0], x[1]))[:BEAM]]
-    return best
+    return [rule for *_, rule in sorted(best)]
 
 
 def _prune(part: _Part, left: np.ndarray, rule: tuple[int, ...]) -> tuple[int, ...]:
@@ -159,13 +158,14 @@ def learn(rows: list[dict], seed: int = 5) -> list[list[Test]]:
     ordered = sorted(tests, key=lambda t: (t.feature, t.over, t.cut))
     grow, prune = _Part(rows[:cut], ordered), _Part(rows[cut:], ordered)
     left, other, rules = np.ones(len(grow.bad), bool), np.ones(len(prune.bad), bool), []
-    while ordered and len(rules) < MOST_RULES:
-        rule = _grow(grow, left)
-        if not rule:
-            break
-        rule = _prune(prune, other, rule)
+
+    def sure(rule: tuple[int, ...]) -> bool:
         (p, n), (q, m) = grow.score(rule, left), prune.score(rule, other)
-        if p + q < PRECISION * (p + q + n + m):
+        return p + q >= PRECISION * (p + q + n + m)
+
+    while ordered and len(rules) < MOST_RULES:
+        rule = next((r for r in (_prune(prune, other, r) for r in _grow(grow, left)) if sure(r)), None)
+        if rule is None:
             break
         rules.append([ordered[k] for k in rule])
         left, other = left & ~grow.covered(rule), other & ~prune.covered(rule)
