@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import catalog, dedup, vector
+
+MODULES: tuple = (vector, catalog, dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
