@@ -46,6 +46,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def filter_after(df: DataFrame, condition: Column) -> DataFrame:
+    """``df`` filtered above its own projections.
+
+    A filter on a costly column is otherwise pushed below them, with the column's whole expression in place of its
+    name, and inside a lambda that is computed again for each element. A column that depends on the task keeps
+    the filter where it is.
+    """
+    return df.withColumn("filter_task", F.spark_partition_id()).filter(condition & (F.col("filter_task") >= 0)).drop("filter_task")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
