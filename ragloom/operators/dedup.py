@@ -11,24 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import SPACE, filter_after
 from ..sources.sinks import checkpointed
 
 NEAR, SAME, SIZE = 0.6, 0.98, 10
 
 
-def shingles(text: Column, size: int = SIZE) -> Column:
-    """The distinct character n-grams of a text without white space, as 64-bit hashes; a shorter text has none."""
-    bare = F.regexp_replace(text, f"[{SPACE}]+", "")
-    n = F.length(bare)
-    grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.substring(bare, i, F.lit(size))))
+def shingles(chars: Column, size: int = SIZE) -> Column:
+    """The distinct n-grams of an array of characters, as 64-bit hashes; fewer characters have none."""
+    n = F.size(chars)
+    grams = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(size)]))
     return F.when(n >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Rows (doc_id, lang, shingles, n)."""
-    bare = docs.select("doc_id", "lang", F.regexp_replace("text", f"[{SPACE}]+", "").alias("bare"))
-    return bare.select("doc_id", "lang", shingles(F.col("bare"), size).alias("shingles")).withColumn("n", F.size("shingles"))
+    """Rows (doc_id, lang, shingles, n). Texts are read without white space; characters are taken apart once."""
+    chars = F.regexp_extract_all(F.regexp_replace("text", f"[{SPACE}]+", ""), F.lit("(?s)."), F.lit(0))
+    split = docs.select("doc_id", "lang", chars.alias("chars"))
+    return split.select("doc_id", "lang", shingles(F.col("chars"), size).alias("shingles")).withColumn("n", F.size("shingles"))
 
 
 def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:
@@ -36,7 +36,7 @@ def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> Dat
 
     A class is the documents of one set of shingles, named by the least doc_id.
     """
-    sets = shingle_sets(docs, size).filter("n > 0").withColumn("key", F.xxhash64(F.sort_array("shingles")))
+    sets = filter_after(shingle_sets(docs, size).withColumn("key", F.xxhash64(F.sort_array("shingles"))), F.col("n") > 0)
     classes = sets.groupBy("lang", "key", "n").agg(F.min("doc_id").alias("id"))
     members = sets.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "lang", "shingles", "n")
     each = members.select("id", "lang", "n", F.explode("shingles").alias("s"))
@@ -58,7 +58,7 @@ def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> Dat
 
 def class_members(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows (doc_id, class_id) for documents with shingles."""
-    sets = shingle_sets(docs, size).filter("n > 0").select("doc_id", "lang", "n", F.xxhash64(F.sort_array("shingles")).alias("key"))
+    sets = filter_after(shingle_sets(docs, size).select("doc_id", "lang", "n", F.xxhash64(F.sort_array("shingles")).alias("key")), F.col("n") > 0)
     least = sets.groupBy("lang", "key", "n").agg(F.min("doc_id").alias("class_id"))
     return sets.join(least, ["lang", "key", "n"]).select("doc_id", "class_id")
 
