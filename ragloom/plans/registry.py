@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, dedup, vector
+from . import catalog, chunking, dedup, vector
 
-MODULES: tuple = (vector, catalog, dedup)
+MODULES: tuple = (vector, catalog, dedup, chunking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
