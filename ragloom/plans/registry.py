@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, chunking, dedup, vector
+from . import catalog, chunking, dedup, evaluation, markup, vector
 
-MODULES: tuple = (vector, catalog, dedup, chunking)
+MODULES: tuple = (vector, catalog, dedup, chunking, evaluation, markup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
