@@ -36,7 +36,8 @@ def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> Dat
 
     A class is the documents of one set of shingles, named by the least doc_id.
     """
-    sets = filter_after(shingle_sets(docs, size).withColumn("key", F.xxhash64(F.sort_array("shingles"))), F.col("n") > 0)
+    # the sets are used four times and dear to make, so they are written once
+    sets = checkpointed(filter_after(shingle_sets(docs, size).withColumn("key", F.xxhash64(F.sort_array("shingles"))), F.col("n") > 0))
     classes = sets.groupBy("lang", "key", "n").agg(F.min("doc_id").alias("id"))
     members = sets.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "lang", "shingles", "n")
     each = members.select("id", "lang", "n", F.explode("shingles").alias("s"))
