@@ -19,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the contract, in its order: kind, pattern, the group that must be long, its least length.
+#: Fixed patterns of the contract, in its order: kind, pattern, the group that must be long, its least length, and
+#: words of which a match has one, after lower-casing. A run of hexadecimal digits, or one after AKIA, is matched as
+#: a whole or not at all, so there the least length may be part of the pattern.
 BASE = (
-    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("password", "passwd", "secret", "token", "apikey", "api_key")),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, ("akia",)),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24, ()),
 )
-CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]{20,}", 20
+CANDIDATE, LEAST = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 20
 NOT_RANDOM, RATE = 0.001, 0.01
 #: Encoding: what its tokens look like, its alphabet, how often two symbols of the null hypothesis agree.
 #: For letters that is about 0.066 in English text; for hexadecimal digits twice the uniform chance.
@@ -39,9 +41,11 @@ ENCODINGS = (
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,token:string>>"
 
 
-def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, cues: tuple[str, ...] = ()) -> Column:
     """Matches from left to right, as (start, rank, end, kind, token) in code points, those with a short group left out.
 
+    Finding a word is much cheaper than a search that ignores case, so only texts with one of ``cues`` are searched.
+
     The text between matches, as ``split`` gives it, and the matches themselves tell where each match starts.
     """
     p = F.lit(pattern)
@@ -56,7 +60,13 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["token"].alias("token")))
         return F.struct((start + x["n"]).alias("at"), F.when(x["part"] >= least, F.concat(a["found"], one)).otherwise(a["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, none, step, lambda a: a["found"])).otherwise(empty)
+    found = text.rlike(pattern)
+    if cues:
+        hinted = F.contains("x_low", F.lit(cues[0]))
+        for cue in cues[1:]:
+            hinted = hinted | F.contains("x_low", F.lit(cue))
+        found = hinted & found
+    return F.when(found, F.aggregate(both, none, step, lambda a: a["found"])).otherwise(empty)
 
 
 def _normal(z: Column) -> Column:
@@ -132,9 +142,9 @@ def battery(spans: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with x_text, x_assign, x_access, x_hex (spans of the base kinds) and x_maybe (all candidates)."""
-    step = docs.withColumn("x_text", F.coalesce(F.col(text), F.lit("")))
-    step = step.withColumns({f"x_{kind}": _spans(F.col("x_text"), kind, rank, pattern, group, least) for rank, (kind, pattern, group, least) in enumerate(BASE)})
+    """``docs`` with x_text, x_low, x_assign, x_access, x_hex (spans of the base kinds) and x_maybe (all candidates)."""
+    step = docs.withColumn("x_text", F.coalesce(F.col(text), F.lit(""))).withColumn("x_low", F.lower("x_text"))
+    step = step.withColumns({f"x_{kind}": _spans(F.col("x_text"), kind, rank, pattern, group, least, cues) for rank, (kind, pattern, group, least, cues) in enumerate(BASE)})
     return step.withColumn("x_maybe", _spans(F.col("x_text"), "random", len(BASE), CANDIDATE, 0, LEAST))
 
 
