@@ -64,21 +64,28 @@ def class_members(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return sets.join(least, ["lang", "key", "n"]).select("doc_id", "class_id")
 
 
-def content_exclusion(live: DataFrame, pairs: DataFrame, same: float = SAME, rounds: int = 50) -> DataFrame:
+def content_exclusion(live: DataFrame, pairs: DataFrame, same: float = SAME) -> DataFrame:
     """D3: rows (doc_id, excluded_by) for live documents (doc_id, in order) and their pairs (a < b, jaccard).
 
     A document is excluded by the first earlier one of similarity ``same`` or more that isn't excluded itself: an
-    excluded document excludes none. Round by round, those whose earlier partners are all decided are decided.
+    excluded document excludes none. Round by round, those whose earlier partners are all decided are decided: at
+    least the first open one. Documents without pairs stay out of the rounds.
     """
     edges = pairs.filter(F.col("jaccard") >= same).select("a", "b")
-    decided = live.select("doc_id", F.lit(None).cast("long").alias("by")).join(edges.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    for _ in range(rounds):
-        open_ = live.join(decided, "doc_id", "left_anti").select("doc_id")
-        if open_.isEmpty():
+    paired = checkpointed(live.join(edges.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id", "left_semi"))
+    alone = live.join(paired, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("by"))
+    decided = paired.select("doc_id", F.lit(None).cast("long").alias("by")).join(edges.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    left = None
+    while True:
+        open_ = checkpointed(paired.join(decided, "doc_id", "left_anti").select("doc_id"))
+        before, left = left, open_.count()
+        if not left:
             break
+        if left == before:
+            raise RuntimeError(f"{left} documents have earlier partners that aren't live")
         known = edges.join(open_, edges.b == open_.doc_id, "left_semi").join(decided.select(F.col("doc_id").alias("a"), F.lit(True).alias("ready"), "by"), "a", "left")
         step = known.groupBy("b").agg(F.count_if(F.col("ready").isNull()).alias("waits"), F.min(F.when(F.col("ready") & F.col("by").isNull(), F.col("a"))).alias("by"), F.min(F.when(F.col("ready").isNull(), F.col("a"))).alias("first_open"))
         # an earlier exclusion than any open partner's is final too
         done = step.filter("waits = 0 or by < first_open").select(F.col("b").alias("doc_id"), "by")
         decided = checkpointed(decided.unionByName(done))
-    return decided.select("doc_id", F.col("by").alias("excluded_by"))
+    return alone.unionByName(decided).select("doc_id", F.col("by").alias("excluded_by"))

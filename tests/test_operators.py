@@ -57,6 +57,14 @@ def test_exclusion_is_not_transitive(spark):
     assert {r.doc_id: r.excluded_by for r in dedup.content_exclusion(live, pairs).collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None}
 
 
+def test_exclusion_decides_long_chains(spark):
+    """Each revision is the same as the one before only, so that a round decides one of them."""
+    n = 54
+    live = spark.createDataFrame([(k,) for k in range(n)], "doc_id long")
+    pairs = spark.createDataFrame([(k, k + 1, 0.99) for k in range(n - 1)], "a long, b long, jaccard double").coalesce(1)
+    assert {r.doc_id: r.excluded_by for r in dedup.content_exclusion(live.coalesce(1), pairs).collect()} == {k: k - 1 if k % 2 else None for k in range(n)}
+
+
 def test_short_texts_have_no_shingles_and_languages_don_t_mix(spark):
     docs = spark.createDataFrame([(1, "en", "short"), (2, "en", "the same long text here"), (3, "de", "the same long text here"), (4, "en", "the same long text here."), (5, "en", None)], "doc_id long, lang string, text string")
     assert [(r.a, r.b) for r in dedup.jaccard_pairs(docs).collect()] == [(2, 4)]
