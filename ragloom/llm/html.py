@@ -7,8 +7,7 @@ It is trained on pages that ``sample_page`` makes, whose blocks' labels are know
 some seconds, once for each driver process.
 
 Nulls: a null or empty html has no blocks: text "". A null page_id or url is kept. Very long pages are read whole;
-their blocks are labelled in windows of at most WINDOW, each with the blocks around it. Repeated rows are
-labelled alike. An empty table gives no rows. Extra columns are ignored.
+both directions run over all of a page's blocks, and all of a block's path counts. Repeated rows are labelled alike. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +38,8 @@ SIBLINGS = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th"
 CONTAINERS = frozenset("article aside blockquote body button div dl fieldset footer form header li main menu nav ol section table td th ul".split())
 TAGS, CLASSES, WORDS, SHARES = 48, 64, 48, 8
 WIDTH = 2 * TAGS + CLASSES + WORDS + SHARES
-HIDDEN_UNITS, WINDOW, AROUND, BATCH = 20, 256, 32, 64
+#: BATCH pages at most go through the network at once, of BATCH_BLOCKS blocks in all if more than one.
+HIDDEN_UNITS, BATCH, BATCH_BLOCKS = 20, 64, 20_480
 TRAIN_PAGES, EPOCHS, SEED = 2000, 5, 3
 
 
@@ -152,7 +152,7 @@ def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
     out = np.zeros((len(found), WIDTH), np.float32)
     for k, (path, text, links) in enumerate(found):
         row = out[k]
-        for tag, names in path[-12:]:
+        for tag, names in path:
             row[_TAGS[tag]] = 1
             for name in names:
                 row[2 * TAGS + _CLASSES[name]] = 1
@@ -182,8 +182,8 @@ class Labeller:
         self.p["o"] = r.normal(0, 0.2, (2 * units,)).astype(np.float32)
         self.p["z"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction over x (batch, steps, WIDTH); a masked step keeps the state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """States of one direction over x (batch, steps, WIDTH); a masked step keeps the state. keep: for gradients."""
         u, n, steps = self.units, len(x), x.shape[1]
         drive = (x.reshape(-1, WIDTH) @ self.p[f"x{d}"]).reshape(n, steps, 4 * u) + self.p[f"c{d}"]
         h, c = np.zeros((n, u), np.float32), np.zeros((n, u), np.float32)
@@ -196,14 +196,15 @@ class Labeller:
             new = f * c + i * g
             tanh = np.tanh(new)
             m = mask[:, t : t + 1]
-            kept.append((t, h, c, i, f, o, g, tanh, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, tanh, m))
             h, c = m * (o * tanh) + (1 - m) * h, m * new + (1 - m) * c
             out[:, t] = h
         return out, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """The chance of each block to be article."""
-        both = np.concatenate([self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]], 2)
+        both = np.concatenate([self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]], 2)
         return 1 / (1 + np.exp(-(both @ self.p["o"] + self.p["z"])))
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
@@ -248,20 +249,14 @@ class Labeller:
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, which blocks are article. Long pages go in windows with blocks around them."""
-        parts = []
-        for k, x in enumerate(pages):
-            for at in range(0, len(x), WINDOW):
-                low, high = max(0, at - AROUND), min(len(x), at + WINDOW + AROUND)
-                parts.append((k, at, low, x[low:high]))
+        """For each page, which blocks are article. Pages of like length go together, each whole."""
         out = [np.zeros(len(x), bool) for x in pages]
-        parts.sort(key=lambda p: len(p[3]))
-        for first in range(0, len(parts), BATCH):
-            some = parts[first : first + BATCH]
-            scored = self.scores(*padded([p[3] for p in some]))
-            for (k, at, low, x), row in zip(some, scored, strict=True):
-                end = min(at + WINDOW, len(out[k]))
-                out[k][at:end] = row[at - low : end - low] > 0.5
+        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+        while order:
+            size = max(1, min(BATCH, BATCH_BLOCKS // len(pages[order[-1]])))
+            some, order = order[-size:], order[:-size]
+            for k, row in zip(some, self.scores(*padded([pages[k] for k in some])), strict=True):
+                out[k] = row[: len(out[k])] > 0.5
         return out
 
 

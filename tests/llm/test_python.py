@@ -22,6 +22,27 @@ def test_made_pages_are_labelled():
     assert wrong <= 0.02 * total
 
 
+def test_long_pages_are_labelled_whole():
+    """A state is carried from one end to the other: no block is labelled from a window around it."""
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(1500, html.WIDTH)).astype(np.float32)
+    model = html.Labeller(1)
+    for d in "fb":
+        model.p[f"c{d}"][html.HIDDEN_UNITS : 2 * html.HIDDEN_UNITS] = 12  # what was seen stays
+    pages = [x[:3], x[:0], x, x[:700]]
+    for page, got in zip(pages, model.label(pages), strict=True):
+        want = model.scores(page[None], np.ones((1, len(page)), np.float32))[0] if len(page) else np.zeros(0)
+        sure = abs(want - 0.5) > 1e-3
+        assert len(got) == len(page) and (got[sure] == (want > 0.5)[sure]).all()
+
+
+def test_outer_elements_of_deep_pages_count():
+    inner = "<div>" * 14 + "<p>some words of a text</p>" + "</div>" * 14
+    plain, footer = (html.vectors(html.blocks(f"<{tag}>{inner}</{tag}>")) for tag in ("div", "footer"))
+    assert (plain != footer).any()
+
+
 def test_pages_give_their_articles(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = html.op1_html_blocks(spark, sf_dir).collect()
