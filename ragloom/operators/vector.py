@@ -1,7 +1,7 @@
 """Exact vector search: normalisation (V3), cosine (V6), fusion of several query forms (V7), quotas (V8, V9).
 
-Every stage is a window over one query's rows, so many queries are answered at once. Queries are a small table by
-contract; its size is checked before it is broadcast.
+Every stage is a window over one query's rows, so many queries are answered at once. Few queries are broadcast; many
+are searched in blocks, each against all chunks.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast at once; more are refused, to be searched in blocks.
+#: Queries that may be broadcast at once; more are joined in blocks of about so many, each with blocks of chunks.
 MOST_QUERIES = 10_000
 
 
@@ -24,6 +24,16 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
+def _blocks(chunks: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+    """All pairs without a broadcast: blocks of queries go to all blocks of chunks and the other way round."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = chunks.withColumns({"chunk_block": some("chunk_id", parts), "query_block": among(blocks)})
+    right = queries.withColumns({"query_block": some("query_id", blocks), "chunk_block": among(parts)})
+    return left.join(right.hint("merge"), ["query_block", "chunk_block"]).drop("query_block", "chunk_block")
+
+
 def fused_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """V6, V7: each query with each chunk that isn't excluded for it.
 
@@ -31,9 +41,7 @@ def fused_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Adds score_original, and score: the greater of both forms' inner products.
     """
     n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; search at most {MOST_QUERIES} at once")
-    pairs = chunks.crossJoin(F.broadcast(queries)).filter(~F.array_contains("exclude", F.col("chunk_id")))
+    pairs = (chunks.crossJoin(F.broadcast(queries)) if n <= MOST_QUERIES else _blocks(chunks, queries, -(-n // MOST_QUERIES))).filter(~F.array_contains("exclude", F.col("chunk_id")))
     scored = pairs.withColumn("score_original", dot(F.col("vector"), F.col("original"))).withColumn("translated_score", dot(F.col("vector"), F.col("translated")))
     return scored.select("query_id", "chunk_id", "doc", "doc_type", "score_original", F.greatest("score_original", "translated_score").alias("score"))
 
