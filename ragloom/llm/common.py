@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import filter_after
+from ..sources.sinks import checkpointed, delete, shared_folder
+
+__all__ = ["checkpointed", "count_of", "crc32_text", "delete", "filter_after", "hash_sample", "shared_folder", "shuffle_partitions", "small_batches", "unused", "words", "written"]
+
 #: Words are what lies between runs of these (space, tab, line feed, vertical tab, form feed, return).
 SPACE = "[ \\x09-\\x0D]+"
 #: Rows that one Arrow batch to a Python worker may hold, and its size: long texts stay within memory.
@@ -34,26 +39,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that its lineage ends there.
-
-    The cluster names the folder in spark.checkpoint.dir. Only where neither that setting nor a
-    folder of the context exists (a session of its own on one machine) one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ragloom-"))
-    return df.checkpoint()
-
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its path for ``delete``: a checkpoint of which a reader takes the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/ragloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
-def filter_after(df: DataFrame, condition: Column) -> DataFrame:
-    """``df`` filtered above its own projections.
 
-    A filter on a costly column is otherwise pushed below them, with the column's whole expression in place of its
-    name, and inside a lambda that is computed again for each element. A column that depends on the task keeps
-    the filter where it is.
-    """
-    return df.withColumn("filter_task", F.spark_partition_id()).filter(condition & (F.col("filter_task") >= 0)).drop("filter_task")
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the like, that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

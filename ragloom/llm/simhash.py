@@ -12,7 +12,7 @@ columns are ignored by ``fingerprints`` and kept by ``drop_near_copies``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,13 +41,18 @@ def shingle_hashes(text: str | None, size: int, start: int = 0) -> Iterator[np.n
         yield np.array([digest(b" ".join(x), SEED) for x in zip(*(part[k:] for k in range(size)))], np.uint64)
 
 
-def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint: a bit is 1 if more than half of the shingle hashes have it. No words: 0."""
+def fingerprint(parts: Iterable[np.ndarray]) -> int:
+    """The 64-bit fingerprint of arrays of hashes: a bit is 1 if more than half of the hashes have it. No hashes: 0."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, size):
+    for h in parts:
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
-    return sum(1 << i for i in range(64) if 2 * int(ones[i]) > n)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The fingerprint of a text's word shingles."""
+    return fingerprint(shingle_hashes(text, size))
 
 
 def _signed(x: int) -> int:
