@@ -5,10 +5,10 @@ What concerns one text is an expression over its lines; only K2 and K3 look at a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, normalise, strip
+from ..functions.text import SPACE, filter_after, normalise, settled, stretches, strip
 
 #: Fixed shapes of headings, bullets and sentence ends of Korean public documents and journals.
 HEADING = "^(#{1,6} |[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\\.\\s|\\d{1,2}\\.\\s|[가-하]\\.\\s|\\d{1,2}\\)\\s|[①-⑳]\\s?|제\\s?\\d+\\s?[장절]\\s)"
@@ -81,18 +81,21 @@ def with_paragraphs(df: DataFrame, lines: str, out: str = "paragraphs") -> DataF
     lines are joined by a space, or by nothing where a long line ends and the next begins within a Hangul word.
     Each line looks at the non-blank one before it only, so this is a projection, not a fold.
     """
-    seen = df.withColumn("k_all", F.transform(lines, lambda raw, i: F.struct(raw.alias("raw"), strip(raw).alias("s"), i.alias("i"))))
-    seen = seen.withColumn("k_full", F.filter("k_all", lambda x: x["s"] != ""))
+    each = F.transform(lines, lambda raw, i: F.struct(raw.alias("raw"), strip(raw).alias("s"), i.alias("i")))
+    seen = df.withColumn("k_full", settled(F.filter(each, lambda x: x["s"] != "")))
+    # each line beside the one before it, null for the first
+    seen = seen.withColumn("k_pairs", F.zip_with("k_full", F.slice(F.concat(F.array(F.lit(None)), "k_full"), F.lit(1), F.size("k_full")), lambda x, b: F.struct(x.alias("x"), b.alias("b"))))
 
-    def piece(x: Column, j: Column) -> Column:
-        before = F.get("k_full", j - 1)
+    def piece(pair: Column) -> Column:
+        before, x = pair["b"], pair["x"]
         prev, cur = before["s"], x["s"]
         # Java's $ also stops before a last line end, but stripped lines have none
-        starts = (j == 0) | (x["i"] - before["i"] > 1) | (prev.rlike(HEADING) & (F.length(prev) <= HEADING_MOST)) | cur.rlike(BULLET) | cur.rlike(HEADING) | prev.rlike(SENTENCE_END)
+        starts = (x["i"] - before["i"] > 1) | (prev.rlike(HEADING) & (F.length(prev) <= HEADING_MOST)) | cur.rlike(BULLET) | cur.rlike(HEADING) | prev.rlike(SENTENCE_END)
         split_word = ~before["raw"].endswith(" ") & (F.length(prev) >= WRAP_LEAST) & prev.rlike("[가-힣]$") & cur.rlike("^[가-힣]")
-        return F.concat(F.when(j == 0, "").when(starts, MARK).when(split_word, "").otherwise(" "), cur)
+        return F.concat(F.when(before.isNull(), "").when(starts, MARK).when(split_word, "").otherwise(" "), cur)
 
-    return seen.withColumn("k_text", F.array_join(F.transform("k_full", piece), "")).withColumn(out, F.when(F.col("k_text") == "", F.array().cast("array<string>")).otherwise(F.split("k_text", MARK))).drop("k_all", "k_full", "k_text")
+    joined = seen.withColumn("k_text", settled(F.array_join(F.transform("k_pairs", piece), "")))
+    return joined.withColumn(out, settled(F.when(F.col("k_text") == "", F.array().cast("array<string>")).otherwise(F.split("k_text", MARK)))).drop("k_full", "k_pairs", "k_text")
 
 
 def without_noise(text: Column, edges: Column, least_edge: int = 10, least_letters: int = 3) -> Column:
@@ -109,17 +112,23 @@ def sections(docs: DataFrame, skip: str) -> DataFrame:
     """K7: rows (doc_id, section_no, title, body) of texts with '## ' titles; '# ' lines go, deeper titles are text.
 
     Sections whose title matches ``skip`` go, and so does what stands before the first title. A text without any
-    title is one untitled section.
+    title is one untitled section. A section without lines goes.
     """
-    lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    title = F.regexp_extract("line", "^## (.+)", 1)
-    own = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("is_title", title != "").withColumn("title", title).withColumn("section_no", F.sum(F.col("is_title").cast("long")).over(own))
-    body = F.filter(F.array_sort(F.collect_list(F.struct("pos", "line", "is_title"))), lambda x: ~x["is_title"] & ~x["line"].startswith("# "))
-    grouped = marked.groupBy("doc_id", "section_no").agg(strip(F.max("title")).alias("title"), body.alias("body"))
-    titled = F.max("section_no").over(Window.partitionBy("doc_id")) > 0
-    kept = grouped.withColumn("titled", titled).filter((F.col("section_no") > 0) | ~F.col("titled")).filter((F.size("body") > 0) & ~F.lower("title").rlike(skip))
-    return kept.select("doc_id", "section_no", "title", F.array_join(F.transform("body", lambda x: x["line"]), "\n").alias("body"))
+    lines = docs.select("doc_id", settled(lines_of(F.col("text"))).alias("lines"))
+    place = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike("^## ."), i)), lambda i: i.isNotNull())
+    marked = lines.withColumn("titles", settled(place))
+    titled = F.size("titles") > 0
+    # untitled: one stretch of all lines, whose first one isn't left out
+    marked = marked.withColumn("starts", F.when(titled, F.col("titles")).otherwise(F.array(F.lit(0))))
+    skipped = F.when(titled, 1).otherwise(0)
+
+    def section(k: Column, at: Column, end: Column) -> Column:
+        body = F.filter(F.slice("lines", at + skipped + 1, end - at - skipped), lambda x: ~x.startswith("# ") & ~x.rlike("^## ."))
+        title = F.when(titled, strip(F.regexp_extract(F.get("lines", at), "^## (.+)", 1))).otherwise("")
+        return F.struct((k + skipped).cast("long").alias("section_no"), title.alias("title"), F.size(body).alias("n"), F.array_join(body, "\n").alias("body"))
+
+    found = marked.select("doc_id", F.explode(settled(stretches(F.col("lines"), F.col("starts"), section))).alias("x")).select("doc_id", "x.*")
+    return filter_after(found, (F.col("n") > 0) & ~F.lower("title").rlike(skip)).select("doc_id", "section_no", "title", "body")
 
 
 def heading(text: Column) -> Column:

@@ -85,8 +85,8 @@ def text_char_count(spark, d):
 
 
 def text_letter_share(spark, d):
-    """X8, on texts of which every third gets as many Hangul syllables as a fifth of its length."""
-    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 200), F.repeat(F.lit("가나"), (F.col("doc_id") % 60).cast("int")))).otherwise(F.substring("text", 1, 200))
+    """X8, on texts of which every third gets some Hangul syllables."""
+    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.repeat(F.lit("가나"), (F.col("doc_id") % 600).cast("int")))).otherwise(F.col("text"))
     return tables.table(spark, d, "documents").select("doc_id", F.round(text.letter_share(mixed), 6).alias("share"), text.language_of(mixed).alias("lang"))
 
 
@@ -157,7 +157,7 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 OR doc_id % 11 = 0 THE
     "text_letter_share": """
 SELECT doc_id, round(h / nullif(h + l, 0), 6) AS share, CASE WHEN h + l = 0 THEN '' WHEN h / (h + l) >= 0.3 THEN 'ko' ELSE 'en' END AS lang FROM (
   SELECT doc_id, length(regexp_replace(t, '[^가-힣]+', '', 'g'))::DOUBLE AS h, length(regexp_replace(t, '[^A-Za-z]+', '', 'g'))::DOUBLE AS l FROM (
-    SELECT doc_id, substring(text, 1, 200) || CASE WHEN doc_id % 3 = 0 THEN repeat('가나', (doc_id % 60)::INT) ELSE '' END AS t FROM documents))""",
+    SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN repeat('가나', (doc_id % 600)::INT) ELSE '' END AS t FROM documents))""",
     "url_page_expand": """
 SELECT page_id, url FROM pages WHERE page_id % 4 = 0
 UNION ALL

@@ -90,12 +90,12 @@ def chunk_fixed_ctx(spark, d):
 
 
 def _section(spark, d):
-    marked = F.transform("paragraphs", lambda p, i: F.when(i % 6 == 3, F.concat(F.lit("3. "), F.substring(p, 1, 30))).otherwise(p))
+    marked = F.flatten(F.transform("paragraphs", lambda p, i: F.when(i % 6 == 3, F.array(F.concat(F.lit("3. "), F.substring(p, 1, 30)), p)).otherwise(F.array(p))))
     return chunking.section_chunks(_paragraphs(spark, d).select("doc_id", marked.alias("paragraphs")))
 
 
 def chunk_section(spark, d):
-    """K12, with a heading put in place of every sixth paragraph."""
+    """K12, with a heading put before every sixth paragraph."""
     return _section(spark, d).select("doc_id", F.col("group_no").cast("long").alias("group_no"), "section", F.col("piece_no").cast("long").alias("piece_no"), F.md5(F.col("text").cast("binary")).alias("h"))
 
 
@@ -172,7 +172,8 @@ pieces AS (
 _FIXED = f"WITH RECURSIVE {_PARAS.strip()}, body AS (SELECT doc_id, source, array_to_string(ps, chr(10)) AS t FROM paras)" + _windows(500, "doc_id, source")
 _SECTION = (
     f"""WITH RECURSIVE {_PARAS.strip()},
-marked AS (SELECT doc_id, unnest(list_transform(ps, lambda p, i: {{'i': i, 'p': CASE WHEN (i - 1) % 6 = 3 THEN '3. ' || substring(p, 1, 30) ELSE p END}})) AS x FROM paras),
+headed AS (SELECT doc_id, flatten(list_transform(ps, lambda p, i: CASE WHEN (i - 1) % 6 = 3 THEN ['3. ' || substring(p, 1, 30), p] ELSE [p] END)) AS ps FROM paras),
+marked AS (SELECT doc_id, unnest(list_transform(ps, lambda p, i: {{'i': i, 'p': p}})) AS x FROM headed),
 flat AS (SELECT doc_id, x.i AS i, x.p AS p, length(x.p) AS n,
   regexp_matches(x.p, '{_HEAD}') AND length(x.p) <= 60 AND coalesce(try_cast(nullif(regexp_extract(x.p, '^(\\d+)\\)', 1), '') AS INT), 0) <= 15 AS h FROM marked),
 walk AS (

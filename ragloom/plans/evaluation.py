@@ -181,8 +181,8 @@ def snapshot_diff(spark, d):
 
 
 def grading_rubric_split(spark, d):
-    """The first 200 characters' sentences as points."""
-    points = F.replace(F.substring("text", 1, 200), F.lit(". "), F.lit(" / "))
+    """A text's sentences as points."""
+    points = F.replace("text", F.lit(". "), F.lit(" / "))
     return tables.table(spark, d, "documents").select("doc_id", repro.rubric(points).alias("r")).select("doc_id", F.col("r.judgement").alias("judgement"), F.size("r.details").cast("long").alias("details"), F.array_join("r.details", "|").alias("joined"))
 
 
@@ -320,10 +320,10 @@ SELECT conv_id, turn, md5(array_to_string(list_transform(list_filter(ls, lambda
     "fingerprint": "SELECT doc_id, substring(sha256(text), 1, 12) AS h FROM documents",
     "snapshot_diff": """
 SELECT 'labels > ' || doc_id AS path, CASE WHEN doc_id % 11 <> 0 THEN quality::VARCHAR END AS old, CASE WHEN doc_id % 10 <> 0 AND doc_id % 9 <> 0 THEN quality::VARCHAR END AS new
-FROM labels WHERE doc_id % 9 = 0 OR (doc_id % 10 = 0) <> (doc_id % 11 = 0)""",
+FROM labels WHERE (doc_id % 9 = 0 OR (doc_id % 10 = 0) <> (doc_id % 11 = 0)) AND NOT (doc_id % 10 = 0 AND doc_id % 11 = 0)""",
     "grading_rubric_split": """
 SELECT doc_id, p[1] AS judgement, greatest(len(p) - 1, 0) AS details, array_to_string(p[2:], '|') AS joined FROM (
-  SELECT doc_id, list_filter(list_transform(string_split(replace(substring(text, 1, 200), '. ', ' / '), ' / '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)""",
+  SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', ' / '), ' / '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)""",
     "grading_sheet_parse": _SHEET + "SELECT conv_id, turn, no, mark, rest, CASE WHEN turn % 2 = 0 THEN turn END AS violations FROM boxes",
     "grading_score_report": _SHEET + "SELECT 'sheet' || conv_id % 4 AS sheet_id, CASE WHEN no = 0 THEN 'judgement' ELSE 'detail' END AS kind, count(*) AS boxes, count(mark) AS graded, count_if(mark = 1)::BIGINT AS full, round(avg(mark), 6) AS rate FROM boxes GROUP BY 1, 2",
     "embed_cache_misses": "SELECT DISTINCT sha1('m1' || chr(10) || text) AS key, text FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE conv_id % 3 = 0)",

@@ -1,10 +1,11 @@
 """Every query with SQL gives the rows of its SQL."""
 
 import pytest
-from oracle import compare, connect
 
 from ragloom.plans import registry
 
+from .oracle import compare, connect
+
 SQL = registry.oracle_sql()
 
 
