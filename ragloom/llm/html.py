@@ -6,8 +6,10 @@ reads the page's blocks in order and labels each as article or not, so that what
 It is trained on pages that ``sample_page`` makes, whose blocks' labels are known; training is seeded and takes
 some seconds, once for each driver process.
 
-Nulls: a null or empty html has no blocks: text "". A null page_id or url is kept. Very long pages are read whole;
-both directions run over all of a page's blocks, and all of a block's path counts. Repeated rows are labelled alike. An empty table gives no rows. Extra columns are ignored.
+Nulls: a null or empty html has no blocks: text "". A null page_id or url is kept. Very long and very deep pages are
+read whole: a path is shared by the elements below it and its features are kept as bits, vectors are made some
+thousand blocks at a time, and both directions carry their state over all of a page's blocks. A block of just 0.5 isn't
+article. Repeated rows are labelled alike. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -31,29 +34,59 @@ BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style head title template noscript iframe object svg canvas audio video textarea select math".split())
+HIDDEN = frozenset("script style head title template noscript iframe textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another of the same kind ends.
 SIBLINGS = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 CONTAINERS = frozenset("article aside blockquote body button div dl fieldset footer form header li main menu nav ol section table td th ul".split())
 TAGS, CLASSES, WORDS, SHARES = 48, 64, 48, 8
 WIDTH = 2 * TAGS + CLASSES + WORDS + SHARES
-#: BATCH pages at most go through the network at once, of BATCH_BLOCKS blocks in all if more than one.
-HIDDEN_UNITS, BATCH, BATCH_BLOCKS = 20, 64, 20_480
+#: Blocks that go through the network at once, as a batch of pages or as a part of one.
+HIDDEN_UNITS, BATCH, BATCH_BLOCKS = 20, 64, 8192
 TRAIN_PAGES, EPOCHS, SEED = 2000, 5, 3
 
 
+class _Buckets(dict):
+    """Hash buckets of strings, forgotten when there are many."""
+
+    def __init__(self, size: int, kept: int = 300_000) -> None:
+        super().__init__()
+        self.size, self.kept = size, kept
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        out = self[key] = zlib.crc32(key.encode("utf-8", "surrogatepass")) % self.size
+        return out
+
+
+_TAGS, _CLASSES, _WORDS = _Buckets(TAGS), _Buckets(CLASSES), _Buckets(WORDS)
+
+
+class Node:
+    """An open element: its tag, and the features of its whole path as bits: tags, then class words."""
+
+    __slots__ = ("bits", "depth", "names", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None) -> None:
+        self.tag, self.names, self.depth = tag, names, parent.depth + 1 if parent else 1
+        self.bits = (parent.bits if parent else 0) | 1 << _TAGS[tag]
+        for name in names:
+            self.bits |= 1 << (TAGS + _CLASSES[name])
+
+
 class Blocks(HTMLParser):
-    """Collects (path of (tag, class words), text, characters in links) of each block with text."""
+    """Collects (innermost open element or None, text, characters in links) of each block with text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, tuple[str, ...]]] = []
+        self.path: list[Node] = []
+        self.open: Counter = Counter()
         self.hidden = 0
-        self.found: list[tuple[tuple, str, int]] = []
+        self.found: list[tuple[Node | None, str, int]] = []
         self._texts: list[str] = []
         self._links = 0
-        self._at: tuple = ()
+        self._at: Node | None = None
 
     def _end_block(self) -> None:
         if self._texts:
@@ -62,15 +95,20 @@ class Blocks(HTMLParser):
                 self.found.append((self._at, text, self._links))
             self._texts, self._links = [], 0
 
+    def _close(self, k: int) -> None:
+        """End the k-th open element and all within it."""
+        for gone in self.path[k:]:
+            self.open[gone.tag] -= 1
+            self.hidden -= gone.tag in HIDDEN
+        del self.path[k:]
+
     def _pop(self, tags: str) -> None:
         """End open elements among ``tags``, from the innermost one, up to the next container."""
         wanted, k = tags.split(), len(self.path) - 1
-        while k >= 0:
-            tag = self.path[k][0]
+        while k >= 0 and any(self.open[t] for t in wanted):
+            tag = self.path[k].tag
             if tag in wanted:
-                for gone, _ in self.path[k:]:
-                    self.hidden -= gone in HIDDEN
-                del self.path[k:]
+                self._close(k)
             elif tag in CONTAINERS:
                 return
             k -= 1
@@ -78,19 +116,19 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._end_block()
-            if tag in SIBLINGS:
-                self._pop(SIBLINGS[tag])
-            elif self.path and any(t == "p" for t, _ in self.path[-6:]):
-                self._pop("p")
+            self._pop(SIBLINGS.get(tag, "p"))
         if tag == "br":
             self._texts.append(" ")
         if tag in VOID:
             return
         if tag == "body" and self.hidden:
-            self.hidden, self.path = 0, [x for x in self.path if x[0] not in HIDDEN]
+            for k in range(len(self.path) - 1, -1, -1):
+                if self.path[k].tag in HIDDEN:
+                    self._close(k)
         known = dict(attrs)
         names = re.findall("[a-z]+", f"{known.get('class') or ''} {known.get('id') or ''} {known.get('role') or ''}".lower())
-        self.path.append((tag, tuple(names)))
+        self.path.append(Node(tag, tuple(names), self.path[-1] if self.path else None))
+        self.open[tag] += 1
         self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -101,20 +139,19 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_block()
-        for k in range(len(self.path) - 1, -1, -1):
-            if self.path[k][0] == tag:
-                for gone, _ in self.path[k:]:
-                    self.hidden -= gone in HIDDEN
-                del self.path[k:]
-                break
+        if self.open[tag]:
+            k = len(self.path) - 1
+            while self.path[k].tag != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
             return
         if not self._texts:
-            self._at = tuple(self.path)
+            self._at = self.path[-1] if self.path else None
         self._texts.append(data)
-        if any(t == "a" for t, _ in self.path[-4:]):
+        if self.open["a"]:
             self._links += len(data.strip())
 
     def close(self) -> None:
@@ -122,7 +159,7 @@ class Blocks(HTMLParser):
         self._end_block()
 
 
-def blocks(html: str | None) -> list[tuple[tuple, str, int]]:
+def blocks(html: str | None) -> list[tuple[Node | None, str, int]]:
     """The blocks of a page in order."""
     parser = Blocks()
     parser.feed(html or "")
@@ -130,40 +167,23 @@ def blocks(html: str | None) -> list[tuple[tuple, str, int]]:
     return parser.found
 
 
-class _Buckets(dict):
-    """Hash buckets of strings, forgotten when there are many."""
-
-    def __init__(self, size: int, kept: int = 300_000) -> None:
-        super().__init__()
-        self.size, self.kept = size, kept
-
-    def __missing__(self, key: str) -> int:
-        if len(self) >= self.kept:
-            self.clear()
-        out = self[key] = zlib.crc32(key.encode("utf-8", "surrogatepass")) % self.size
-        return out
-
-
-_TAGS, _CLASSES, _WORDS = _Buckets(TAGS), _Buckets(CLASSES), _Buckets(WORDS)
-
-
-def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
-    """A row for each block: tags of its path, its own tag, class words, words, shares."""
-    out = np.zeros((len(found), WIDTH), np.float32)
-    for k, (path, text, links) in enumerate(found):
+def vectors(found: list[tuple[Node | None, str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each block from ``start`` to before ``end``: tags of its path, its own tag, class words, words, shares."""
+    some = found[start:end]
+    out = np.zeros((len(some), WIDTH), np.float32)
+    bits = b"".join((node.bits if node else 0).to_bytes((TAGS + CLASSES) // 8, "little") for node, *_ in some)
+    flags = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+    out[:, :TAGS], out[:, 2 * TAGS : 2 * TAGS + CLASSES] = flags[:, :TAGS], flags[:, TAGS:]
+    for k, (node, text, links) in enumerate(some):
         row = out[k]
-        for tag, names in path:
-            row[_TAGS[tag]] = 1
-            for name in names:
-                row[2 * TAGS + _CLASSES[name]] = 1
-        if path:
-            row[TAGS + _TAGS[path[-1][0]]] = 1
+        if node:
+            row[TAGS + _TAGS[node.tag]] = 1
         words = text.lower().split()
         counts = np.bincount([_WORDS[w] for w in words], minlength=WORDS)
         at = 2 * TAGS + CLASSES
         row[at : at + WORDS] = counts / np.sqrt((counts * counts).sum())
         n, chars = len(words), len(text)
-        row[at + WORDS :] = (min(np.log1p(n) / 6, 2), min(1, links / chars), text[-1] in ".!?…:;\"'”»", min(len(path) / 12, 1), "©" in text or "(c)" in text, k / len(found), chars / max(1, n) / 12, n < 4)
+        row[at + WORDS :] = (min(np.log1p(n) / 6, 2), min(1, links / chars), text[-1] in ".!?…:;\"'”»", min((node.depth if node else 0) / 12, 1), "©" in text or "(c)" in text, (start + k) / len(found), chars / max(1, n) / 12, n < 4)
     return out
 
 
@@ -182,11 +202,14 @@ class Labeller:
         self.p["o"] = r.normal(0, 0.2, (2 * units,)).astype(np.float32)
         self.p["z"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
-        """States of one direction over x (batch, steps, WIDTH); a masked step keeps the state. keep: for gradients."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True, state: list | None = None) -> tuple[np.ndarray, list]:
+        """States of one direction over x (batch, steps, WIDTH); a masked step keeps the state. keep: for gradients.
+
+        ``state`` holds what the direction starts from, and afterwards what it ends with.
+        """
         u, n, steps = self.units, len(x), x.shape[1]
         drive = (x.reshape(-1, WIDTH) @ self.p[f"x{d}"]).reshape(n, steps, 4 * u) + self.p[f"c{d}"]
-        h, c = np.zeros((n, u), np.float32), np.zeros((n, u), np.float32)
+        h, c = state or (np.zeros((n, u), np.float32), np.zeros((n, u), np.float32))
         out, kept = np.zeros((n, steps, u), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = drive[:, t] + h @ self.p[f"h{d}"]
@@ -200,6 +223,8 @@ class Labeller:
                 kept.append((t, h, c, i, f, o, g, tanh, m))
             h, c = m * (o * tanh) + (1 - m) * h, m * new + (1 - m) * c
             out[:, t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -248,17 +273,32 @@ class Labeller:
                     self.p[k] -= (rate * 0.5**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, which blocks are article. Pages of like length go together, each whole."""
+    def label(self, pages: list[list[tuple[Node | None, str, int]]]) -> list[np.ndarray]:
+        """For each page's blocks, which are article. Pages of like length go together; a long one goes in parts."""
         out = [np.zeros(len(x), bool) for x in pages]
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
-            size = max(1, min(BATCH, BATCH_BLOCKS // len(pages[order[-1]])))
+            longest = len(pages[order[-1]])
+            if longest > BATCH_BLOCKS:
+                out[k] = self._label_long(pages[k := order.pop()])
+                continue
+            size = min(BATCH, BATCH_BLOCKS // longest)
             some, order = order[-size:], order[:-size]
-            for k, row in zip(some, self.scores(*padded([pages[k] for k in some])), strict=True):
+            for k, row in zip(some, self.scores(*padded([vectors(pages[k]) for k in some])), strict=True):
                 out[k] = row[: len(out[k])] > 0.5
         return out
 
+    def _label_long(self, found: list[tuple[Node | None, str, int]]) -> np.ndarray:
+        """The same for one page, a part at a time: forward over all parts, then backward, with the state carried over."""
+        parts = [(at, min(at + BATCH_BLOCKS, len(found))) for at in range(0, len(found), BATCH_BLOCKS)]
+        sums, u = np.full(len(found), self.p["z"][0], np.float32), self.units
+        for k, (d, order) in enumerate((("f", parts), ("b", parts[::-1]))):
+            state: list = []
+            for start, end in order:
+                x = vectors(found, start, end)[None]
+                sums[start:end] += (self._run(x, np.ones(x.shape[:2], np.float32), d, False, state)[0] @ self.p["o"][k * u : (k + 1) * u])[0]
+        return 1 / (1 + np.exp(-sums)) > 0.5
+
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of different lengths as one array, and where it has something."""
@@ -411,11 +451,7 @@ def trained(pages: int = TRAIN_PAGES, seed: int = SEED) -> Labeller:
 def extract(htmls: list[str | None], labeller: Labeller) -> list[str]:
     """The main text of each page."""
     found = [blocks(h) for h in htmls]
-    some = [k for k, f in enumerate(found) if f]
-    out = [""] * len(htmls)
-    for k, keep in zip(some, labeller.label([vectors(found[k]) for k in some]), strict=True):
-        out[k] = "\n".join(b[1] for b, kept in zip(found[k], keep, strict=True) if kept)
-    return out
+    return ["\n".join(b[1] for b, kept in zip(f, keep, strict=True) if kept) for f, keep in zip(found, labeller.label(found), strict=True)]
 
 
 def main_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:

@@ -17,24 +17,49 @@ def test_made_pages_are_labelled():
         page, labels = html.sample_page(r)
         found = html.blocks(page)
         assert len(found) == len(labels)
-        wrong += sum(labeller.label([html.vectors(found)])[0] != labels)
+        wrong += sum(labeller.label([found])[0] != labels)
         total += len(labels)
     assert wrong <= 0.02 * total
 
 
-def test_long_pages_are_labelled_whole():
-    """A state is carried from one end to the other: no block is labelled from a window around it."""
+def test_long_pages_are_labelled_whole(monkeypatch):
+    """A state is carried from one end to the other: no block is labelled from a part of the page, however small the parts are."""
     import numpy as np
 
-    x = np.random.default_rng(5).normal(size=(1500, html.WIDTH)).astype(np.float32)
-    model = html.Labeller(1)
+    r, model = random.Random(5), html.Labeller(1)
     for d in "fb":
         model.p[f"c{d}"][html.HIDDEN_UNITS : 2 * html.HIDDEN_UNITS] = 12  # what was seen stays
-    pages = [x[:3], x[:0], x, x[:700]]
-    for page, got in zip(pages, model.label(pages), strict=True):
-        want = model.scores(page[None], np.ones((1, len(page)), np.float32))[0] if len(page) else np.zeros(0)
-        sure = abs(want - 0.5) > 1e-3
-        assert len(got) == len(page) and (got[sure] == (want > 0.5)[sure]).all()
+    page = "".join(r.choice(("<p>", "<nav>", "<footer>", "<div class=ad>", "</div>")) + "".join(r.choice("ab .") for _ in range(r.randint(1, 9))) for _ in range(1500))
+    pages = [html.blocks(page[:60]), [], html.blocks(page), html.blocks(page[: len(page) // 2])]
+    for size in (html.BATCH_BLOCKS, 100, 7):
+        monkeypatch.setattr(html, "BATCH_BLOCKS", size)
+        for found, got in zip(pages, model.label(pages), strict=True):
+            want = model.scores(html.vectors(found)[None], np.ones((1, len(found)), np.float32))[0] if found else np.zeros(0)
+            sure = abs(want - 0.5) > 1e-3
+            assert len(got) == len(found) and (got[sure] == (want > 0.5)[sure]).all()
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    model, began = html.Labeller(1), time.time()
+    deep = html.blocks("<div class=x>a " * 100_000)
+    long = html.blocks("<p>b" * 50_000)
+    assert len(deep) == 100_000 and len(long) == 50_000 and deep[-1][0].depth == 100_000
+    assert [len(x) for x in model.label([deep, long])] == [100_000, 50_000]
+    assert time.time() - began < 60
+
+
+def test_a_cue_reaches_far_blocks():
+    """The trained labeller on a page whose article is long: all of it is kept, and the footer goes."""
+    body = "".join(f"<p>Some words of paragraph {k} that make up a sentence of the text.</p>" for k in range(3000))
+    page = f"<body><nav><ul><li><a href='/'>home</a></ul></nav><article><h1>A title</h1>{body}</article><footer>copyright all rights reserved</footer></body>"
+    (text,) = html.extract([page], html.trained())
+    assert text.count("\n") == 3000 and text.startswith("A title\n") and "copyright" not in text
+
+
+def test_what_an_article_shows_is_kept():
+    assert [b[1] for b in html.blocks("<p>x<math>a</math> y <object>b</object><svg><text>c</text></svg>")] == ["xa y bc"]
 
 
 def test_outer_elements_of_deep_pages_count():
@@ -48,7 +73,7 @@ def test_pages_give_their_articles(spark, sf_dir):
     got = html.op1_html_blocks(spark, sf_dir).collect()
     assert len(got) == len(pages)
     for r in got:
-        inside = [b[1] for b in html.blocks(pages[r.page_id].html) if any(t == "article" for t, _ in b[0])]
+        inside = [b[1] for m in re.finditer("(?s)<article.*?</article>", pages[r.page_id].html) for b in html.blocks(m[0])]
         assert r.text == "\n".join(inside) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
