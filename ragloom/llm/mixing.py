@@ -7,8 +7,10 @@ shuffles them globally. Copies of one document fall on unrelated places.
 
 Nulls: a null source has no target weight and takes the rate of the unlisted sources; a null size counts as 0;
 a null doc_id is hashed as an empty string. Repeated rows draw the same count. A listed source without rows has
-no rate: the other weights are scaled up. An empty table gives no rows. Extra columns are kept; the columns
-that the operator adds are named by parameters, and a clash is an error.
+no rate: the other weights are scaled up. A listed source with hardly any rows has a large rate, without a limit.
+Ties in the order are copies of repeated rows. Very long texts are moved once, and looked at nowhere. An empty table
+gives no rows. Extra columns are kept; the columns that the operator adds are named by parameters, and a clash is an
+error.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 #: Target shares of the characters. Unlisted sources share what is left.
 TARGET_WEIGHTS = {"src0": 0.15, "src1": 0.06, "src2": 0.06, "src3": 0.06, "src4": 0.06}
-SEED, MAX_RATE = "mix-1", 500.0
+SEED = "mix-1"
+#: A larger rate is drawn as the sum of so many equal parts that none is larger: a sum of Poisson variables is one.
+MOST_STEP = 500.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -30,8 +34,8 @@ def uniform(key: Column, seed: str) -> Column:
 
 def poisson_steps(rate: float) -> list[float]:
     """The values of the Poisson distribution function up to where it no longer grows; a count is how many of them a uniform number reaches."""
-    if not 0 <= rate <= MAX_RATE:
-        raise ValueError(f"a mean repetition rate of {rate} isn't between 0 and {MAX_RATE}")
+    if not 0 <= rate <= MOST_STEP:
+        raise ValueError(f"a mean repetition rate of {rate} isn't between 0 and {MOST_STEP}")
     term = total = math.exp(-rate)
     steps, k = [total], 0
     while True:
@@ -61,7 +65,16 @@ def rates(docs: DataFrame, weights: dict[str, float], source: str = "source", si
 
 def copies(by_source: dict[str, float], other: float, seed: str, key: str = "doc_id", source: str = "source") -> Column:
     """The number of copies of a row."""
-    reached = lambda rate: F.size(F.filter(F.array(*map(F.lit, poisson_steps(rate))), lambda step: uniform(F.col(key), seed) >= step))
+
+    def reached(rate: float) -> Column:
+        parts = max(1, math.ceil(rate / MOST_STEP))
+        steps = F.array(*map(F.lit, poisson_steps(rate / parts)))
+        one = lambda u: F.size(F.filter(steps, lambda step: u >= step))
+        if parts == 1:
+            return one(uniform(F.col(key), seed))
+        drawn = lambda k: one(uniform(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), k.cast("string")), seed))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(parts)), F.lit(0), lambda a, k: a + drawn(k))
+
     out = None
     for s, rate in by_source.items():
         out = F.when(F.col(source) == s, reached(rate)) if out is None else out.when(F.col(source) == s, reached(rate))
