@@ -7,8 +7,10 @@ ordered ``CASE WHEN`` expression, so that applying it needs no join and no Pytho
 
 Nulls: a null text has no words (all statistics 0) and fails the base rules; labelled rows with a null label or
 doc_id are left out of the sample. Repeated rows each get their own row. Empty tables: no rows; without labels
-of both classes the list is empty and only the base rules decide. Extra columns are kept by ``apply_rules`` and
-``with_statistics`` (their own columns start with ``q_``) and ignored by the query.
+of both classes the list is empty and only the base rules decide. Ties in learning go to the rule that covers more
+rejected rows, then to the first test by feature, side and cut. Very long texts are read whole, as arrays of words and
+hashes of one row. Extra columns are ignored by the query and kept by ``with_statistics`` and ``apply_rules``, whose
+own columns start with ``q_``: an input column of such a name gives way to theirs, but ``kept_rows`` returns it as it was.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import settled
 from .common import count_of, hash_sample, words
 
 #: Base rules of the contract.
@@ -56,38 +59,50 @@ class Test:
         return F.col(self.feature) >= F.lit(self.cut) if self.over else F.col(self.feature) < F.lit(self.cut)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the contract's counts (q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words) and FEATURES.
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows q_row (``docs``' row) with the contract's counts (q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words) and FEATURES.
 
     Windows of three words are compared by 64-bit hash within one text. Only texts with a repeated window
     sort their windows by place.
     """
-    step = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))).withColumn("q_list", words(F.col("q_text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")
+    step = docs.select(row, F.coalesce(F.col(text), F.lit("")).alias("q_text")).withColumn("q_list", settled(words(F.col("q_text"))))
     window = F.transform(F.sequence(F.lit(0), F.size("q_list") - 3), lambda i: F.xxhash64(F.get("q_list", i), F.get("q_list", i + 1), F.get("q_list", i + 2)))
-    step = step.withColumn("q_windows", F.when(F.size("q_list") < 3, F.array().cast("array<bigint>")).otherwise(window))
+    step = step.withColumn("q_windows", settled(F.when(F.size("q_list") < 3, F.array().cast("array<bigint>")).otherwise(window)))
     placed = F.sort_array(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeated = F.size(F.array_distinct("q_windows")) < F.size("q_windows")
-    step = step.withColumn("q_sorted", F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    step = step.withColumn("q_sorted", settled(F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))))
     twice = F.filter("q_sorted", lambda x, k: (F.get("q_sorted", k - 1)["h"] == x["h"]) | (F.get("q_sorted", k + 1)["h"] == x["h"]))
-    step = step.withColumn("q_places", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    step = step.withColumn("q_places", settled(F.sort_array(F.transform(twice, lambda x: x["i"]))))
     # each window covers three words, less what the window before it has covered
     covered = F.aggregate("q_places", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-    step = step.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda line: line.rlike("[^ \\x09-\\x0D]")))
-    step = step.withColumns(
-        {
-            "q_n_words": F.size("q_list").cast("long"),
-            "q_word_chars": F.length(F.array_join("q_list", "")).cast("long"),
-            "q_n_symbols": count_of(F.col("q_text"), "#*$%&|<>"),
-            "q_n_bangs": count_of(F.col("q_text"), "!"),
-            "q_n_capitals": count_of(F.col("q_text"), "A-Z"),
-            "q_n_lines": F.size("q_lines").cast("long"),
-            "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_n_repeat_words": covered,
-        }
-    ).drop("q_text", "q_list", "q_windows", "q_sorted", "q_places", "q_lines")
+    step = step.withColumn("q_lines", settled(F.filter(F.split("q_text", "\n"), lambda line: line.rlike("[^ \\x09-\\x0D]"))))
+    counts = {
+        "q_n_words": F.size("q_list").cast("long"),
+        "q_word_chars": F.length(F.array_join("q_list", "")).cast("long"),
+        "q_n_symbols": count_of(F.col("q_text"), "#*$%&|<>"),
+        "q_n_bangs": count_of(F.col("q_text"), "!"),
+        "q_n_capitals": count_of(F.col("q_text"), "A-Z"),
+        "q_n_lines": F.size("q_lines").cast("long"),
+        "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+        "q_n_repeat_words": covered,
+    }
+    step = step.select("q_row", *[settled(how).alias(name) for name, how in counts.items()])
     return step.withColumns({name: F.expr(how) for name, how in FEATURES.items()})
 
 
+def _unpacked(found: DataFrame) -> DataFrame:
+    """The rows of q_row with the other columns beside theirs."""
+    own = [c for c in found.columns if c != "q_row"]
+    kept = [c for c in found.schema["q_row"].dataType.names if c.lower() not in own]
+    return found.select(*[F.col(f"q_row.`{c}`").alias(c) for c in kept], *own)
+
+
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``statistics``."""
+    return _unpacked(statistics(docs, text))
+
+
 def base_failed() -> Column:
     """The contract's base rules over ``with_statistics``."""
     return (F.col("q_n_words") < LEAST_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MOST_REPEATED)
@@ -194,7 +209,16 @@ def verdict(rules: list[list[Test]]) -> Column:
 
 def apply_rules(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """``docs`` with statistics, q_base_failed and q_kept."""
-    return with_statistics(docs).withColumn("q_base_failed", base_failed()).withColumn("q_kept", ~F.col("q_base_failed") & verdict(rules))
+    return _unpacked(_judged(docs, rules))
+
+
+def _judged(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    return statistics(docs).withColumn("q_base_failed", base_failed()).withColumn("q_kept", ~F.col("q_base_failed") & verdict(rules))
+
+
+def kept_rows(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """The rows of ``docs`` that neither the base rules nor the list rejects, as they were."""
+    return _judged(docs, rules).filter("q_kept").select(*[F.col(f"q_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
