@@ -5,9 +5,10 @@ stands for up to n words of any kind (names, years, places), ``{a|b}`` for one o
 compiled to automata over words; a place matches if all mandatory words follow in order, with nothing else
 between but what the markup allows. Case, punctuation and line breaks don't count.
 
-Nulls: a null text counts as empty: no words, no label, score 0. Overlapping places of a template count once, at
-their start. Repeated rows are scanned alike. Very long texts are scanned whole; an automaton is started only at
-its first words. An empty table gives no rows. Extra columns are ignored.
+Nulls: a null text counts as empty: no words, no label, score 0. Ties: of matches that begin at one place the longest
+counts, and each template has its own place. Repeated rows are scanned alike. Very long texts are scanned whole; an
+automaton is tried only on texts that have all of its longest mandatory words, and started only at its first words. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Fixed phrases of the contract, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: Fixed wording that the BSD licences of two and of three clauses share.
+BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+
 #: Fixed standard wordings of public licences: (label, weight, template). The weight is the score of a match.
 TEMPLATES = (
     ("mit-notice", 0.8, "{released|licensed|distributed|available|provided} under <<the terms of>> the mit license"),
@@ -35,6 +39,13 @@ TEMPLATES = (
     ("cc-by-notice", 0.8, "{licensed|released|available} under <<a>> <<the>> cc by {1|2|3|4} 0"),
     ("cc-by-nc-notice", 0.8, "{licensed|released|available} under <<a>> <<the>> cc by nc {1|2|3|4} 0"),
     ("cc-by-sa-notice", 0.8, "{licensed|released|available} under <<a>> <<the>> cc by sa {1|2|3|4} 0"),
+    ("mpl-2.0-notice", 0.8, "subject to the terms of the mozilla public license <<version>> <<v>> 2 0"),
+    ("lgpl-notice", 0.8, "{licensed|released|distributed} under <<the terms of>> the <<gnu>> {lesser|library} general public license <<version>> <<v>> <<{2|2.1|3}>>"),
+    ("agpl-notice", 0.8, "{licensed|released|distributed} under <<the terms of>> the <<gnu>> affero general public license <<version>> <<v>> <<3>>"),
+    ("gpl-title", 0.9, "gnu general public license version {1|2|3} {june|july|february} <<[[1]]>> {1989|1991|2007}"),
+    ("apache-2.0-title", 0.9, "apache license version 2 0 january 2004"),
+    ("cc0-text", 1.0, "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide"),
+    ("unlicense-text", 1.0, "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("spdx", 0.9, "spdx license identifier [[4]]"),
     (
         "mit-text",
@@ -56,17 +67,23 @@ TEMPLATES = (
         1.0,
         "this {program|software|library|file} is free software <<you can redistribute it>> <<and or modify it>> under the terms of the gnu <<{lesser|affero|library}>> general public license as published by the free software foundation either version {1|2|3} <<{0|1}>> of the license or at your option any later version",
     ),
-    (
-        "bsd-text",
-        1.0,
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    ),
+    ("bsd-text", 1.0, BSD),
+    ("bsd-3-clause-text", 1.0, BSD + " <<3>> neither the name of [[12]] nor the names of [[4]] contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
 )
 
 _TOKEN = re.compile(r"<<|>>|\[\[\d+\]\]|\{[^}]*\}|[^\s<>{}\[\]]+")
 ANY = None
 
 
+def _mandatory(tokens: list[str]) -> Iterator[bytes]:
+    """The words outside of regions that may be left out or replaced."""
+    depth = 0
+    for token in tokens:
+        depth += (token == "<<") - (token == ">>")
+        if not depth and token != ">>" and token[0] not in "[{":
+            yield token.encode()
+
+
 class Automaton:
     """States with steps: (set of words or ANY for any word, next state); a free step goes on without a word."""
 
@@ -74,6 +91,8 @@ class Automaton:
         self.steps: list[list[tuple[frozenset | None, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         self._tokens, self._at = _TOKEN.findall(template), 0
+        #: The longest words that every match has: a text without one of them has no match.
+        self.needed = tuple(sorted(set(_mandatory(self._tokens)), key=lambda w: (-len(w), w))[:4])
         self.accept = self._sequence(0)
         self.closed = [self._closure(s) for s in range(len(self.steps))]
         #: The words that a match may start with; None if any.
@@ -163,9 +182,10 @@ def scan_text(text: str | None, automata: list[tuple[str, float, Automaton]]) ->
                         labels.add(label)
                         score = max(score, 0.5)
     base = sorted(labels)
-    if any(cue in low for cue in _CUES) or _CUE_WORD in low and _CUE_WORD in words:
-        starts = {}
-        for a in automata:
+    some = [a for a in automata if all(w in low for w in a[2].needed)]
+    if some:
+        starts: dict[bytes, list] = {}
+        for a in some:
             for w in a[2].first:
                 starts.setdefault(w, []).append(a)
         for k, w in enumerate(words):
@@ -178,9 +198,6 @@ def scan_text(text: str | None, automata: list[tuple[str, float, Automaton]]) ->
 
 
 _PHRASES = [(phrase.encode().split(), label) for phrase, label in BASE]
-#: Each template has one of these in its mandatory wording, so texts with none of them match none.
-_CUES = (b"license", b"permission", b"redistribution")
-_CUE_WORD = b"cc"
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
