@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: n-grams of a profile and of a document; documents learned from for each language, about; languages at most.
-PROFILE, TRAIN_ROWS, MOST_LANGUAGES = 400, 1500, 500
+#: n-grams of a profile and of a document; documents learned from for each language, about.
+PROFILE, TRAIN_ROWS = 400, 1500
 BLANK, CHUNK = 0x110000, 1 << 20
 
 
@@ -90,13 +90,9 @@ def profiles(docs: DataFrame, train_rows: int = TRAIN_ROWS, size: int = PROFILE)
     """Language to n-gram codes by rank, learned from about ``train_rows`` documents of each language, chosen by hash."""
     small_batches(docs.sparkSession)
     known = docs.filter("lang is not null and doc_id is not null").filter(~held_out()).select("doc_id", "text", "lang")
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not rows:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in rows for x in (r[0], int(min(1, train_rows / r[1]) * (1 << 30)))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share[F.col("lang")])
+    # one row for each language
+    share = known.groupBy(F.col("lang").alias("l")).agg((F.least(F.lit(1.0), train_rows / F.count("*")) * (1 << 30)).cast("long").alias("share"))
+    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.col("share"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -109,6 +105,7 @@ def profiles(docs: DataFrame, train_rows: int = TRAIN_ROWS, size: int = PROFILE)
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
+    # ``size`` rows for each language: what is sent to the tasks grows with the languages, never with the documents
     out: dict[str, list] = {}
     for lang, gram, _, rank in ranked.collect():
         out.setdefault(lang, []).append((rank, gram))
@@ -116,24 +113,29 @@ def profiles(docs: DataFrame, train_rows: int = TRAIN_ROWS, size: int = PROFILE)
 
 
 class RankOrder:
-    """Out-of-place distances to all profiles at once."""
+    """Out-of-place distances to all profiles at once, by an index from n-grams to the profiles that have them."""
 
     def __init__(self, learned: dict[str, list[int]], size: int = PROFILE) -> None:
         self.langs, self.size = list(learned), size
-        self.grams = np.unique(np.array([g for p in learned.values() for g in p], np.int64))
-        self.ranks = np.full((len(learned), len(self.grams) + 1), -1, np.int64)
-        for k, p in enumerate(learned.values()):
-            self.ranks[k, np.searchsorted(self.grams, p)] = np.arange(len(p))
+        grams = np.array([g for p in learned.values() for g in p], np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.lang = np.repeat(np.arange(len(learned)), [len(p) for p in learned.values()])[order]
+        self.rank = np.concatenate([np.arange(len(p)) for p in learned.values()] or [np.zeros(0, np.int64)])[order]
+        self.grams, self.first = np.unique(grams[order], return_index=True)
+        self.end = np.r_[self.first[1:], len(grams)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         keys, counts = ngrams(text)
         if not len(keys) or not self.langs:
             return "und", 0.0
         mine = top(keys, counts, self.size)
-        at = np.searchsorted(self.grams, mine)
-        at[at < len(self.grams)] = np.where(self.grams[at[at < len(self.grams)]] == mine[at < len(self.grams)], at[at < len(self.grams)], len(self.grams))
-        ranks = self.ranks[:, at]
-        places = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(mine)))).sum(1)
+        at = np.minimum(np.searchsorted(self.grams, mine), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[at] == mine)
+        n = self.end[at[place]] - self.first[at[place]]
+        # the entries of each n-gram that is in some profile, and its place in the document
+        entry = np.arange(n.sum()) + np.repeat(self.first[at[place]] - np.r_[0, np.cumsum(n)[:-1]], n) if len(n) else np.zeros(0, np.int64)
+        nearer = self.size - np.abs(self.rank[entry] - np.repeat(place, n))
+        places = self.size * len(mine) - np.bincount(self.lang[entry], nearer, len(self.langs)).astype(np.int64)
         best = int(places.argmin())
         return self.langs[best], float(1 - places[best] / (self.size * len(mine)))
 
