@@ -12,7 +12,8 @@ Cuts are hash values, so that placing rows is an expression: no join, no shuffle
 
 Nulls: null texts form one group, of 0 bytes and the row's fixed cost each. Repeated rows are rows of their own
 in one group. A group larger than an even share makes the capacity that group's size. An empty table gives no
-rows; shards may be empty. Two texts of equal 64-bit hash share a group, which keeps every promise. Extra
+rows; shards may be empty. Ties: equal rows have neighbouring slots. Very long texts are hashed and measured once, and
+never moved. Two texts of equal 64-bit hash share a group, which keeps every promise. Extra
 columns are ignored by the query and kept by ``assign``.
 """
 
@@ -112,16 +113,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES) ->
 def numbered(rows: DataFrame, parts: int = SLOT_PARTS) -> DataFrame:
     """``rows`` (doc_id, s_hash, s_shard, ...) with slot: gapless from 0 within each shard.
 
-    Each shard is numbered in ``parts`` parts by a hash of doc_id; the parts' offsets are a table of at most
-    shards x parts rows, so that it may be broadcast.
+    Equal rows are counted first, so that they are one row however many they are. Each shard is numbered in ``parts``
+    parts by a hash of doc_id and text; the parts' offsets are a table of at most shards x parts rows, so that it may
+    be broadcast.
     """
-    split = rows.withColumn("s_part", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(parts)).cast("int"))
-    counts = split.groupBy("s_shard", "s_part").agg(F.count("*").alias("n"))
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("s_n"))
+    split = counted.withColumn("s_part", F.pmod(F.xxhash64("doc_id", "s_hash", F.lit("slot")), F.lit(parts)).cast("int"))
+    own = Window.partitionBy("s_shard", "s_part").orderBy("doc_id", "s_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = split.withColumn("s_end", F.sum("s_n").over(own))
+    counts = rows.groupBy("s_shard", F.pmod(F.xxhash64("doc_id", "s_hash", F.lit("slot")), F.lit(parts)).cast("int").alias("s_part")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("s_shard").orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("s_shard", "s_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s_offset"))
-    own = Window.partitionBy("s_shard", "s_part").orderBy("doc_id", "s_hash")
-    placed = split.withColumn("s_place", F.row_number().over(own) - 1)
-    return placed.join(F.broadcast(offsets), ["s_shard", "s_part"]).withColumn("slot", (F.col("s_offset") + F.col("s_place")).cast("long"))
+    last = placed.join(F.broadcast(offsets), ["s_shard", "s_part"]).withColumn("s_end", F.col("s_offset") + F.col("s_end") - 1)
+    return last.withColumn("slot", F.explode(F.sequence(F.col("s_end") - F.col("s_n") + 1, F.col("s_end"))))
 
 
 def op6_minimax_shards(spark, sf_dir: str) -> DataFrame:
