@@ -7,16 +7,20 @@ of least a with its t. Two sets agree on a sample with the probability of their
 the sum of lesser weights over the sum of greater ones.
 
 Terms are exploded within a task and their minima taken by one aggregation beside it: the rows of a text are
-dealt once, by a range of doc_id, and what follows (the next document, terms, samples, the next document's
+dealt once, by a range of doc_id and text hash, and what follows (the next document, terms, samples, the next document's
 fingerprint) needs no other shuffle.
 
 Nulls: a null text counts as empty, a null doc_id comes first. A text without words has the fingerprint "" and
 is alike (1) only to another such. Rows of equal doc_id are ordered by their texts' hashes; repeated rows are
-rows of their own. A lone document is its own next one. An empty table gives no rows. Extra columns are ignored.
+rows of their own. An id that many rows share is split among ranges by its texts' hashes; only rows of equal id and
+text stay together. A lone document is its own next one. Very long texts are one row, whose terms are spread. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,10 @@ SAMPLES, DIGITS = 32, 6
 SCALE, VALUE_BITS = float(1 << 24), 4 * DIGITS
 #: Spreads t over the bits of the value.
 SPREAD = 0x9E3779B1
-#: Ranges of doc_id for each shuffle partition.
-RANGES_EACH = 8
+#: Ranges of documents for each shuffle partition.
+RANGES_EACH, LOW = 8, -(1 << 63)
+#: Starts of ranges that stand in an expression.
+MOST_STARTS = 2048
 
 
 def terms(text: Column) -> Column:
@@ -92,39 +98,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(same)
 
 
+def _cuts(ids: list[int]) -> list[tuple[int, int]]:
+    """Range starts (id, hash) from sorted quantiles of the ids: an id that occurs m times among them is cut into m by hash."""
+    return [(x, LOW + k * ((1 << 64) // m)) for x, m in sorted(Counter(ids).items()) for k in range(m)]
+
+
 def in_ranges(docs: DataFrame, count: int) -> DataFrame:
-    """Rows (f_range, f_tail, f_id, doc_id, text): documents in ranges of doc_id, each ended by the first rows of the next.
+    """Rows (f_range, f_tail, f_id, f_hash, doc_id, text): documents in about ``count`` ranges of id and text hash, each ended by the first row of the next.
 
-    The ranges' first ids are quantiles of doc_id, at most ``count``, which the driver holds. A row that starts a
-    range is repeated (f_tail = 1) as the end of the range before, the very first one as the end of the last; so
-    a window within a range finds each document's next one.
+    The ranges' starts are quantiles of doc_id, at most MOST_STARTS, which the driver holds; more ranges are made by cutting
+    each evenly. A table of one row a range tells each one's first row. That row is repeated (f_tail = 1) as the end of
+    the range before, the very first one as the end of the last; so a window within a range finds each document's next one.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("f_id"))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("f_id"))
-    row = ids.agg(F.min("f_id"), F.percentile_approx("f_id", [k / count for k in range(1, count)], 20 * count)).first()
-    firsts = sorted({row[0], *(row[1] or [])}) if row[0] is not None else [0]
-    bounds = F.array(*[F.lit(x).cast("long") for x in firsts])
-    both = F.when(F.get(bounds, F.col("f_range")) == F.col("f_id"), F.array(F.struct(F.col("f_range").alias("r"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("f_range") - 1, F.lit(len(firsts))).alias("r"), F.lit(1).alias("tail"))))
-    both = both.otherwise(F.array(F.struct(F.col("f_range").alias("r"), F.lit(0).alias("tail"))))
-    spread = _with_range(keyed, bounds, len(firsts)).withColumn("x", F.explode(both))
-    return spread.select(F.col("x.r").alias("f_range"), F.col("x.tail").alias("f_tail"), "f_id", "doc_id", "text")
-
-
-def _with_range(keyed: DataFrame, bounds: Column, n: int) -> DataFrame:
-    """``keyed`` with f_range, the index of the last bound at most f_id, by halving; a column a step."""
+    starts, each = min(count, MOST_STARTS), -(-count // MOST_STARTS)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("f_id")).withColumn("f_hash", F.xxhash64("text"))
+    found = keyed.agg(F.min("f_id").alias("low"), F.max("f_id").alias("high"), F.percentile_approx("f_id", [k / starts for k in range(1, starts)] or [0.5], 20 * starts).alias("q")).first()
+    cuts = _cuts([found.low, *(found.q or [])]) if found.low is not None else [(LOW, LOW)]
+    ranged = _with_range(keyed, cuts, each, LOW if found.high is None else found.high)
+    first = ranged.groupBy("f_range").agg(F.min(F.struct("f_id", "f_hash")).alias("f"))
+    # one row a range
+    order = Window.orderBy("f_range")
+    last = F.max("f_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = first.select(F.col("f_range").alias("r"), F.col("f.f_id").alias("i"), F.col("f.f_hash").alias("h"), F.coalesce(F.lag("f_range").over(order), last).alias("before"))
+    marked = ranged.join(F.broadcast(first), F.col("f_range") == F.col("r"))
+    one = lambda r, tail: F.struct(F.col(r).alias("r"), F.lit(tail).alias("tail"))
+    is_first = (F.col("i") == F.col("f_id")) & (F.col("h") == F.col("f_hash"))
+    both = F.when(is_first, F.array(one("f_range", 0), one("before", 1))).otherwise(F.array(one("f_range", 0)))
+    return marked.withColumn("x", F.explode(both)).select(F.col("x.r").alias("f_range"), F.col("x.tail").alias("f_tail"), "f_id", "f_hash", "doc_id", "text")
+
+
+def _with_range(keyed: DataFrame, cuts: list[tuple[int, int]], each: int, high: int) -> DataFrame:
+    """``keyed`` with f_range, the index of the last of ``cuts`` at most (f_id, f_hash), by halving, a column a step; each cut evenly into ``each``."""
+    n = len(cuts)
+    bounds = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for i, h in cuts])
     step = 1 << max(0, n - 1).bit_length()
     out = keyed.withColumn("f_range", F.lit(0))
     while step := step // 2:
         further = F.col("f_range") + step
-        out = out.withColumn("f_range", F.when(F.get(bounds, further) <= F.col("f_id"), further).otherwise(F.col("f_range")))
-    return out
+        out = out.withColumn("f_range", F.when(F.get(bounds, further) <= F.struct(F.col("f_id").alias("i"), F.col("f_hash").alias("h")), further).otherwise(F.col("f_range")))
+    if each == 1:
+        return out
+    low, end = F.get(bounds, F.col("f_range"))["i"].cast("double"), F.coalesce(F.get(bounds, F.col("f_range") + 1)["i"], F.lit(high)).cast("double")
+    part = F.when(end > low, F.least(F.lit(each - 1), F.floor((F.col("f_id") - low) / (end - low) * each))).otherwise(F.lit(0))
+    return out.withColumn("f_range", (F.col("f_range") * each + part).cast("int"))
 
 
 def fingerprint_next(docs: DataFrame) -> DataFrame:
     """The contract's columns for rows (doc_id, text)."""
-    ranged = in_ranges(docs, RANGES_EACH * shuffle_partitions(docs.sparkSession))
-    # a text's hash orders rows of one doc_id
-    hashed = ranged.withColumn("f_hash", F.xxhash64("text"))
+    hashed = in_ranges(docs, RANGES_EACH * shuffle_partitions(docs.sparkSession))
     order = Window.partitionBy("f_range").orderBy("f_tail", "f_id", "f_hash")
     placed = hashed.withColumns({"f_place": F.row_number().over(order), "f_next": F.lead("text").over(order)})
     n = F.length("text")
