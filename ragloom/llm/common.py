@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import filter_after
+from ..functions.text import filter_after, unused
 from ..sources.sinks import checkpointed, delete, shared_folder
 
 __all__ = ["checkpointed", "count_of", "crc32_text", "delete", "filter_after", "hash_sample", "shared_folder", "shuffle_partitions", "small_batches", "unused", "words", "written"]
@@ -46,14 +46,6 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, or the like, that is no column of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
