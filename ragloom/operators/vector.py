@@ -1,7 +1,8 @@
 """Exact vector search: normalisation (V3), cosine (V6), fusion of several query forms (V7), quotas (V8, V9).
 
-Every stage is a window over one query's rows, so many queries are answered at once. Few queries are broadcast; many
-are searched in blocks, each against all chunks.
+Every stage is a window over one query's rows, so many queries are answered at once. Queries are broadcast up to a
+number of bytes; more are searched in blocks, each against all chunks. The quotas' stages see only the best rows of
+each query and document, which rank limits pick out before the shuffle.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast at once; more are joined in blocks of about so many, each with blocks of chunks.
-MOST_QUERIES = 10_000
+#: Bytes of queries that may be broadcast; more are joined in blocks of about so many, each with blocks of chunks.
+MOST_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,8 +41,8 @@ def fused_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     chunks: chunk_id, doc, doc_type, vector. queries: query_id, original, translated (vectors), exclude (chunk ids).
     Adds score_original, and score: the greater of both forms' inner products.
     """
-    n = queries.count()
-    pairs = (chunks.crossJoin(F.broadcast(queries)) if n <= MOST_QUERIES else _blocks(chunks, queries, -(-n // MOST_QUERIES))).filter(~F.array_contains("exclude", F.col("chunk_id")))
+    bytes_ = queries.agg(F.sum(8 * (F.size("original") + F.size("translated") + F.size("exclude")) + 64)).first()[0] or 0
+    pairs = (chunks.crossJoin(F.broadcast(queries)) if bytes_ <= MOST_BYTES else _blocks(chunks, queries, -(-bytes_ // MOST_BYTES))).filter(~F.array_contains("exclude", F.col("chunk_id")))
     scored = pairs.withColumn("score_original", dot(F.col("vector"), F.col("original"))).withColumn("translated_score", dot(F.col("vector"), F.col("translated")))
     return scored.select("query_id", "chunk_id", "doc", "doc_type", "score_original", F.greatest("score_original", "translated_score").alias("score"))
 
@@ -70,12 +71,36 @@ def _take(rows: DataFrame, pool: Column, by: str, target: Column, cap: int | Non
     return step.withColumn("picked", F.col("picked") | (F.col("may") & (F.col("turn") <= F.col("goal") - F.col("have")))).select(*rows.columns)
 
 
+def _best(rows: DataFrame, by: str, per_doc: int | None, most: int) -> DataFrame:
+    """The ``most`` best rows of each query, of the ``per_doc`` best ones of each document."""
+    limited = lambda df, keys, n: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "chunk_id"))).filter(F.col("place") <= n).drop("place")
+    return limited(limited(rows, ["query_id", "doc"], per_doc) if per_doc else rows, ["query_id"], most)
+
+
+def _candidates(scored: DataFrame, k: int, per_doc: int | None, academic: int, public: int, public_per_doc: int | None) -> DataFrame:
+    """All rows that ``quota_topk`` can pick, and few others.
+
+    The public stage picks the best ones of its pool outright. Before a later stage at most public + academic rows
+    are picked; of a document at most as many as its caps allow. So of a document's rows the best that many and
+    ``per_doc`` more can matter, and of a query's documents the best that are full already and k more.
+    """
+    before = public + academic
+    each = per_doc + min(before, max(per_doc, public_per_doc or before)) if per_doc else None
+    most = (before + k) * (each or 1)
+    found = _best(scored, "score", each, most)
+    if academic:
+        found = found.unionByName(_best(scored.filter("doc_type = 'academic'"), "score", each, most))
+    if public:
+        found = found.unionByName(_best(scored.filter("doc_type = 'public'"), "score_original", public_per_doc, public))
+    return found.dropDuplicates(["query_id", "chunk_id"])
+
+
 def quota_topk(scored: DataFrame, k: int = 10, per_doc: int | None = 2, academic: int = 0, public: int = 5, public_per_doc: int | None = 1) -> DataFrame:
     """V8: first public rows by the original form, then academic rows, then the rest, under caps for each document.
 
     A cap of None or 0 is none. Quotas are targets. Ranks follow the fused score.
     """
-    rows = scored.withColumn("picked", F.lit(False))
+    rows = _candidates(scored, k, per_doc, academic, min(public, k), public_per_doc or per_doc).withColumn("picked", F.lit(False))
     if public:
         rows = _take(rows, F.col("doc_type") == "public", "score_original", F.lit(min(public, k)), public_per_doc or per_doc)
     if academic:

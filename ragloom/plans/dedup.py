@@ -62,14 +62,13 @@ ORACLE = {
     + """, both_ways AS (SELECT a AS doc_id, b AS other, jaccard FROM pairs WHERE jaccard < 0.98 UNION ALL SELECT b, a, jaccard FROM pairs WHERE jaccard < 0.98)
 SELECT doc_id, count(*) AS n_similar, first(other ORDER BY jaccard DESC, other) AS nearest, round(max(jaccard), 6) AS jaccard FROM both_ways GROUP BY 1""",
     "dedup_content_exclusion": _SETS
-    + """, ordered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM rep),
-same AS (SELECT p.k AS ka, q.k AS kb, a FROM pairs JOIN ordered p ON a = p.doc_id JOIN ordered q ON b = q.doc_id WHERE jaccard >= 0.98),
-partners AS (SELECT kb, list([ka, a] ORDER BY ka) AS earlier FROM same GROUP BY 1),
+    + """, same AS MATERIALIZED (SELECT a, b FROM pairs WHERE jaccard >= 0.98),
+partners AS MATERIALIZED (SELECT row_number() OVER (ORDER BY b) AS k, b, list(a ORDER BY a) AS earlier FROM same GROUP BY b),
 walk(k, doc_id, excluded_by, gone) AS (
   SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[]
   UNION ALL
-  SELECT o.k, o.doc_id, list_filter(p.earlier, lambda e: NOT list_contains(walk.gone, e[1]))[1][2],
-    CASE WHEN list_filter(p.earlier, lambda e: NOT list_contains(walk.gone, e[1]))[1] IS NULL THEN walk.gone ELSE list_append(walk.gone, o.k) END
-  FROM walk JOIN ordered o ON o.k = walk.k + 1 LEFT JOIN partners p ON p.kb = o.k)
-SELECT doc_id, excluded_by FROM walk WHERE k > 0""",
+  SELECT p.k, p.b, list_filter(p.earlier, lambda e: NOT list_contains(walk.gone, e))[1],
+    CASE WHEN list_filter(p.earlier, lambda e: NOT list_contains(walk.gone, e))[1] IS NULL THEN walk.gone ELSE list_append(walk.gone, p.b) END
+  FROM walk JOIN partners p ON p.k = walk.k + 1)
+SELECT rep.doc_id, excluded_by FROM rep LEFT JOIN walk ON rep.doc_id = walk.doc_id""",
 }

@@ -1,13 +1,50 @@
-"""Vector search of more queries than are broadcast."""
+"""Vector search in blocks, and quotas against a plain greedy pick."""
+
+import random
 
-from ragloom.plans import vector as plans
 from ragloom.operators import vector
 
 
-def test_many_queries_are_searched_in_blocks(spark, sf_dir, monkeypatch):
-    for query in (plans.vector_cosine_topk, plans.vector_quota_topk):
-        monkeypatch.setattr(vector, "MOST_QUERIES", 10_000)
-        want = sorted(map(tuple, query(spark, sf_dir).collect()))
-        assert len({r[0] for r in want}) > 3
-        monkeypatch.setattr(vector, "MOST_QUERIES", 2)
-        assert sorted(map(tuple, query(spark, sf_dir).collect())) == want
+def _rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_blocks_give_what_a_broadcast_gives(spark, sf_dir, monkeypatch):
+    from ragloom.sources import tables
+
+    def found(most):
+        monkeypatch.setattr(vector, "MOST_BYTES", most)
+        return _rows(vector.topk(vector.fused_scores(tables.chunks(spark, sf_dir), tables.queries(spark, sf_dir)), 5), "query_id", "rank", "chunk_id")
+
+    assert found(64 << 20) == found(3000)
+
+
+def plain_quota(rows, k, per_doc, academic, public, public_per_doc):
+    """Greedy picks for one query's rows (chunk_id, doc, doc_type, score_original, score)."""
+    picked, used = [], {}
+
+    def take(pool, n, by, cap):
+        for r in sorted(pool, key=lambda r: (-r[by], r[0])):
+            if len(picked) >= n:
+                return
+            if r not in picked and not (cap and used.get(r[1], 0) >= cap):
+                used[r[1]] = used.get(r[1], 0) + 1
+                picked.append(r)
+
+    if public:
+        take([r for r in rows if r[2] == "public"], min(public, k), 3, public_per_doc or per_doc)
+    if academic:
+        take([r for r in rows if r[2] == "academic"], min(len(picked) + academic, k), 4, per_doc)
+    take(rows, k, 4, per_doc)
+    return {r[0] for r in picked}
+
+
+def test_quotas_match_a_greedy_pick(spark):
+    r = random.Random(3)
+    rows = {q: [(c, f"d{r.randrange(6)}", r.choice(("public", "public", "academic")), r.randrange(30) / 30, r.randrange(30) / 30) for c in range(80)] for q in range(6)}
+    df = spark.createDataFrame([(q, *row) for q, each in rows.items() for row in each], "query_id long, chunk_id long, doc string, doc_type string, score_original double, score double")
+    for setting in ((10, 2, 0, 5, 1), (10, 2, 3, 5, 1), (8, None, 2, 3, None), (12, 3, 4, 0, None), (5, 1, 0, 9, 2)):
+        got = {}
+        for x in vector.quota_topk(df, *setting).collect():
+            got.setdefault(x.query_id, set()).add(x.chunk_id)
+        assert got == {q: plain_quota(each, *setting) for q, each in rows.items()}, setting
