@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, filter_after, normalise, settled, stretches, strip
+from ..functions.text import SPACE, normalise, settled, stretches, strip
 
 #: Fixed shapes of headings, bullets and sentence ends of Korean public documents and journals.
 HEADING = "^(#{1,6} |[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\\.\\s|\\d{1,2}\\.\\s|[가-하]\\.\\s|\\d{1,2}\\)\\s|[①-⑳]\\s?|제\\s?\\d+\\s?[장절]\\s)"
@@ -109,26 +109,23 @@ def without_noise(text: Column, edges: Column, least_edge: int = 10, least_lette
 
 
 def sections(docs: DataFrame, skip: str) -> DataFrame:
-    """K7: rows (doc_id, section_no, title, body) of texts with '## ' titles; '# ' lines go, deeper titles are text.
+    """K7: rows (doc_id, section_no, kept_no, title, body) of texts with '## ' titles; '# ' lines go, deeper titles are text.
 
-    Sections whose title matches ``skip`` go, and so does what stands before the first title. A text without any
-    title is one untitled section. A section without lines goes.
+    Sections without lines, those whose title matches ``skip``, and what stands before the first title go. section_no
+    counts all titles, kept_no the sections that are kept. A text without any title has no section.
     """
     lines = docs.select("doc_id", settled(lines_of(F.col("text"))).alias("lines"))
     place = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike("^## ."), i)), lambda i: i.isNotNull())
     marked = lines.withColumn("titles", settled(place))
-    titled = F.size("titles") > 0
-    # untitled: one stretch of all lines, whose first one isn't left out
-    marked = marked.withColumn("starts", F.when(titled, F.col("titles")).otherwise(F.array(F.lit(0))))
-    skipped = F.when(titled, 1).otherwise(0)
 
     def section(k: Column, at: Column, end: Column) -> Column:
-        body = F.filter(F.slice("lines", at + skipped + 1, end - at - skipped), lambda x: ~x.startswith("# ") & ~x.rlike("^## ."))
-        title = F.when(titled, strip(F.regexp_extract(F.get("lines", at), "^## (.+)", 1))).otherwise("")
-        return F.struct((k + skipped).cast("long").alias("section_no"), title.alias("title"), F.size(body).alias("n"), F.array_join(body, "\n").alias("body"))
+        body = F.filter(F.slice("lines", at + 2, end - at - 1), lambda x: ~x.startswith("# "))
+        title = strip(F.regexp_extract(F.get("lines", at), "^## (.+)", 1))
+        return F.struct((k + 1).cast("long").alias("section_no"), title.alias("title"), F.size(body).alias("n"), F.array_join(body, "\n").alias("body"))
 
-    found = marked.select("doc_id", F.explode(settled(stretches(F.col("lines"), F.col("starts"), section))).alias("x")).select("doc_id", "x.*")
-    return filter_after(found, (F.col("n") > 0) & ~F.lower("title").rlike(skip)).select("doc_id", "section_no", "title", "body")
+    kept = F.filter(stretches(F.col("lines"), F.col("titles"), section), lambda x: (x["n"] > 0) & ~F.lower(x["title"]).rlike(skip))
+    each = marked.select("doc_id", settled(kept).alias("kept")).select("doc_id", F.posexplode("kept").alias("k", "x"))
+    return each.select("doc_id", "x.section_no", (F.col("k") + 1).cast("long").alias("kept_no"), "x.title", "x.body")
 
 
 def heading(text: Column) -> Column:

@@ -166,7 +166,7 @@ SELECT fresh.source, url, fresh.source || '-' || CASE WHEN coalesce(top, 0) + n
 FROM fresh LEFT JOIN top ON fresh.source = top.source""",
     "doc_type_rule": "SELECT doc_id, CASE WHEN starts_with(source, 'src1') OR starts_with(source, 'src7') THEN 'academic' ELSE 'public' END AS doc_type FROM documents",
     "display_title": """
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(source || '_file_' || doc_id || '.v1', '_', ' ') WHEN doc_id % 3 = 0 OR doc_id % 11 = 0 OR substring(text, 1, 20) = '' THEN source || '_file_' || doc_id || '.v1.pdf' ELSE regexp_replace(substring(text, 1, 20), '^\s+|\s+$', '', 'g') END AS title FROM documents""",
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(source || '_file_' || doc_id || '.v1', '_', ' ') WHEN doc_id % 3 = 0 OR doc_id % 11 = 0 OR substring(text, 1, 20) = '' THEN source || '_file_' || doc_id || '.v1.pdf' ELSE regexp_replace(substring(text, 1, 20), '^\\s+|\\s+$', '', 'g') END AS title FROM documents""",
     "catalog_used": _DUP + "SELECT doc_id FROM final WHERE verdict = 'use'",
     "display_title_by_source": f"""
 SELECT doc_id, trim(CASE WHEN f = 'kdca' THEN 'portal: ' ELSE '' END || CASE WHEN f = 'pdf' AND (starts_with(source, 'src3') OR starts_with(source, 'src1')) THEN 'Journal ' || source

@@ -64,7 +64,7 @@ def section_split(spark, d):
     """K7."""
     titled = F.array_join(F.transform(textclean.lines_of(F.col("text")), lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("## "), x)).when(i % 7 == 3, F.concat(F.lit("# "), x)).otherwise(x)), "\n")
     found = textclean.sections(_docs(spark, d).select("doc_id", titled.alias("text")), SKIP)
-    return found.select("doc_id", "section_no", "title", F.length("body").cast("long").alias("n"))
+    return found.select("doc_id", "section_no", "kept_no", "title", F.length("body").cast("long").alias("n"))
 
 
 def heading_lines(spark, d):
@@ -141,13 +141,18 @@ edges AS (SELECT doc, line, count(DISTINCT page) AS n FROM ends GROUP BY 1, 2),
 totals AS (SELECT doc, count(*) AS pages FROM stripped WHERE len(ls) > 0 GROUP BY 1)"""
 
 
-_PARAS = f"""
-k_all AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda raw, i: {{'raw': raw, 's': {_strip('raw')}, 'i': i}}), lambda x: x.s <> '') AS k FROM documents),
-k_text AS (SELECT doc_id, source, array_to_string(list_transform(k, lambda x, j: CASE WHEN j = 1 THEN ''
+def _paragraphs_sql(rows: str, keys: str) -> str:
+    """CTEs from ``rows`` (keys, ls: lines) to ``paras`` (keys, ps)."""
+    return f"""
+k_all AS (SELECT {keys}, list_filter(list_transform(ls, lambda raw, i: {{'raw': raw, 's': {_strip('raw')}, 'i': i}}), lambda x: x.s <> '') AS k FROM ({rows})),
+k_text AS (SELECT {keys}, array_to_string(list_transform(k, lambda x, j: CASE WHEN j = 1 THEN ''
    WHEN x.i - k[j - 1].i > 1 OR (regexp_matches(k[j - 1].s, '{_HEAD}') AND length(k[j - 1].s) <= 40) OR regexp_matches(x.s, '{_BULLET}') OR regexp_matches(x.s, '{_HEAD}')
      OR regexp_matches(k[j - 1].s, '[.!?。」』:;]$') THEN chr(30)
    WHEN NOT ends_with(k[j - 1].raw, ' ') AND length(k[j - 1].s) >= 20 AND regexp_matches(k[j - 1].s, '[가-힣]$') AND regexp_matches(x.s, '^[가-힣]') THEN '' ELSE ' ' END || x.s), '') AS t FROM k_all),
-paras AS (SELECT doc_id, source, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, chr(30)) END AS ps FROM k_text)"""
+paras AS (SELECT {keys}, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, chr(30)) END AS ps FROM k_text)"""
+
+
+_PARAS = _paragraphs_sql("SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents", "doc_id, source")
 
 
 def _windows(size: int, keys: str) -> str:
@@ -209,9 +214,8 @@ SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)), l
 WITH ls AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'i': i, 'x': CASE WHEN (i - 1) % 5 = 2 THEN '## ' || x WHEN (i - 1) % 7 = 3 THEN '# ' || x ELSE x END}})) AS l FROM documents),
 t AS (SELECT doc_id, l.i AS i, l.x AS x, regexp_extract(l.x, '^## (.+)', 1) AS title FROM ls),
 g AS (SELECT *, sum((title <> '')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM t),
-b AS (SELECT doc_id, no::BIGINT AS section_no, {_strip('max(title)')} AS title, string_agg(CASE WHEN title = '' AND NOT starts_with(x, '# ') THEN x END, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2),
-m AS (SELECT *, max(section_no) OVER (PARTITION BY doc_id) AS most FROM b)
-SELECT doc_id, section_no, title, length(body) AS n FROM m WHERE (section_no > 0 OR most = 0) AND body IS NOT NULL AND NOT regexp_matches(lower(title), '{SKIP}')""",
+b AS (SELECT doc_id, no::BIGINT AS section_no, {_strip('max(title)')} AS title, string_agg(CASE WHEN title = '' AND NOT starts_with(x, '# ') THEN x END, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2)
+SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS kept_no, title, length(body) AS n FROM b WHERE section_no > 0 AND body IS NOT NULL AND NOT regexp_matches(lower(title), '{SKIP}')""",
     "heading_lines": f"""
 WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 1 THEN '2. ' WHEN (i - 1) % 4 = 2 THEN '• ' ELSE '' END || x) AS l FROM documents)
 SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '{_HEAD}'))) AS headings, len(list_filter(l, lambda x: regexp_matches(x, '{_BULLET}'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '[.!?。」』:;]$'))) AS ends FROM l""",
