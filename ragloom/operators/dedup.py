@@ -89,3 +89,22 @@ def content_exclusion(live: DataFrame, pairs: DataFrame, same: float = SAME) ->
         done = step.filter("waits = 0 or by < first_open").select(F.col("b").alias("doc_id"), "by")
         decided = checkpointed(decided.unionByName(done))
     return alone.unionByName(decided).select("doc_id", F.col("by").alias("excluded_by"))
+
+
+def similar_notes(docs: DataFrame, excluded: DataFrame, pairs: DataFrame, same: float = SAME) -> DataFrame:
+    """Rows (doc_id, verdict, reason) of docs (doc_id, verdict, reason) after the content check.
+
+    ``excluded``: ``content_exclusion``. ``pairs``: (a < b, jaccard). A document whose verdict is use and that is
+    excluded by content has that as its reason. Another one of verdict use is noted beside each similar document, in
+    their order, as ``similar: id 83%``: all pairs but those whose earlier document excludes the later one.
+    """
+    gone = docs.join(excluded, "doc_id", "left").withColumn("used", (F.col("verdict") == "use") & F.col("excluded_by").isNull())
+    used = gone.select(F.col("doc_id").alias("a"), F.col("used").alias("a_used"))
+    kept = pairs.join(used, "a").filter((F.col("jaccard") < same) | ~F.col("a_used"))
+    both = kept.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "jaccard").unionByName(kept.select(F.col("b").alias("doc_id"), F.col("a").alias("other"), "jaccard"))
+    note = F.concat(F.lit("similar: "), F.col("other").cast("string"), F.lit(" "), F.bround(F.col("jaccard") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    notes = both.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", note.alias("n")))), lambda x: x["n"]).alias("notes"))
+    joined = gone.join(notes, "doc_id", "left")
+    own = F.when(F.col("reason") != "", F.col("reason"))
+    reason = F.when(F.col("excluded_by").isNotNull(), F.concat(F.lit("content duplicate: "), F.col("excluded_by").cast("string"))).when(F.col("used"), F.concat_ws(" | ", own, F.array_join("notes", " | "))).otherwise(F.col("reason"))
+    return joined.select("doc_id", F.when(F.col("excluded_by").isNotNull(), "exclude").otherwise(F.col("verdict")).alias("verdict"), F.regexp_replace(reason, " \\| $", "").alias("reason"))

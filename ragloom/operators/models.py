@@ -1,4 +1,4 @@
-"""Pluggable models: the embedding cache (V1, V2), embedding (V5), and an answer pipeline around a model.
+"""Pluggable models: the embedding cache (V1, V2), retries (V4), translation (V11), and answers around a model.
 
 A model is a function of a batch: texts in, vectors or answers out. It sees only what no cache has, each text once.
 """
@@ -6,12 +6,16 @@ A model is a function of a batch: texts in, vectors or answers out. It sees only
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip, strip_request
+from ..sources.sinks import checkpointed
 from . import answers
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -29,6 +33,29 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("text").alias("text")).join(cache.select("key"), "key", "left_anti")
 
 
+class RateLimited(Exception):
+    """What a model raises when it asks to be called later."""
+
+
+@dataclass(frozen=True)
+class Retrying:
+    """V4: a model that is called again after ``wait * 2 ** n`` seconds while it is rate limited, ``tries`` times at most."""
+
+    model: Callable
+    tries: int = 6
+    wait: float = 5.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def __call__(self, batch: list):
+        for n in range(self.tries):
+            try:
+                return self.model(batch)
+            except RateLimited:
+                if n == self.tries - 1:
+                    raise
+                self.sleep(self.wait * 2**n)
+
+
 def hash_embedder(texts: list[str], size: int = 8) -> list[list[float]]:
     """A stand-in model: unit vectors from a hash of the text."""
     out = []
@@ -77,18 +104,106 @@ def ask(prompts: DataFrame, model: Answer = stub_answer, out: str = "answer") ->
     return prompts.select(F.col("query_id").cast("long"), "prompt").mapInArrow(run, f"query_id long, {out} string")
 
 
-def answer_pipeline(questions: DataFrame, contexts: DataFrame, refusal: str, banned: str, references: str, model: Answer = stub_answer) -> DataFrame:
-    """Rows (query_id, scope, answer): a refusal where the question is out of scope, else the model's answer.
+def stub_translate(texts: list[str]) -> list[str]:
+    """A stand-in model: the text's words from the last to the first."""
+    return [" ".join(reversed(t.split())) for t in texts]
+
+
+def translate(questions: DataFrame, cache: DataFrame, model: Answer = stub_translate, expand: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``questions`` (query_id, text) with translated, the cache (key, en) after it).
+
+    Each distinct text that the cache lacks is translated once. Expanded translations have keys of their own.
+    """
+    key = F.concat(F.lit("expand|" if expand else ""), "text")
+    keyed = questions.withColumn("key", key)
+    misses = keyed.filter("text is not null").select("key", "text").distinct().join(cache.select("key"), "key", "left_anti")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.strip() for t in model(part.column(1).to_pylist())], pa.string())], ["key", "en"])
+
+    fresh = checkpointed(misses.mapInArrow(run, "key string, en string"))
+    known = cache.select("key", "en").unionByName(fresh)
+    return keyed.join(known.withColumnRenamed("en", "translated"), "key", "left").drop("key"), known
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Patterns, messages and prompt rules of ``run``. Templates have one %s."""
+
+    refusal: str
+    notice: str
+    request: str
+    asks_diagnosis: str
+    stated: str
+    conditions: str
+    diagnosis: str
+    advice: str
+    references: str
+    diagnosis_rule: str = "Don't judge the person's values."
+    ask_back_rule: str = "First ask for the conditions that are missing."
+    outside_rule: str = "Give no advice on %s."
+    again_rule: str = "The last answer had: %s. Write it without that."
+
+
+Search = Callable[[DataFrame], DataFrame]
+
+
+def run(questions: DataFrame, rules: Rules, search: Search, model: Answer = stub_answer, translations: DataFrame | None = None, translator: Answer = stub_translate) -> DataFrame:
+    """Rows (query_id, scope, asked, searched, translated, diagnosis, answer, sources) of questions (query_id, question, scope, out_of_scope, rewritten).
 
-    ``questions``: query_id, question, scope, out_of_scope. Answers with banned sentences are asked for once more;
-    what is still banned is dropped.
+    Out of scope: a refusal, without search and model. In part: the rewritten question is asked, if there is one, and
+    a notice follows. The search text lacks the generic request; its translation (with a cache (key, en) in
+    ``translations``) is searched too. ``search``: rows (query_id, text, translated) to rows (query_id, rank, cite, score,
+    text). An answer that advises or judges is asked for once more with the sentence named; what is still there goes.
     """
-    outside = questions.filter("scope = 'out'").select("query_id", "scope", answers.refusal(F.col("out_of_scope"), refusal).alias("answer"))
-    inside = questions.filter("scope <> 'out'").join(contexts, "query_id", "left")
-    prompt = F.concat_ws("\n", "question", F.coalesce("context", F.lit("")))
-    first = ask(inside.select("query_id", prompt.alias("prompt")), model)
-    again = first.filter(answers.banned(F.col("answer"), banned, references)).select("query_id").join(inside, "query_id")
-    second = ask(again.select("query_id", F.concat(prompt, F.lit("\nwithout a diagnosis")).alias("prompt")), model, "retried")
-    both = first.join(second, "query_id", "left").withColumn("answer", F.coalesce("retried", "answer"))
-    clean = both.withColumn("answer", F.when(answers.banned(F.col("answer"), banned, references), answers.drop_sentences(F.col("answer"), banned, references)).otherwise(F.col("answer")))
-    return outside.unionByName(inside.select("query_id", "scope").join(clean.select("query_id", "answer"), "query_id"))
+    outside = questions.filter("scope = 'out'")
+    none = F.lit(None).cast("string")
+    refused = outside.select("query_id", "scope", none.alias("asked"), none.alias("searched"), none.alias("translated"), F.lit(False).alias("diagnosis"), answers.refusal(F.col("out_of_scope"), rules.refusal).alias("answer"), F.lit("").alias("sources"))
+    part = F.col("scope") == "partial"
+    asked = F.when(part & (strip(F.coalesce("rewritten", F.lit(""))) != ""), strip(F.col("rewritten"))).otherwise(F.col("question"))
+    inside = questions.filter("scope <> 'out'").withColumn("asked", asked).withColumn("text", strip_request(F.col("asked"), rules.request))
+    if translations is None:
+        inside = inside.withColumn("translated", none)
+    else:
+        inside, _ = translate(inside, translations, translator)
+    inside = checkpointed(inside)
+    found = checkpointed(search(inside.select("query_id", "text", "translated")))
+    line = F.format_string("[%d] %s (%.2f)", F.col("rank"), F.col("cite"), F.col("score"))
+    listed = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("sources"))
+    diagnosis = F.col("question").rlike(rules.asks_diagnosis)
+    topics = F.array_join("out_of_scope", ", ")
+    extra = F.concat_ws("\n", F.when(diagnosis, F.lit(rules.diagnosis_rule)), F.when(answers.ask_back(F.col("question"), rules.asks_diagnosis, rules.stated, rules.conditions), F.lit(rules.ask_back_rule)), F.when(part, F.format_string(rules.outside_rule, topics)))
+    rows = inside.join(answers.context(found), "query_id", "left").join(listed, "query_id", "left").withColumns({"diagnosis": diagnosis, "extra": extra})
+    prompt = F.concat_ws("\n", "extra", "asked", F.coalesce("context", F.lit("")))
+    rows = rows.join(ask(rows.select("query_id", prompt.alias("prompt")), model), "query_id")
+    rows = _rewritten(rows, F.get(answers.candidates(F.col("answer"), rules.advice, rules.references), F.lit(0)), rules.advice, rules, model)
+    judged = F.when(F.col("diagnosis") & answers.banned(F.col("answer"), rules.diagnosis, rules.references), F.regexp_extract(answers.body(F.col("answer"), rules.references), rules.diagnosis, 0))
+    rows = _rewritten(rows, judged, rules.diagnosis, rules, model)
+    final = F.when(part, F.concat("answer", F.lit("\n\n"), F.format_string(rules.notice, topics))).otherwise(F.col("answer"))
+    done = rows.select("query_id", "scope", "asked", F.col("text").alias("searched"), "translated", "diagnosis", final.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"))
+    return refused.unionByName(done)
+
+
+def _rewritten(rows: DataFrame, hit: Column, pattern: str, rules: Rules, model: Answer) -> DataFrame:
+    """``rows`` where answers with a ``hit`` are asked for once more, and lose the sentences that still match."""
+    marked = checkpointed(rows.withColumn("hit", hit))
+    named = F.format_string(rules.again_rule, F.substring("hit", 1, 60))
+    again = ask(marked.filter("hit is not null").select("query_id", F.concat_ws("\n", "extra", named, "asked", F.coalesce("context", F.lit(""))).alias("prompt")), model, "retried")
+    both = marked.join(again, "query_id", "left")
+    clean = F.when(answers.banned(F.col("retried"), pattern, rules.references), answers.drop_sentences(F.col("retried"), pattern, rules.references)).otherwise(F.col("retried"))
+    return both.withColumn("answer", F.coalesce(clean, "answer")).drop("hit", "retried")
+
+
+def baseline(questions: DataFrame, model: Answer = stub_answer) -> DataFrame:
+    """Rows (query_id, answer) of questions (query_id, question) asked without any retrieval."""
+    return ask(questions.select("query_id", F.col("question").alias("prompt")), model)
+
+
+GRADING = ["points", "sources_marked", "asked_back", "violations", "memo"]
+
+
+def report(done: DataFrame, name: str, setting: Column) -> DataFrame:
+    """A run's rows with the model's name, the setting, whether the call failed, and blank columns for grading."""
+    rows = done.withColumns({"model": F.lit(name), "setting": setting, "failed": F.col("answer").startswith("ERROR")})
+    return rows.withColumns({c: F.lit("") for c in GRADING})

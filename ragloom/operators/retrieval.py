@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,24 @@ def strategy_summary(metrics: DataFrame, reach: DataFrame) -> DataFrame:
     )
 
 
+def setting_suffix(per_doc: int = 0, academic: int = 0, public: int = 0, translated: bool = False, expanded: bool = False, public_per_doc: int = 0, raw: bool = False) -> str:
+    """Q8: +doc2+ac1+pub5+enx+ppd1+raw; what is 0 or off is left out."""
+    parts = [(f"+doc{per_doc}", per_doc), (f"+ac{academic}", academic), (f"+pub{public}", public), ("+en" + "x" * expanded, translated), (f"+ppd{public_per_doc}", public_per_doc), ("+raw", raw)]
+    return "".join(text for text, on in parts if on)
+
+
+def strategy_grid(index: DataFrame, questions: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], only: list[str] | None = None, suffix: str = "") -> DataFrame:
+    """Q8: the search's rows for each strategy of an index (strategy, ...) and each question, with strategy and its suffix.
+
+    ``search``: (chunks of one strategy, questions) to rows. An index has few strategies; their names are collected.
+    """
+    names = sorted(r[0] for r in index.select("strategy").distinct().collect())
+    found = [search(index.filter(F.col("strategy") == n).drop("strategy"), questions).withColumn("strategy", F.lit(n + suffix)) for n in names if not only or n in only]
+    if not found:
+        raise ValueError(f"none of the strategies {names} is asked for")
+    return reduce(DataFrame.unionByName, found)
+
+
 def citation(doc_type: Column, title: Column, doc: Column, label: Column, ocr: Column) -> Column:
     """[type] title (doc) place, with a page mark for numeric labels and a mark for recognised text."""
     page = F.when(F.regexp_replace(label, "-", "").rlike("^[0-9]+\\z"), F.concat(label, F.lit("쪽"))).otherwise(label)

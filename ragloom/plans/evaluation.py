@@ -218,18 +218,125 @@ def embed_cache_upsert(spark, d):
     return models.cache_upsert(cache, fresh).select("key", F.size("vec").cast("long").alias("n"))
 
 
+RULES = models.Rules("I won't answer questions on %s.", "Questions on %s are left out.", ASK_FOR, "which th", "medic", "[0-9]", BANNED, ADJUST, REFERENCES)
+
+
 def answer_pipeline_stub(spark, d):
-    """R10 with the stand-in model: first user turns as questions, system and assistant turns as context."""
+    """R10, R11 with the stand-in models: first user turns as questions, each conversation's other turns as what is found."""
     turns = _turns(spark, d)
     questions = turns.filter("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.struct("turn", "text")).alias("q")).select("query_id", F.col("q.text").alias("question"))
-    ruled = questions.withColumn("r", answers.scope_rules(F.col("question"), F.when(F.col("query_id") % 3 == 0, "out").otherwise("in"), F.array(F.lit("bones")), TERMS, STAGES, DISEASES)).select("query_id", "question", "r.scope", "r.out_of_scope")
-    contexts = answers.context(turns.filter("role <> 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("cite"), "text"))
-    return models.answer_pipeline(ruled, contexts, "I won't answer questions on %s.", BANNED, REFERENCES)
+    ruled = questions.withColumn("r", answers.scope_rules(F.col("question"), F.when(F.col("query_id") % 3 == 0, "out").otherwise("in"), F.array(F.lit("bones")), TERMS, STAGES, DISEASES)).select("query_id", "question", "r.scope", "r.out_of_scope", F.when(F.col("query_id") % 2 == 0, F.concat("question", F.lit(" only the rest"))).alias("rewritten"))
+    found = turns.filter("role <> 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("cite"), F.lit(0.5).alias("score"), "text")
+    cache = spark.createDataFrame([], "key string, en string")
+    done = models.run(ruled, RULES, lambda asked: found.join(asked.select("query_id"), "query_id", "left_semi"), translations=cache)
+    return models.report(done, "stand-in", F.lit("fixed@10"))
+
+
+def answer_baseline(spark, d):
+    """R12 with the stand-in model."""
+    turns = _turns(spark, d).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    return models.baseline(turns)
+
+
+def query_translation_cache(spark, d):
+    """User turns against a cache of those of conversations divisible by 3, plainly and expanded."""
+    turns = _turns(spark, d).filter("role = 'user'").select("conv_id", "turn", "text")
+    cache = turns.filter("conv_id % 3 = 0").select(F.col("text").alias("key"), F.lit("known").alias("en")).distinct()
+    plain, known = models.translate(turns, cache)
+    expanded, _ = models.translate(turns, known, expand=True)
+    return plain.withColumn("expand", F.lit(False)).unionByName(expanded.withColumn("expand", F.lit(True))).select("conv_id", "turn", "expand", "translated")
+
+
+def answer_scope_right(spark, d):
+    """A3."""
+    rows = _turns(spark, d).selectExpr("conv_id", "turn", "concat(CASE turn % 4 WHEN 0 THEN 'in' WHEN 1 THEN ' partial ' ELSE 'out' END, ': why: so') AS verdict", "CASE turn % 3 WHEN 0 THEN ' in, partial' WHEN 1 THEN '' END AS explicit", "CASE conv_id % 3 WHEN 0 THEN 'out of scope' WHEN 1 THEN 'partly in scope' ELSE 'other' END AS kind")
+    return rows.select("conv_id", "turn", answers.scope_right(F.col("verdict"), F.col("explicit"), F.col("kind")).alias("right"))
+
+
+def answer_auto_checks(spark, d):
+    """Cited numbers against three chunks, of which the second is academic."""
+    said = F.concat("text", F.expr("CASE WHEN conv_id % 3 = 0 THEN concat(' [', turn % 5, '][2] and [', conv_id % 7, ']?') ELSE '' END"))
+    chunks = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit("academic" if k == 2 else "public").alias("doc_type")) for k in (1, 2, 3)])
+    checks = answers.auto_checks(said, chunks, ["the", "ing", "zq"], "\\?|let me know", "doctor|clinic|on")
+    return _turns(spark, d).select("conv_id", "turn", checks.alias("c")).select("conv_id", "turn", F.col("c.n_parts").cast("long").alias("n_parts"), F.array_join("c.cited", ",").alias("cited"), F.array_join("c.invalid", ",").alias("invalid"), F.col("c.n_academic").cast("long").alias("n_academic"), "c.asks", "c.refers")
+
+
+def answer_gold_found(spark, d):
+    """Gold documents among the ten best."""
+    best = vector.topk(vector.fused_scores(tables.chunks(spark, d), tables.queries(spark, d)), 10).groupBy("query_id").agg(F.collect_set("doc").alias("docs"))
+    gold = retrieval.gold(_questions(spark, d)).groupBy("query_id").agg(F.collect_set("doc").alias("gold"))
+    return gold.join(best, "query_id").select("query_id", F.array_join(answers.gold_found(F.col("gold"), F.col("docs")), ",").alias("found"), F.size("gold").cast("long").alias("n_gold"))
+
+
+WORDS = answers.Vocabulary(REFUSAL, ASK, "which th", BANNED, ADJUST, REFERENCES)
+
+
+def answer_checks_joined(spark, d):
+    """A2 to A10: assistant turns as results of two runs, one without retrieval, joined to their conversations as questions."""
+    turns = _turns(spark, d)
+    kind = "CASE conv_id % 4 WHEN 0 THEN 'out of scope' WHEN 1 THEN 'partly in scope' WHEN 2 THEN 'missing conditions' ELSE 'other' END"
+    questions = turns.groupBy(F.col("conv_id").alias("number")).agg(F.min(F.struct("turn", "text")).alias("q")).selectExpr("number", kind.replace("conv_id", "number") + " AS kind", "CASE WHEN number % 5 = 0 THEN 'in,partial' ELSE '' END AS explicit", "q.text AS question", "CASE WHEN number % 2 = 0 THEN array('src1', 's-3') ELSE array() END AS gold")
+    said = "concat(text, CASE WHEN conv_id % 3 = 0 THEN concat(' I will not answer. Please check [1][', turn % 5, ']') ELSE '' END)"
+    results = turns.filter("role = 'assistant'").selectExpr("CASE WHEN turn % 4 = 1 THEN 'blank' ELSE 'full' END AS result", "conv_id AS number", "turn", f"{said} AS answer", "CASE WHEN turn % 4 <> 1 THEN concat(CASE WHEN conv_id % 2 = 0 THEN 'in' ELSE 'out' END, ': so') END AS verdict", "CASE WHEN turn % 4 <> 1 THEN concat('[1] t (src', conv_id % 4, ') 3 (0.51)\n[2] t (s-3) 4 (0.50)') END AS sources")
+    checks = answers.check_answers(results, questions, WORDS)
+    return answers.check_matrix(checks, "result", answers.CHECKS)
+
+
+def strategy_grid(spark, d):
+    """Q8: two strategies, the even and the odd chunks, each searched for all questions."""
+    index = tables.chunks(spark, d).withColumn("strategy", F.when(F.col("chunk_id") % 2 == 0, "even").otherwise("odd"))
+    found = retrieval.strategy_grid(index, tables.queries(spark, d), lambda chunks, asked: vector.topk(vector.fused_scores(chunks, asked), 3), suffix=retrieval.setting_suffix(per_doc=2, translated=True))
+    return found.select("strategy", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+def grading_width(spark, d):
+    """G1, on texts with Hangul and full forms put in."""
+    odd = F.concat("text", F.repeat(F.lit("가ｱ（○"), (F.col("doc_id") % 5).cast("int")))
+    return tables.table(spark, d, "documents").select("doc_id", repro.display_width(odd).cast("long").alias("width"))
+
+
+def grading_cited_texts(spark, d):
+    """Stored lists of three sources; in every third conversation the search gives another one, in every fifth a mark is new."""
+    turns = _turns(spark, d).filter("role = 'user' and turn = 0 or turn = 1")
+    stored = turns.groupBy(F.col("conv_id").alias("number")).agg(F.max("text").alias("t")).select("number", F.expr("concat('so [2] and [', number % 4, ']')").alias("answer"), F.expr("concat('[1] a (d', number, ') 3쪽 (0.51)\n\n[2] b (e) 4 [OCR] (0.40)\n[3] c (f) part (0.31)')").alias("sources"))
+    found = stored.select("number", F.posexplode(F.array(F.expr("concat('a (d', number, ') 3쪽')"), F.expr("concat('b (e) 4', CASE WHEN number % 5 = 0 THEN '' ELSE ' [OCR]' END)"), F.expr("CASE WHEN number % 3 = 0 THEN 'x (f) part' ELSE 'c (f) part' END"))).alias("k", "cite")).select("number", (F.col("k") + 1).alias("rank"), "cite", F.concat(F.lit("text "), (F.col("k") + 1).cast("string")).alias("text"))
+    return repro.cited_texts(stored, found).select("number", F.col("rank").cast("long").alias("rank"), "text", "cited")
+
+
+def _questions_to_grade(spark, d):
+    turns = _turns(spark, d).groupBy(F.col("conv_id").alias("number")).agg(F.min(F.struct("turn", "text")).alias("q"), F.max(F.struct("turn", "text")).alias("a"))
+    rows = turns.selectExpr("number", "concat('kind ', number % 3) AS kind", "q.text AS question", "CASE WHEN number % 4 <> 0 THEN concat(CASE WHEN number % 2 = 0 THEN 'in' ELSE 'out' END, ': so') END AS verdict", "array('in', 'partial') AS expected", "a.text AS answer", "'a judgement' AS judgement", "CASE WHEN number % 3 = 0 THEN array() ELSE array('one', 'two') END AS details")
+    texts = turns.filter("number % 4 <> 0").selectExpr("number", "explode(array(1, 2)) AS rank").selectExpr("number", "rank", "concat('source ', rank, ' \n of it') AS text", "rank = 1 AS cited")
+    return rows, texts
+
+
+def grading_sheet_lines(spark, d):
+    """A sheet of all conversations."""
+    rows, texts = _questions_to_grade(spark, d)
+    return repro.sheet_lines(rows, texts, "grading sheet").select("part", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def grading_sheet_blocks(spark, d):
+    """A filled sheet for each twenty conversations, parsed: ids divisible by 5 have everything right, by 3 an empty judgement."""
+    part = "concat('====\n', conv_id, '번 · kind\n====\n[scope] ', CASE WHEN conv_id % 2 = 0 THEN 'O' ELSE 'X' END, '\n  [', CASE WHEN conv_id % 3 = 0 THEN ' ' WHEN conv_id % 5 = 0 THEN 'O' ELSE ' X ' END, '] judgement yes\n  [△] 1. one\n  [', CASE WHEN conv_id % 5 = 0 THEN '○' ELSE '' END, '] 2. two\n  [x] [1] cited\n  [O] [2] cited\n  [', CASE WHEN conv_id % 7 = 0 THEN 'o' ELSE '' END, '] retrieval hit\n  violations: ', CASE WHEN conv_id % 2 = 0 THEN cast(conv_id % 4 AS string) ELSE '' END, '\n')"
+    blocks = _turns(spark, d).filter("turn = 0").selectExpr("conv_id", f"{part} AS block")
+    sheets = blocks.groupBy(F.floor(F.col("conv_id") / 20).alias("sheet_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "block"))), lambda x: x["block"]), "").alias("body")).select("sheet_id", F.concat(F.lit("head\n"), "body", F.lit("====\nlist\n")).alias("text"))
+    found = repro.parse_sheet(sheets)
+    return found.select("number", "judgement", "detail_score", *[F.col(c).cast("long").alias(c) for c in ("details_graded", "details", "cites_right", "cites_graded", "cites", "violations")], "hit", "scope")
+
+
+SETTINGS = {"model": {"answers": "m", "temperature": 0}, "search": {"strategy": "fixed", "k": 10, "text:request": ASK_FOR}, "rules": {"text:terms": TERMS, "text:stages": STAGES}}
+
+
+def snapshot_settings(spark, d):
+    """Settings, and the documents of ids divisible by 20 as files."""
+    files = tables.table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return spark.createDataFrame(repro.snapshot(SETTINGS, files), "path string, value string")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (gold_parse, label_pages, retrieval_hits, retrieval_reachability, retrieval_first_rank, retrieval_strategy_summary, query_strip_suffix, citation_string, setting_label_codec, scope_override_rules, context_assembly, answer_refusal, answer_askback, answer_cited_numbers, answer_verifiable_sources, answer_gold_cited, answer_check_matrix, guard_banned_expression, guard_drop_sentences, expected_scope, fingerprint, snapshot_diff, grading_rubric_split, grading_sheet_parse, grading_score_report, embed_cache_misses, embed_cache_upsert, answer_pipeline_stub)
+    for f in (gold_parse, label_pages, retrieval_hits, retrieval_reachability, retrieval_first_rank, retrieval_strategy_summary, query_strip_suffix, citation_string, setting_label_codec, scope_override_rules, context_assembly, answer_refusal, answer_askback, answer_cited_numbers, answer_verifiable_sources, answer_gold_cited, answer_check_matrix, guard_banned_expression, guard_drop_sentences, expected_scope, fingerprint, snapshot_diff, grading_rubric_split, grading_sheet_parse, grading_score_report, embed_cache_misses, embed_cache_upsert, answer_pipeline_stub, answer_baseline, query_translation_cache, answer_scope_right, answer_auto_checks, answer_gold_found, answer_checks_joined, strategy_grid, grading_width, grading_cited_texts, grading_sheet_lines, grading_sheet_blocks, snapshot_settings)
 }
 
 _SPEC = SPEC.replace("\n", "' || chr(10) || '")
@@ -328,4 +435,44 @@ SELECT doc_id, p[1] AS judgement, greatest(len(p) - 1, 0) AS details, array_to_s
     "grading_score_report": _SHEET + "SELECT 'sheet' || conv_id % 4 AS sheet_id, CASE WHEN no = 0 THEN 'judgement' ELSE 'detail' END AS kind, count(*) AS boxes, count(mark) AS graded, count_if(mark = 1)::BIGINT AS full, round(avg(mark), 6) AS rate FROM boxes GROUP BY 1, 2",
     "embed_cache_misses": "SELECT DISTINCT sha1('m1' || chr(10) || text) AS key, text FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE conv_id % 3 = 0)",
     "embed_cache_upsert": "SELECT DISTINCT sha1('m1' || chr(10) || text) AS key, 8::BIGINT AS n FROM conversations",
+    "answer_baseline": "SELECT conv_id * 1000 + turn AS query_id, trim(substring(list_last(string_split(text, chr(10))), 1, 80)) || ' [1]' AS answer FROM conversations WHERE role = 'user'",
+    "query_translation_cache": """
+WITH u AS (SELECT conv_id, turn, text, array_to_string(list_reverse(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), ' ') AS up FROM conversations WHERE role = 'user'),
+k AS (SELECT DISTINCT text AS known FROM u WHERE conv_id % 3 = 0)
+SELECT conv_id, turn, FALSE AS expand, CASE WHEN known IS NOT NULL THEN 'known' ELSE up END AS translated FROM u LEFT JOIN k ON text = known
+UNION ALL SELECT conv_id, turn, TRUE, up FROM u""",
+    "answer_scope_right": """
+SELECT conv_id, turn, list_contains(CASE WHEN turn % 3 = 0 THEN ['in', 'partial'] WHEN conv_id % 3 = 0 THEN ['out'] WHEN conv_id % 3 = 1 THEN ['partial'] ELSE ['in'] END, CASE turn % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'partial' ELSE 'out' END) AS right FROM conversations""",
+    "answer_auto_checks": """
+WITH a AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 3 = 0 THEN ' [' || turn % 5 || '][2] and [' || conv_id % 7 || ']?' ELSE '' END AS a FROM conversations),
+c AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(a, '\\[(\\d{1,9})\\]', 1), lambda x: x::INT))) AS c FROM a)
+SELECT conv_id, turn, contains(a, 'the')::BIGINT + contains(a, 'ing')::BIGINT + contains(a, 'zq')::BIGINT AS n_parts, array_to_string(c, ',') AS cited, array_to_string(list_filter(c, lambda x: x NOT BETWEEN 1 AND 3), ',') AS invalid,
+  list_contains(c, 2)::BIGINT AS n_academic, regexp_matches(a, '\\?|let me know') AS asks, regexp_matches(a, 'doctor|clinic|on') AS refers FROM c""",
+    "answer_gold_found": _MARKED + """, best AS (SELECT query_id, list(DISTINCT doc) AS docs FROM found WHERE strategy = 'fused' GROUP BY 1), g AS (SELECT query_id, list(DISTINCT doc) AS gold FROM gold GROUP BY 1)
+SELECT query_id, array_to_string(list_sort(list_filter(gold, lambda x: list_contains(docs, x))), ',') AS found, len(gold) AS n_gold FROM g JOIN best USING (query_id)""",
+    "answer_checks_joined": f"""
+WITH q AS (SELECT conv_id, first(text ORDER BY turn) AS question FROM conversations GROUP BY 1),
+r AS (SELECT CASE WHEN turn % 4 = 1 THEN 'blank' ELSE 'full' END AS result, conv_id, turn, question, text || CASE WHEN conv_id % 3 = 0 THEN ' I will not answer. Please check [1][' || turn % 5 || ']' ELSE '' END AS a, turn % 4 <> 1 AS found FROM conversations JOIN q USING (conv_id) WHERE role = 'assistant'),
+n AS (SELECT *, list_distinct(regexp_extract_all(a, '\\[(\\d{{1,9}})\\]', 1)) AS n, split_part(a, '{REFERENCES}', 1) AS b FROM r),
+c AS (SELECT result,
+  CASE WHEN conv_id % 4 = 0 THEN regexp_matches(a, '{REFUSAL}') END AS refused_out, CASE WHEN conv_id % 4 = 1 THEN regexp_matches(a, '{REFUSAL}') END AS refused_part,
+  CASE WHEN found THEN list_contains(CASE WHEN conv_id % 5 = 0 THEN ['in', 'partial'] WHEN conv_id % 4 = 0 THEN ['out'] WHEN conv_id % 4 = 1 THEN ['partial'] ELSE ['in'] END, CASE WHEN conv_id % 2 = 0 THEN 'in' ELSE 'out' END) END AS scope_right,
+  CASE WHEN regexp_matches(question, 'which th') THEN regexp_matches(b, '{BANNED}') END AS diagnosis,
+  len(list_filter(string_split(regexp_replace(replace(b, chr(10), chr(30)), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_matches(s, '{ADJUST}'))) > 0 AS advice,
+  CASE WHEN conv_id % 4 = 2 THEN regexp_matches(b, '{ASK}') END AS asked_back,
+  CASE WHEN NOT found THEN FALSE ELSE len(n) > 0 AND len(list_filter(n, lambda x: x NOT IN ('1', '2'))) = 0 END AS verifiable,
+  CASE WHEN found AND conv_id % 2 = 0 THEN (list_contains(n, '1') AND conv_id % 4 = 1) OR list_contains(n, '2') END AS gold_cited FROM n),
+long AS (SELECT result, unnest([{{'check': 'refused_out', 'v': refused_out}}, {{'check': 'refused_part', 'v': refused_part}}, {{'check': 'scope_right', 'v': scope_right}}, {{'check': 'diagnosis', 'v': diagnosis}}, {{'check': 'advice', 'v': advice}}, {{'check': 'asked_back', 'v': asked_back}}, {{'check': 'verifiable', 'v': verifiable}}, {{'check': 'gold_cited', 'v': gold_cited}}]) AS x FROM c)
+SELECT result, x.check AS check, coalesce(count_if(x.v), 0)::BIGINT AS yes, count(x.v) AS asked FROM long GROUP BY 1, 2""",
+    "strategy_grid": _SCORED + """ SELECT CASE WHEN chunk_id % 2 = 0 THEN 'even' ELSE 'odd' END || '+doc2+en' AS strategy, query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY fused DESC, chunk_id) AS rank FROM s0) WHERE rank <= 3""",
+    "grading_width": "SELECT doc_id, length(text) + 6 * (doc_id % 5) AS width FROM documents",
+    "grading_cited_texts": """
+SELECT conv_id AS number, rank, 'text ' || rank AS text, rank IN (2, conv_id % 4) AS cited FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn <= 1 AND conv_id % 3 <> 0) CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS rank)""",
+    "grading_sheet_blocks": """
+SELECT conv_id AS number, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS judgement, (CASE WHEN conv_id % 5 = 0 THEN 1.5 ELSE 0.5 END)::DOUBLE AS detail_score,
+  CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS details_graded, 2::BIGINT AS details, 1::BIGINT AS cites_right, 2::BIGINT AS cites_graded, 2::BIGINT AS cites, CASE WHEN conv_id % 2 = 0 THEN conv_id % 4 END AS violations,
+  CASE WHEN conv_id % 7 = 0 THEN 1.0 END::DOUBLE AS hit, CASE WHEN conv_id % 2 = 0 THEN 'O' ELSE 'X' END AS scope FROM conversations WHERE turn = 0""",
+    "snapshot_settings": f"""
+SELECT * FROM (VALUES ('model > answers', 'm'), ('model > temperature', '0'), ('search > strategy', 'fixed'), ('search > k', '10'), ('search > request', substring(sha256('{ASK_FOR}'), 1, 12)), ('rules > terms', substring(sha256('{TERMS}'), 1, 12)), ('rules > stages', substring(sha256('{STAGES}'), 1, 12))) t(path, value)
+UNION ALL SELECT 'files > ' || doc_id, substring(sha256(text), 1, 12) FROM documents WHERE doc_id % 20 = 0""",
 }
