@@ -1,11 +1,13 @@
-"""What is decided around fetching, without the network: policies (S6, S7), names (S10), ids (S12, S13), listings (S14), attachments (S16), page texts."""
+"""What is decided around fetching, without the network: kinds (S2), policies (S6, S7), names (S10), ids (S12, S13), listings (S14), boards (S15), attachments (S16), page texts."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .markup import links, plain_text
+from .markup import article_texts, links, main_text, plain_text, portal_texts, title
 
 EMPTY_CHARS, SCAN_SHARE, LEAST_OCR, MOST_FILES = 20, 0.9, 100, 3
 
@@ -24,11 +26,37 @@ def download_name(disposition: Column, url: Column) -> Column:
     """The name that a download states in UTF-8, else plainly, else the end of its path, else ``download``."""
     some = lambda c: F.when(c != "", c)
     extended = F.try_url_decode(F.regexp_extract(disposition, "(?i)filename\\*\\s*=\\s*UTF-8''([^;\\s]+)", 1))
-    plain = F.regexp_extract(disposition, '(?i)filename\\s*=\\s*"([^"]+)"', 1)
+    plain = _decoded(F.regexp_extract(disposition, '(?i)filename\\s*=\\s*"([^"]+)"', 1))
     path = F.try_url_decode(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[^:]+://[^/]*/(?:.*/)?([^/]*)$", 1))
     return F.coalesce(some(extended), some(plain), some(path), F.lit("download"))
 
 
+@F.pandas_udf(StringType())
+def _decoded(names: pd.Series) -> pd.Series:
+    """A header's name, read as Latin-1, in the encoding that it is of: UTF-8 if its bytes are valid, else EUC-KR, else as it is."""
+
+    def again(name: str | None) -> str | None:
+        for encoding in ("utf-8", "euc-kr"):
+            try:
+                return name and name.encode("latin-1").decode(encoding)
+            except UnicodeError:
+                continue
+        return name
+
+    return names.map(again)
+
+
+def masked(text: Column, key: str) -> Column:
+    """A log line or URL without the secret key."""
+    return F.replace(text, F.lit(key), F.lit("***")) if key else text
+
+
+def content_urls(rows: DataFrame, endpoint: str) -> DataFrame:
+    """Rows (source_id, number, url) of sources (source_id, query): one for each content number; the URL holds no key."""
+    each = rows.select("source_id", F.explode(content_numbers(F.col("query"))).alias("number"))
+    return each.select("source_id", "number", F.concat(F.lit(endpoint), "number").alias("url"))
+
+
 def stated_ids(query: Column, prefix: str = "PMC") -> Column:
     """The ids of a query that holds nothing but ids and separators, else null: then it is a search."""
     rest = F.regexp_replace(query, f"(?i){prefix}\\d+|[\\s,;]+", "")
@@ -46,8 +74,11 @@ def hidden_files(listings: DataFrame, post: str, file_pattern: str = "\\.pdf$",
 
     ``post`` is the pattern of a post: title id, title. A file without a post has the title ''.
     """
-    inputs = lambda name: F.regexp_extract_all("html", F.lit(f'id="{name}\\d*" value="([^"]*)"'), F.lit(1))
-    both = F.arrays_zip(inputs("userFileName").alias("user_file"), inputs("systemFileName").alias("system_file"), inputs("titleId").alias("title_id"), inputs("fileId").alias("file_id"))
+    # the four inputs of a file follow each other; a file that lacks one is none
+    hidden = lambda name: f'id="{name}\\d*"\\s+value="([^"]*)"\\s*/?>'
+    form = hidden("userFileName") + "".join('\\s*<input[^>]*?' + hidden(name) for name in ("systemFileName", "titleId", "fileId"))
+    group = lambda k, name: F.regexp_extract_all("html", F.lit(form), F.lit(k)).alias(name)
+    both = F.arrays_zip(group(1, "user_file"), group(2, "system_file"), group(3, "title_id"), group(4, "file_id"))
     files = listings.select("list_id", F.explode(both).alias("f")).select("list_id", "f.*")
     posts = F.arrays_zip(F.regexp_extract_all("html", F.lit(post), F.lit(1)).alias("title_id"), F.regexp_extract_all("html", F.lit(post), F.lit(2)).alias("title"))
     titles = listings.select("list_id", F.explode(posts).alias("p")).groupBy("list_id", "p.title_id").agg(F.first("p.title").alias("title")).select("list_id", "title_id", plain_text(F.col("title")).alias("title"))
@@ -64,6 +95,39 @@ def attachments(pages: DataFrame, pattern: str, most: int = MOST_FILES) -> DataF
     return meta.unionByName(first.select("page_id", F.explode("l").alias("x")).select("page_id", "x.url"))
 
 
+def board_files(lists: DataFrame, posts: DataFrame, detail: str, file_pattern: str, title_filter: str = "", most: int = MOST_FILES) -> DataFrame:
+    """Rows (page_id, post_url, title, url): the files of the posts that a board's lists link to.
+
+    ``lists``: page_id, url, html of the list pages. ``posts``: url, html of the posts that were fetched.
+    """
+    linked = links(lists, detail, title_filter).select("page_id", F.col("url").alias("post_url"), F.col("label").alias("title"))
+    known = posts.withColumn("page_id", F.xxhash64("url"))
+    files = attachments(known, file_pattern, most).join(known.select("page_id", F.col("url").alias("post_url")), "page_id").drop("page_id")
+    return linked.join(files, "post_url").select("page_id", "post_url", "title", "url")
+
+
+def parse_fetched(fetched: DataFrame, kind: str, **how) -> DataFrame:
+    """What is made of a kind's fetched pages (page_id, url, html): files to fetch, or texts. An unknown kind is an error.
+
+    page: attachments. html: title and main text. pmc, kdca: texts of XML. khepi: files of hidden inputs. pdf: itself.
+    ``board`` needs the posts too: ``board_files``.
+    """
+    xml = lambda: fetched.select(F.col("page_id").alias("doc"), F.col("html").alias("xml"))
+    if kind == "pdf":
+        return fetched.select("page_id", "url")
+    if kind == "page":
+        return attachments(fetched, how.get("pattern", "\\.(pdf|hwpx?)"), how.get("most", MOST_FILES))
+    if kind == "html":
+        return fetched.select("page_id", "url", title(F.col("html")).alias("title")).join(main_text(fetched, how.get("selector")), "page_id")
+    if kind == "pmc":
+        return article_texts(xml())
+    if kind == "kdca":
+        return portal_texts(xml())
+    if kind == "khepi":
+        return hidden_files(fetched.withColumnRenamed("page_id", "list_id"), how["post"], how.get("pattern", "\\.pdf$"), how.get("title_filter", ""))
+    raise ValueError(f"no kind {kind}")
+
+
 def page_plan(pages: DataFrame) -> DataFrame:
     """Rows (doc, n_pages, n_empty, recognise, n_ocr) for pages (doc, page, n_chars, ocr_chars).
 

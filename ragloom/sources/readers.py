@@ -47,6 +47,19 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.concat(F.lit("manual://"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1)).alias("key"), "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def import_notes(files: DataFrame, known: DataFrame, note: str) -> DataFrame:
+    """Rows (key, sha256, note) of local files in order of their key; ``note`` is put once behind what ``known`` (key, note) has."""
+    joined = files.select("key", "sha256").join(known.select("key", F.col("note").alias("before")), "key", "left")
+    before = F.coalesce("before", F.lit(""))
+    grown = F.when(F.contains(before, F.lit(note)), before).otherwise(F.concat_ws(" | ", F.when(before != "", before), F.lit(note)))
+    return joined.select("key", "sha256", grown.alias("note")).orderBy("key")
+
+
+def kept_index(spark: SparkSession, path: str, strategy: str) -> DataFrame:
+    """One strategy of an index, kept in the executors' memory and disks for many searches; ``unpersist`` lets it go."""
+    return read_index(spark, path, strategy).persist()
+
+
 def read_index(spark: SparkSession, path: str, strategy: str) -> DataFrame:
     """One strategy of an index; an error if it has none."""
     rows = spark.read.parquet(path).filter(F.col("strategy") == strategy)

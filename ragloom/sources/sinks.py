@@ -51,9 +51,17 @@ def write_run(rows: DataFrame, path: str, run_id: str, settings: str) -> None:
     rows.withColumn("settings", F.lit(settings)).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; files are sorted ranges where the rows are sorted."""
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """CSV with a header, its first name behind a byte order mark, so that spreadsheets read UTF-8; in order, if one is given."""
+    first = rows.columns[0]
+    marked = rows.orderBy(order) if order else rows
+    marked.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_tables(sheets: dict[str, DataFrame], path: str) -> None:
+    """Several tables, a folder of CSV for each."""
+    for name, rows in sheets.items():
+        write_csv(rows, f"{path}/{name}")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -72,6 +80,7 @@ def upsert_last(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(last.select(key), key, "left_anti").unionByName(last)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text lines (order, line) with CRLF ends, in order."""
-    lines.orderBy("order").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+def write_lines(lines: DataFrame, path: str, sheet: str = "sheet_id") -> None:
+    """Text lines (sheet_id, order, line) with CRLF ends, in order: a folder for each sheet, in as many tasks as there are sheets."""
+    placed = lines.withColumn("value", F.when(F.row_number().over(Window.partitionBy(sheet).orderBy("order")) == 1, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
+    placed.repartition(sheet).sortWithinPartitions(sheet, "order").select(sheet, "value").write.mode("overwrite").partitionBy(sheet).option("lineSep", "\r\n").text(path)

@@ -90,10 +90,10 @@ def test_edges_and_offsets(spark):
     assert {r.doc: r.page_offset for r in textclean.page_offset(pages).collect()} == {"d": 4, "e": 6}
 
 
-def test_untitled_text_is_one_section(spark):
+def test_sections_of_texts_with_and_without_titles(spark):
     docs = spark.createDataFrame([(1, "plain\ntext"), (2, "# t\nintro\n## A\na\n### deep\nb\n## Funding\nc")], "doc_id long, text string")
     found = {(r.doc_id, r.title): r.body for r in textclean.sections(docs, "funding").collect()}
-    assert found == {(1, ""): "plain\ntext", (2, "A"): "a\n### deep\nb"}
+    assert found == {(2, "A"): "a\n### deep\nb"}
 
 
 def test_windows(spark):
@@ -179,10 +179,17 @@ def test_densest_text():
 
 
 def test_width_and_wrapping(spark):
-    assert repro.width_of("a한글") == 5
-    wrapped = repro.wrap_text("가" * 50 + " word", 72, "  ")
-    assert all(repro.width_of(line) <= 72 for line in wrapped.split("\n")) and wrapped.replace("\n", "").replace(" ", "") == "가" * 50 + "word"
-    assert got(spark, "한a", repro.width) == 3
+    import unicodedata
+
+    sample = "a한글 ○１ｱ（、漢あ😀é"
+    wide = lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)
+    assert all(got(spark, c, repro.display_width) == wide(c) for c in [*sample, sample])
+    lines = repro.wrap_lines("- " + "가나다 " * 30 + "\n\n[ ] 12. " + "word " * 40, indent="  ")
+    assert all(wide(x) <= 72 for x in lines) and "" in lines
+    assert lines[0].startswith("  - 가") and lines[1].startswith("    가")
+    box = lines[lines.index("") + 1 :]
+    assert box[0].startswith("  [ ] 12. word") and all(x.startswith(" " * 10 + "word") for x in box[1:])
+    assert got(spark, "가" * 50, repro.wrap) == ["가" * 50] and got(spark, None, repro.wrap) is None
 
 
 def test_blank_boxes_are_not_graded(spark):
@@ -219,7 +226,7 @@ def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("u", "1", "h", "d1", "use", "n", "mine"), ("v", "2", "h2", "d1", "", "", "")], schema)
     fresh = spark.createDataFrame([("u", "h9", "d2", "cc"), ("w", "h3", "d2", "cc")], "url string, sha256 string, collected_on string, license string")
     first = catalog.upsert(old, fresh)
-    assert {r.url: (r.status, r.note, r.license) for r in first.collect()} == {"u": ("updated", "n | changed d2", "mine"), "v": ("kept", "", None), "w": ("new", "", "cc")}
+    assert {r.url: (r.status, r.note, r.license) for r in first.collect()} == {"u": ("updated", "n | changed d2 (before: 1_d1)", "mine"), "v": ("kept", "", None), "w": ("new", "", "cc")}
     again = catalog.upsert(first.drop("status"), fresh)
     assert {r.url: r.status for r in again.collect()} == {"u": "unchanged", "v": "kept", "w": "unchanged"}
 
@@ -239,8 +246,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_index(spark, str(tmp_path / "i"), "fixed").count() == 1
     with pytest.raises(FileNotFoundError):
         readers.read_index(spark, str(tmp_path / "i"), "other")
-    sinks.write_lines(spark.createDataFrame([(2, "b"), (1, "a")], "order int, line string"), str(tmp_path / "s"))
-    assert b"".join(p.read_bytes() for p in (tmp_path / "s").glob("part*")) == b"a\r\nb\r\n"
+    sinks.write_lines(spark.createDataFrame([(7, 2, "b"), (7, 1, "a"), (8, 1, "c")], "sheet_id int, order int, line string"), str(tmp_path / "s"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "s/sheet_id=7").glob("part*")) == b"\xef\xbb\xbfa\r\nb\r\n"
+    sinks.write_csv(spark.createDataFrame([("b", 1), ("a", 2)], "id string, n int"), str(tmp_path / "c"), "id")
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "c").glob("part*"))).startswith(b"\xef\xbb\xbfid,n")
+    rows = spark.createDataFrame([("b", "h2"), ("a", "h1")], "key string, sha256 string")
+    noted = readers.import_notes(rows, spark.createDataFrame([("a", "by hand"), ("b", "old")], "key string, note string"), "by hand").collect()
+    assert [(r.key, r.note) for r in noted] == [("a", "by hand"), ("b", "old | by hand")]
 
 
 def test_streams(spark, tmp_path):
