@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, strip_request
-from ..sources.sinks import checkpointed
+from ..sources.sinks import checkpointed, small_batches
 from . import answers
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -68,6 +68,7 @@ def hash_embedder(texts: list[str], size: int = 8) -> list[list[float]]:
 
 def embed(misses: DataFrame, model: Embed = hash_embedder, batch: int = 100) -> DataFrame:
     """V1: rows (key, vec) of the misses, ``batch`` texts a call."""
+    small_batches(misses.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -90,6 +91,7 @@ def stub_answer(prompts: list[str]) -> list[str]:
 
 def ask(prompts: DataFrame, model: Answer = stub_answer, out: str = "answer") -> DataFrame:
     """Rows (query_id, answer); a failed call gives ``ERROR: ...`` in its row, and the run goes on."""
+    small_batches(prompts.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -114,6 +116,7 @@ def translate(questions: DataFrame, cache: DataFrame, model: Answer = stub_trans
 
     Each distinct text that the cache lacks is translated once. Expanded translations have keys of their own.
     """
+    small_batches(questions.sparkSession)
     key = F.concat(F.lit("expand|" if expand else ""), "text")
     keyed = questions.withColumn("key", key)
     misses = keyed.filter("text is not null").select("key", "text").distinct().join(cache.select("key"), "key", "left_anti")

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
@@ -24,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch to a Python worker holds, by rows and bytes, so that a batch of very long texts fits it. A lower bound of the session's stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None) or "-1"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that its lineage ends there."""
     shared_folder(df.sparkSession)
