@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filter_after, unused
-from ..sources.sinks import checkpointed, delete, shared_folder
+from ..sources.sinks import checkpointed, delete, shared_folder, small_batches
 
 __all__ = ["checkpointed", "count_of", "crc32_text", "delete", "filter_after", "hash_sample", "shared_folder", "shuffle_partitions", "small_batches", "unused", "words", "written"]
 
 #: Words are what lies between runs of these (space, tab, line feed, vertical tab, form feed, return).
 SPACE = "[ \\x09-\\x0D]+"
-#: Rows that one Arrow batch to a Python worker may hold, and its size: long texts stay within memory.
-BATCH_ROWS, BATCH_BYTES = "1000", "32m"
 
 
 def words(text: Column) -> Column:
@@ -33,12 +31,6 @@ def crc32_text(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that a batch of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, read again, and its path for ``delete``: a checkpoint of which a reader takes the columns that it needs."""
     path = f"{shared_folder(df.sparkSession)}/ragloom-{uuid.uuid4().hex}"

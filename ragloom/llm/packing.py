@@ -12,8 +12,9 @@ A document's tokens are its whole text's ids and then the end id. Ids are made a
 bounded table: the tokenizer never joins across white space. Texts with a marker of its special tokens or with
 the four separators that Python alone takes for white space go through the tokenizer whole.
 
-Nulls: a null text is empty: one token, the end id. A null doc_id is kept. Repeated rows are packed apart. An
-empty table gives no rows. A very long text is cut into as many pieces as it needs. Extra columns are ignored.
+Nulls: a null text is empty: one token, the end id. A null doc_id is kept. Repeated rows are packed apart. Ties don't
+matter: pieces fill their class in the order of the rows. An empty table gives no rows. A very long text is cut into as
+many pieces as it needs. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ that meet on a variant are verified. All fingerprints on one variant lie within
 linking each with the next on that variant keeps every component, without all pairs.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); a row with a null doc_id keeps
-its row. Repeated rows share one fingerprint and are never compared. An empty table gives no rows. Extra
-columns are ignored by ``fingerprints`` and kept by ``drop_near_copies``.
+its row. Repeated rows share one fingerprint and are never compared. Ties: a bit that just half of the hashes have is
+0; a component is named by its least doc_id. Very long texts are hashed CHUNK shingles at a time. An empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
