@@ -231,7 +231,7 @@ def test_random_tokens_and_words(spark):
     keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(60)]
     words = ["internationalization2and1localization", "zzzzzzzzzzzzzzzzzzzzzzzz1", "the/path/to/some/file/number/12/in/the/tree", "xyxyxyxyxyxyxyxyxyxyxyxy12", "version1version2version3version4"]
     docs = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(keys + words)], "doc_id long, text string")
-    found = {r.doc_id for r in secrets.scan(docs).filter("size(x_spans) > 0").collect()}
+    found = {r.x_row.doc_id for r in secrets.scan(docs).filter("size(x_spans) > 0").collect()}
     assert len([k for k in found if k < 60]) >= 54 and not [k for k in found if k >= 60]
 
 
