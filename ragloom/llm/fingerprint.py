@@ -34,7 +34,7 @@ SPREAD = 0x9E3779B1
 #: Ranges of documents for each shuffle partition.
 RANGES_EACH, LOW = 8, -(1 << 63)
 #: Starts of ranges that stand in an expression.
-MOST_STARTS = 2048
+MOST_STARTS = 256
 
 
 def terms(text: Column) -> Column:
