@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html, language, licenses, mixing, packing, quality, secrets, sharding, simhash
+from . import fingerprint, html, language, licenses, mixing, packing, periods, quality, secrets, sharding, simhash
 
 QUERIES: tuple = (
     html.op1_html_blocks,
@@ -19,6 +19,7 @@ QUERIES: tuple = (
     packing.op8_harmonic_packing,
     fingerprint.op9_weighted_fingerprints,
     simhash.op10_simhash,
+    periods.op11_periodic_runs,
 )
 
 
