@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, fingerprint, html, language, licenses, mixing, packing, periods, quality, secrets, sharding, simhash
+from . import chat, codes, fingerprint, html, language, licenses, mixing, packing, periods, quality, secrets, sharding, simhash
 
 QUERIES: tuple = (
     html.op1_html_blocks,
@@ -20,6 +20,7 @@ QUERIES: tuple = (
     fingerprint.op9_weighted_fingerprints,
     simhash.op10_simhash,
     periods.op11_periodic_runs,
+    chat.op12_chat_format,
     codes.op13_vector_codes,
 )
 
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL; only the operators that SQL can express."""
-    return {"op2_poisson_mixing": mixing.OP2_SQL, "op13_vector_codes": codes.OP13_SQL}
+    return {"op2_poisson_mixing": mixing.OP2_SQL, "op12_chat_format": chat.OP12_SQL, "op13_vector_codes": codes.OP13_SQL}
