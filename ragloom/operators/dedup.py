@@ -1,20 +1,35 @@
-"""Exact near-duplicate detection by character n-grams: D1 shingles, D2 Jaccard pairs, D3 exclusion, D4 notes.
+"""Near-duplicate detection by character n-grams: D1 shingles, D2 Jaccard pairs, D3 exclusion, D4 notes.
 
-The pairs come from an equi-join on (language, shingle). Texts of equal shingle sets are one class first, so that a
-group of copies is joined once. Only shingles in a prefix of each set, rarest first, are joined: two sets of
-similarity t share one of their (1 - t) * n + 1 rarest shingles, so no pair is missed and frequent shingles, the
-hot keys, are hardly ever joined.
+Texts of equal shingle sets are one class, so that a group of copies is met once. Candidates share a band of their MinHash
+signatures (``shingles``): a fixed number of rows for each text, however long it is. Those that meet are joined to
+components, and within a component texts are compared block by block: first all signatures of two blocks, then, where
+signatures agree often enough, the sets themselves, whose intersections are counted exactly. A text's set so goes to each
+block that holds a likely partner once, and not to each partner.
+
+A pair of similarity ``least`` is missed with a chance below 1e-9, one of a higher similarity with less; that is of the order
+of what 64-bit hashes of shingles confuse. ``prefix_pairs`` is the way without that chance: an equi-join on the rarest
+shingles of each set, which any similar set must share, at the price of shuffling every shingle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, filter_after
-from ..sources.sinks import checkpointed
+from ..sources.sinks import checkpointed, delete, small_batches, written
+from . import shingles as sets
+from .graph import components
 
 NEAR, SAME, SIZE = 0.6, 0.98, 10
+#: Texts of a block, rows of signatures and bytes of sets that are compared in one call, and edges of a component that one call decides.
+BLOCK, CALL_ROWS, CALL_BYTES, CALL_EDGES = 64, 8192, 32 << 20, 200_000
+#: Distinct texts that a task remembers, so that copies are read once.
+KEPT_TEXTS = 500_000
 
 
 def shingles(chars: Column, size: int = SIZE) -> Column:
@@ -31,10 +46,157 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return split.select("doc_id", "lang", shingles(F.col("chars"), size).alias("shingles")).withColumn("n", F.size("shingles"))
 
 
+def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
+    """Rows (doc_id, node, n, sig, spots) of documents with shingles. A node is a class of equal sets of one language.
+
+    With ``cut``: once in each task for each node of a language, the signature's bytes and its bands' keys.
+    """
+    small_batches(docs.sparkSession)
+    names, kinds = ["doc_id", "node", "n", "sig", "spots"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in parts:
+            rows = []
+            for doc_id, lang, text in zip(*(column.to_pylist() for column in part.columns)):
+                found = sets.shingle_set(text, size)
+                if len(found):
+                    node, sig, spots = sets.set_key(found, lang), None, None
+                    if cut and lang is not None and node not in seen:
+                        if len(seen) >= KEPT_TEXTS:
+                            seen.clear()
+                        seen.add(node)
+                        values = sets.signature(found, cut.values)
+                        sig, spots = values.astype(np.uint8).tobytes(), sets.bands(values, cut, lang)
+                    rows.append((doc_id, node, len(found), sig, spots))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(batches, "doc_id long, node long, n int, sig binary, spots array<long>")
+
+
+def _blocks(found: DataFrame) -> DataFrame:
+    """Rows (part, i, j, block, node, n, sig): the texts of each two blocks, i <= j, of a component of texts that meet on bands."""
+    met = found.filter("spots is not null").select("node", F.explode("spots").alias("spot"))
+    shared = met.groupBy("spot").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("spot", "low")
+    joined = components(met.join(shared, "spot").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+    members = checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()))
+    sized = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = found.filter("sig is not null").select("node", "n", "sig").join(placed, "node").dropDuplicates(["node"])
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select(F.col("root").alias("part"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "sig")
+
+
+def _calls(df: DataFrame, count: int) -> DataFrame:
+    """``df`` with the number of the call that holds its blocks."""
+    return df.withColumn("call", F.pmod(F.xxhash64("part", "i", "j"), F.lit(max(1, count))).cast("int"))
+
+
+def _groups(table: pa.Table) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """The blocks of a call with their rows' places."""
+    keys = [table[c].to_numpy() for c in ("part", "i", "j")]
+    order = np.lexsort(keys[::-1])
+    at = np.array(keys)[:, order]
+    starts = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(0))) if len(order) else []
+    for start, end in zip(starts, [*starts[1:], len(order)]):
+        yield tuple(at[:, start].tolist()), order[start:end]
+
+
+def _likely(blocks: DataFrame, cut: sets.Plan, least: float) -> DataFrame:
+    """Rows (part, i, j, u, v): texts of two blocks whose sizes and signatures allow the similarity."""
+    names = ["part", "i", "j", "u", "v"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, n, block = (table[c].to_numpy() for c in ("node", "n", "block"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), cut.values)
+        found = []
+        for key, rows in _groups(table):
+            i, j = key[1:]
+            for k, row in enumerate(rows[:-1]):
+                rest = rows[k + 1 :]
+                if i < j:  # texts of one block are compared in that block alone
+                    rest = rest[block[rest] != block[row]]
+                likely = ((sig[rest] == sig[row]).sum(1) >= cut.agree) & (np.minimum(n[rest], n[row]) >= least * np.maximum(n[rest], n[row]))
+                found += [(*key, node[row], x) for x in node[rest[likely]].tolist()]
+        return pa.table([pa.array([int(f[k]) for f in found], pa.int64()) for k in range(5)], names)
+
+    grouped = _calls(blocks, -(-blocks.count() // CALL_ROWS)).groupBy("call")
+    return grouped.applyInArrow(lambda table: compare(table), ", ".join(f"{c} long" for c in names))
+
+
+def _intersections(rows: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[int]:
+    """The sizes of intersections of pairs of sets, by places in ``rows``."""
+    if len(pairs) <= 2 * len(rows):
+        return [len(np.intersect1d(rows[a], rows[b], assume_unique=True)) for a, b in pairs]
+    every, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, which, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    number = np.cumsum(times > 1) - 1
+    which, owner = number[which[shared]], owner[shared]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    total, step = np.zeros((len(rows), len(rows)), np.int64), 1 << 16
+    for start in range(0, int(number[-1]) + 1, step):
+        a, b = np.searchsorted(which, [start, start + step])
+        held = np.zeros((step, len(rows)), np.float32)
+        held[which[a:b] - start, owner[a:b]] = 1
+        total += (held.T @ held).astype(np.int64)
+    return [int(total[a, b]) for a, b in pairs]
+
+
+def _counted(likely: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Rows (u, v, inter) of likely pairs: each set goes once to the two blocks that it is compared in."""
+    places = [F.col(c).alias(c) for c in ("part", "i", "j")]  # columns of their own, as both sides are grouped
+    wanted = likely.select(*places, F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node")
+    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) * 8 // CALL_BYTES)
+    read = docs.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+    def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [sets.shingle_set(text, size).view(np.int64) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    own = read.select(F.col("doc_id").cast("long"), "text").mapInArrow(shingled, "id long, shingles array<long>")
+    sent = _calls(wanted.join(own, "id").select("part", "i", "j", "node", "shingles"), calls)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {key: rows for key, rows in _groups(right)}
+        node, lists = right["node"].to_numpy(), right["shingles"].combine_chunks()
+        flat, ends = (lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))) if len(node) else (None, None)
+        u, v, out = left["u"].to_numpy(), left["v"].to_numpy(), np.zeros(len(left), np.int64)
+        for key, rows in _groups(left):
+            place = {x: k for k, x in enumerate(node[held[key]].tolist())}
+            own_sets = [flat[ends[k] : ends[k + 1]] for k in held[key]]
+            out[rows] = _intersections(own_sets, [(place[a], place[b]) for a, b in zip(u[rows].tolist(), v[rows].tolist())])
+        return pa.table([left["u"], left["v"], pa.array(out)], ["u", "v", "inter"])
+
+    return _calls(likely, calls).groupBy("call").cogroup(sent.groupBy("call")).applyInArrow(lambda a, b: count(a, b), "u long, v long, inter long")
+
+
 def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:
-    """Pairs (a < b) of classes of one language with similarity ``least`` or more, and both classes' sizes.
+    """Pairs (a < b) of classes of one language with similarity ``least`` or more: (a, b, inter, jaccard).
+
+    A class is the documents of one set of shingles, named by the least doc_id. Documents without a language or without
+    shingles are in no pair.
+    """
+    cut = sets.plan(least, docs.count())
+    found, path = written(_texts(docs, size, cut))
+    classes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")))
+    likely = checkpointed(_likely(checkpointed(_blocks(found)), cut, least))
+    near = _counted(likely, docs, classes, size)
+    for side in "uv":
+        near = near.join(classes.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n")), side)
+    rated = near.withColumn("jaccard", F.col("inter") / (F.col("u_n") + F.col("v_n") - F.col("inter")))
+    out = checkpointed(filter_after(rated, F.col("jaccard") >= least).select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), "inter", "jaccard"))
+    delete(docs.sparkSession, path)
+    return out
 
-    A class is the documents of one set of shingles, named by the least doc_id.
+
+def prefix_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:
+    """D2 without any chance of a missed pair: the rows of ``jaccard_pairs`` by a join on prefixes.
+
+    Only shingles in a prefix of each set, rarest first, are joined: two sets of similarity t share one of their
+    (1 - t) * n + 1 rarest shingles. Every distinct shingle is shuffled.
     """
     # the sets are used four times and dear to make, so they are written once
     sets = checkpointed(filter_after(shingle_sets(docs, size).withColumn("key", F.xxhash64(F.sort_array("shingles"))), F.col("n") > 0))
@@ -59,21 +221,53 @@ def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> Dat
 
 def class_members(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows (doc_id, class_id) for documents with shingles."""
-    sets = filter_after(shingle_sets(docs, size).select("doc_id", "lang", "n", F.xxhash64(F.sort_array("shingles")).alias("key")), F.col("n") > 0)
-    least = sets.groupBy("lang", "key", "n").agg(F.min("doc_id").alias("class_id"))
-    return sets.join(least, ["lang", "key", "n"]).select("doc_id", "class_id")
+    found = checkpointed(_texts(docs, size, None).select("doc_id", "node"))
+    return found.join(found.groupBy("node").agg(F.min("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
 
 
 def content_exclusion(live: DataFrame, pairs: DataFrame, same: float = SAME) -> DataFrame:
     """D3: rows (doc_id, excluded_by) for live documents (doc_id, in order) and their pairs (a < b, jaccard).
 
     A document is excluded by the first earlier one of similarity ``same`` or more that isn't excluded itself: an
-    excluded document excludes none. Round by round, those whose earlier partners are all decided are decided: at
-    least the first open one. Documents without pairs stay out of the rounds.
+    excluded document excludes none. That is a walk in order of id within each component of such pairs. Components of
+    up to CALL_EDGES pairs are walked in one call, many in each. Larger ones are decided in rounds: those documents whose
+    earlier partners are all decided, at least the first open one. Pairs of documents that aren't live don't count.
     """
+    mine = live.select("doc_id")
     edges = pairs.filter(F.col("jaccard") >= same).select("a", "b")
-    paired = checkpointed(live.join(edges.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id", "left_semi"))
-    alone = live.join(paired, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("by"))
+    for side in "ab":
+        edges = edges.join(mine.withColumnRenamed("doc_id", side), side, "left_semi")
+    edges = checkpointed(edges)
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = checkpointed(edges.join(roots.withColumnRenamed("node", "b"), "b"))
+    rooted = checkpointed(rooted.join(rooted.groupBy("root").agg(F.count("*").alias("edges")), "root"))
+    near = checkpointed(_decided(rooted.filter(F.col("edges") <= CALL_EDGES)))
+    edges = checkpointed(rooted.filter(F.col("edges") > CALL_EDGES).select("a", "b"))
+    far = _decided_by_rounds(edges)
+    done = near.unionByName(far)
+    return mine.join(done, "doc_id", "left").select("doc_id", "excluded_by")
+
+
+def _decided(rooted: DataFrame) -> DataFrame:
+    """Rows (doc_id, excluded_by) of the excluded documents of components (a, b, root, edges) that fit one call, many of them in each."""
+    count = -(-rooted.count() // CALL_EDGES)
+
+    def decide(table: pa.Table) -> pa.Table:
+        by: dict[int, int] = {}
+        for b, a in sorted(zip(table["b"].to_pylist(), table["a"].to_pylist())):
+            if a not in by:
+                by.setdefault(b, a)
+        return pa.table([pa.array(by.keys(), pa.int64()), pa.array(by.values(), pa.int64())], ["doc_id", "excluded_by"])
+
+    dealt = rooted.select("a", "b", F.pmod(F.xxhash64("root"), F.lit(max(1, count))).cast("int").alias("call"))
+    return dealt.groupBy("call").applyInArrow(lambda table: decide(table), "doc_id long, excluded_by long")
+
+
+def _decided_by_rounds(edges: DataFrame) -> DataFrame:
+    """Rows (doc_id, excluded_by) of the excluded documents of edges (a, b), in rounds."""
+    if edges.isEmpty():
+        return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("excluded_by"))
+    paired = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     decided = paired.select("doc_id", F.lit(None).cast("long").alias("by")).join(edges.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
     left = None
     while True:
@@ -88,7 +282,7 @@ def content_exclusion(live: DataFrame, pairs: DataFrame, same: float = SAME) ->
         # an earlier exclusion than any open partner's is final too
         done = step.filter("waits = 0 or by < first_open").select(F.col("b").alias("doc_id"), "by")
         decided = checkpointed(decided.unionByName(done))
-    return alone.unionByName(decided).select("doc_id", F.col("by").alias("excluded_by"))
+    return decided.filter("by is not null").select("doc_id", F.col("by").alias("excluded_by"))
 
 
 def similar_notes(docs: DataFrame, excluded: DataFrame, pairs: DataFrame, same: float = SAME) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its path for ``delete``: a reader takes the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/ragloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a table that is needed no more from the shared folder, in whatever store that lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
