@@ -2,6 +2,8 @@
 
 import random
 
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def test_ranges_that_cannot_be_read_are_told(spark):
 # ---- page texts
 
 
-class Plain(markup.HTMLParser):
+class Plain(HTMLParser):
     """A page as nested lists, for a plain version of the densest text."""
 
     def __init__(self, html):
