@@ -50,7 +50,9 @@ def windows(text: Column, size: int, overlap: int = OVERLAP) -> Column:
         # the first piece begins at 0: as if one had ended at the overlap
         first = F.struct(F.lit(-1).alias("s"), F.lit(overlap).alias("e"))
         ends = running(F.sequence(F.lit(1), F.ceil(n / least).cast("int") + 1), first, step, "struct<s:int,e:int>")
-        pieces = F.transform(F.array_distinct(ends), lambda c: strip(part(c["s"], c["e"])))
+        # the fold stands still once the text's end is reached
+        reached = bound(ends, lambda all_: F.slice(all_, 1, F.size(F.filter(all_, lambda c: c["e"] < n)) + 1))
+        pieces = F.transform(reached, lambda c: strip(part(c["s"], c["e"])))
         return F.filter(pieces, lambda p: p != "")
 
     cut_up = bound(F.struct(F.length(text).alias("n"), blocks_of(text, block).alias("blocks")), cut)

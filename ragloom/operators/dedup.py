@@ -26,8 +26,10 @@ from . import shingles as sets
 from .graph import components
 
 NEAR, SAME, SIZE = 0.6, 0.98, 10
-#: Texts of a block, rows of signatures and bytes of sets that are compared in one call, and edges of a component that one call decides.
-BLOCK, CALL_ROWS, CALL_BYTES, CALL_EDGES = 64, 8192, 32 << 20, 200_000
+#: Texts and shingles of a block, rows of signatures and shingles that are compared in one call, and edges of a component that one call decides.
+BLOCK, BLOCK_SHINGLES, CALL_ROWS, CALL_SHINGLES, CALL_EDGES = 1024, 1 << 20, 8192, 4 << 20, 200_000
+#: Most slots of the map of ids that are looked up. A full map only costs time.
+MOST_SLOTS = 1 << 23
 #: Distinct texts that a task remembers, so that copies are read once.
 KEPT_TEXTS = 500_000
 
@@ -62,7 +64,7 @@ def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
                 found = sets.shingle_set(text, size)
                 if len(found):
                     node, sig, spots = sets.set_key(found, lang), None, None
-                    if cut and lang is not None and node not in seen:
+                    if cut and doc_id is not None and lang is not None and node not in seen:
                         if len(seen) >= KEPT_TEXTS:
                             seen.clear()
                         seen.add(node)
@@ -74,15 +76,15 @@ def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(batches, "doc_id long, node long, n int, sig binary, spots array<long>")
 
 
-def _blocks(found: DataFrame) -> DataFrame:
+def _blocks(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (part, i, j, block, node, n, sig): the texts of each two blocks, i <= j, of a component of texts that meet on bands."""
     met = found.filter("spots is not null").select("node", F.explode("spots").alias("spot"))
     shared = met.groupBy("spot").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("spot", "low")
     joined = components(met.join(shared, "spot").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
-    members = checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()))
-    sized = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n"), "node"))
+    sized = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = found.filter("sig is not null").select("node", "n", "sig").join(placed, "node").dropDuplicates(["node"])
+    own = found.filter("sig is not null").select("node", "sig").join(placed, "node").dropDuplicates(["node"])
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.select(F.col("root").alias("part"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "sig")
 
@@ -135,7 +137,7 @@ def _intersections(rows: list[np.ndarray], pairs: list[tuple[int, int]]) -> list
     which, owner = number[which[shared]], owner[shared]
     order = np.argsort(which, kind="stable")
     which, owner = which[order], owner[order]
-    total, step = np.zeros((len(rows), len(rows)), np.int64), 1 << 16
+    total, step = np.zeros((len(rows), len(rows)), np.int64), max(1, (1 << 24) // len(rows))
     for start in range(0, int(number[-1]) + 1, step):
         a, b = np.searchsorted(which, [start, start + step])
         held = np.zeros((step, len(rows)), np.float32)
@@ -144,52 +146,74 @@ def _intersections(rows: list[np.ndarray], pairs: list[tuple[int, int]]) -> list
     return [int(total[a, b]) for a, b in pairs]
 
 
-def _counted(likely: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """Rows (u, v, inter) of likely pairs: each set goes once to the two blocks that it is compared in."""
-    places = [F.col(c).alias(c) for c in ("part", "i", "j")]  # columns of their own, as both sides are grouped
-    wanted = likely.select(*places, F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node")
-    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) * 8 // CALL_BYTES)
-    read = docs.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is among ``ids`` (id), and few others: a map of bits tells them, so that other texts aren't shuffled."""
+    size = min(MOST_SLOTS, 1 << (16 * ids.count() + 1).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(size))
+    taken = ids.select(slot("id").alias("slot")).distinct()
+    words = taken.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    held = words.toArrow().to_pydict()
+    table = np.zeros(size // 64 + 1, np.int64)
+    table[np.array(held["word"], np.int64)] = np.array(held["bits"], np.int64)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+    last = len(docs.columns)
 
-    def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [sets.shingle_set(text, size).view(np.int64) for text in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            at = part.column(last).to_numpy()
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array((bits.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+    small_batches(docs.sparkSession)
+    return docs.select("*", slot("doc_id").alias("slot")).mapInArrow(kept, docs.schema)
+
 
-    own = read.select(F.col("doc_id").cast("long"), "text").mapInArrow(shingled, "id long, shingles array<long>")
-    sent = _calls(wanted.join(own, "id").select("part", "i", "j", "node", "shingles"), calls)
+def _counted(likely: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Rows (u, v, inter) of likely pairs: each text goes once to the two blocks that it is compared in, and its set is made there."""
+    places = [F.col(c).alias(c) for c in ("part", "i", "j")]  # columns of their own, as both sides are grouped
+    wanted = checkpointed(likely.select(*places, F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node"))
+    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES)
+    read = _of_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter("doc_id is not null"), wanted.select("id").distinct())
+    sent = _calls(wanted.join(read, F.col("id") == F.col("doc_id")).select("part", "i", "j", "node", "lang", "text"), calls)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {key: rows for key, rows in _groups(right)}
-        node, lists = right["node"].to_numpy(), right["shingles"].combine_chunks()
-        flat, ends = (lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))) if len(node) else (None, None)
+        places = dict(_groups(right))
+        nodes, langs, texts = right["node"].to_pylist(), right["lang"], right["text"]
         u, v, out = left["u"].to_numpy(), left["v"].to_numpy(), np.zeros(len(left), np.int64)
         for key, rows in _groups(left):
-            place = {x: k for k, x in enumerate(node[held[key]].tolist())}
-            own_sets = [flat[ends[k] : ends[k + 1]] for k in held[key]]
-            out[rows] = _intersections(own_sets, [(place[a], place[b]) for a, b in zip(u[rows].tolist(), v[rows].tolist())])
+            held: dict[int, np.ndarray] = {}
+            for k in places[key]:
+                # rows of one id may differ: the text of the class counts
+                if nodes[k] not in held and sets.set_key(found := sets.shingle_set(texts[k].as_py(), size), langs[k].as_py()) == nodes[k]:
+                    held[nodes[k]] = found
+            place = {node: k for k, node in enumerate(held)}
+            out[rows] = _intersections(list(held.values()), [(place[a], place[b]) for a, b in zip(u[rows].tolist(), v[rows].tolist())])
         return pa.table([left["u"], left["v"], pa.array(out)], ["u", "v", "inter"])
 
     return _calls(likely, calls).groupBy("call").cogroup(sent.groupBy("call")).applyInArrow(lambda a, b: count(a, b), "u long, v long, inter long")
 
 
-def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:
-    """Pairs (a < b) of classes of one language with similarity ``least`` or more: (a, b, inter, jaccard).
-
-    A class is the documents of one set of shingles, named by the least doc_id. Documents without a language or without
-    shingles are in no pair.
-    """
+def classes_and_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """``class_members`` and ``jaccard_pairs`` of one reading of the texts."""
     cut = sets.plan(least, docs.count())
     found, path = written(_texts(docs, size, cut))
     classes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")))
-    likely = checkpointed(_likely(checkpointed(_blocks(found)), cut, least))
+    members = checkpointed(found.select("doc_id", "node").join(classes.select("node", F.col("id").alias("class_id")), "node").select("doc_id", "class_id"))
+    likely = checkpointed(_likely(checkpointed(_blocks(found, classes)), cut, least))
+    delete(docs.sparkSession, path)
     near = _counted(likely, docs, classes, size)
     for side in "uv":
         near = near.join(classes.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n")), side)
     rated = near.withColumn("jaccard", F.col("inter") / (F.col("u_n") + F.col("v_n") - F.col("inter")))
-    out = checkpointed(filter_after(rated, F.col("jaccard") >= least).select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), "inter", "jaccard"))
-    delete(docs.sparkSession, path)
-    return out
+    return members, checkpointed(filter_after(rated, F.col("jaccard") >= least).select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), "inter", "jaccard"))
+
+
+def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:
+    """Pairs (a < b) of classes of one language with similarity ``least`` or more: (a, b, inter, jaccard).
+
+    A class is the documents of one set of shingles, named by the least doc_id. Documents without a language or without
+    shingles are in no pair.
+    """
+    return classes_and_pairs(docs, least, size)[1]
 
 
 def prefix_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:

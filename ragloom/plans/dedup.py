@@ -37,16 +37,15 @@ def dedup_class_members(spark, d):
 
 def dedup_content_exclusion(spark, d):
     """D3 over class representatives."""
-    members = checkpointed(dedup.class_members(_docs(spark, d)))
-    live = members.filter("doc_id = class_id").select("doc_id")
-    return dedup.content_exclusion(live, checkpointed(dedup.jaccard_pairs(_docs(spark, d), dedup.SAME)))
+    members, pairs = dedup.classes_and_pairs(_docs(spark, d), dedup.SAME)
+    return dedup.content_exclusion(members.filter("doc_id = class_id").select("doc_id"), pairs)
 
 
 def dedup_notes(spark, d):
     """D4 over class representatives: verdicts by id, reasons after the content check, and notes on similar ones."""
     docs = _docs(spark, d)
-    live = checkpointed(dedup.class_members(docs).filter("doc_id = class_id").selectExpr("doc_id", "CASE WHEN doc_id % 9 = 0 THEN 'hold' ELSE 'use' END AS verdict", "CASE WHEN doc_id % 4 = 0 THEN 'seen' ELSE '' END AS reason"))
-    pairs = checkpointed(dedup.jaccard_pairs(docs))
+    members, pairs = dedup.classes_and_pairs(docs)
+    live = checkpointed(members.filter("doc_id = class_id").selectExpr("doc_id", "CASE WHEN doc_id % 9 = 0 THEN 'hold' ELSE 'use' END AS verdict", "CASE WHEN doc_id % 4 = 0 THEN 'seen' ELSE '' END AS reason"))
     return dedup.similar_notes(live, dedup.content_exclusion(live.select("doc_id"), pairs), pairs).select("doc_id", "verdict", F.md5("reason").alias("h"))
 
 
