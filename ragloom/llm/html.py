@@ -20,13 +20,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tokens import Reader
 from .common import small_batches
 
 #: Elements whose start and end separate blocks.
@@ -75,11 +75,11 @@ class Node:
             self.bits |= 1 << (TAGS + _CLASSES[name])
 
 
-class Blocks(HTMLParser):
+class Blocks(Reader):
     """Collects (innermost open element or None, text, characters in links) of each block with text."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.path: list[Node] = []
         self.open: Counter = Counter()
         self.hidden = 0
@@ -103,19 +103,20 @@ class Blocks(HTMLParser):
         del self.path[k:]
 
     def _pop(self, tags: str) -> None:
-        """End open elements among ``tags``, from the innermost one, up to the next container."""
+        """End open elements among ``tags``, from the innermost one, up to the next container or hidden element."""
         wanted, k = tags.split(), len(self.path) - 1
         while k >= 0 and any(self.open[t] for t in wanted):
             tag = self.path[k].tag
             if tag in wanted:
                 self._close(k)
-            elif tag in CONTAINERS:
+            elif tag in CONTAINERS or tag in HIDDEN:
                 return
             k -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
-            self._end_block()
+            if not self.hidden:
+                self._end_block()
             self._pop(SIBLINGS.get(tag, "p"))
         if tag == "br":
             self._texts.append(" ")
@@ -137,13 +138,15 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.hidden:
             self._end_block()
         if self.open[tag]:
-            k = len(self.path) - 1
+            k, hidden = len(self.path) - 1, self.hidden
             while self.path[k].tag != tag:
                 k -= 1
             self._close(k)
+            if tag in BLOCKS and hidden and not self.hidden and tag not in HIDDEN:
+                self._end_block()
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
