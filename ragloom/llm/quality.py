@@ -188,11 +188,15 @@ def learn(rows: list[dict], seed: int = 5) -> list[list[Test]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Test]]:
-    """Learn from about ``sample_rows`` labelled documents, chosen by a hash of doc_id over all labels."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("q_label")).filter("doc_id is not null and q_label in (0, 1)")
+    """Learn from about ``sample_rows`` labelled ids, chosen by a hash of doc_id over all labels.
+
+    Each id is one row of the sample however often it occurs: its least label, and the least statistics of its texts.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("q_label")).filter("doc_id is not null and q_label in (0, 1)").groupBy("doc_id").agg(F.min("q_label").alias("q_label"))
     chosen = hash_sample(known, "doc_id", sample_rows, known.count())
     # the chosen ids are about sample_rows longs, so they may be broadcast
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select(*FEATURES, (1 - F.col("q_label")).alias("bad")).collect()
+    found = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", F.struct(*FEATURES, (1 - F.col("q_label")).alias("bad")).alias("q_row"))
+    rows = found.groupBy("doc_id").agg(F.min("q_row").alias("q_row")).select("q_row.*").collect()
     return learn([r.asDict() for r in rows])
 
 
