@@ -7,7 +7,8 @@ shuffles them globally. Copies of one document fall on unrelated places.
 
 Nulls: a null source has no target weight and takes the rate of the unlisted sources; a null size counts as 0;
 a null doc_id is hashed as an empty string. Repeated rows draw the same count. A listed source without rows has
-no rate: the other weights are scaled up. A listed source with hardly any rows has a large rate, without a limit.
+no rate: the other weights are scaled up. A listed source with hardly any rows has a large rate; its
+copies are made in blocks over many tasks, and 2^31 or more copies of one row are an error.
 Ties in the order are copies of repeated rows. Very long texts are moved once, and looked at nowhere. An empty table
 gives no rows. Extra columns are kept; the columns that the operator adds are named by parameters, and a clash is an
 error.
@@ -20,11 +21,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import settled, unused
+
 #: Target shares of the characters. Unlisted sources share what is left.
 TARGET_WEIGHTS = {"src0": 0.15, "src1": 0.06, "src2": 0.06, "src3": 0.06, "src4": 0.06}
 SEED = "mix-1"
 #: A larger rate is drawn as the sum of so many equal parts that none is larger: a sum of Poisson variables is one.
 MOST_STEP = 500.0
+#: Copies of a row that are made from one array, where a rate comes near that.
+COPY_BLOCK = 1 << 20
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -89,8 +94,16 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: str = SEED, copy_colum
     """
     if clash := {copy_column, order_column} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    count = copies(*rates(docs, weights), seed)
-    drawn = docs.withColumn(copy_column, F.explode(F.sequence(F.lit(1), F.when(count > 0, count)))).withColumn(copy_column, F.col(copy_column) - 1)
+    by_source, other = rates(docs, weights)
+    count = copies(by_source, other, seed)
+    if 2 * max(other, *by_source.values(), 0) < COPY_BLOCK:
+        drawn = docs.withColumn(copy_column, F.explode(F.sequence(F.lit(0), F.when(count > 0, count - 1))))
+    else:
+        # a row that is due so often is dealt in blocks of copies, so that neither an array nor a task holds all of them
+        n, block = unused(docs, "mix_count"), unused(docs, "mix_block")
+        counted = docs.withColumn(n, settled(count))
+        blocks = counted.withColumn(block, F.explode(F.sequence(F.lit(0), F.when(F.col(n) > 0, F.col(n) - 1), F.lit(COPY_BLOCK)))).repartition("doc_id", block)
+        drawn = blocks.withColumn(copy_column, F.explode(F.sequence(F.col(block), F.least(F.col(block) + COPY_BLOCK - 1, F.col(n) - 1)))).drop(n, block)
     named = drawn.withColumn(order_column, F.md5(F.concat_ws(":", F.lit(f"{seed}:place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy_column).cast("string"))))
     return named.repartition(F.col(order_column)).sortWithinPartitions(order_column)
 
