@@ -33,6 +33,8 @@ SHARDS, ROW_BYTES = 24, 8
 FIRST_BITS, SPLIT_BITS = 12, 8
 #: Parts of a shard that are numbered apart, so that no task numbers a whole shard.
 SLOT_PARTS = 256
+#: Slots of equal rows that are made from one array.
+SLOT_BLOCK = 1 << 20
 LOW = -(1 << 63)
 
 
@@ -125,7 +127,10 @@ def numbered(rows: DataFrame, parts: int = SLOT_PARTS) -> DataFrame:
     before = Window.partitionBy("s_shard").orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("s_shard", "s_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s_offset"))
     last = placed.join(F.broadcast(offsets), ["s_shard", "s_part"]).withColumn("s_end", F.col("s_offset") + F.col("s_end") - 1)
-    return last.withColumn("slot", F.explode(F.sequence(F.col("s_end") - F.col("s_n") + 1, F.col("s_end"))))
+    # in blocks, so that no array grows with the number of equal rows
+    first = F.col("s_end") - F.col("s_n") + 1
+    blocks = last.withColumn("s_block", F.explode(F.sequence(first, F.col("s_end"), F.lit(SLOT_BLOCK).cast("long"))))
+    return blocks.withColumn("slot", F.explode(F.sequence(F.col("s_block"), F.least(F.col("s_block") + SLOT_BLOCK - 1, F.col("s_end"))))).drop("s_block")
 
 
 def op6_minimax_shards(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ragloom.llm import fingerprint, mixing, quality, secrets, sharding
 
@@ -50,6 +51,20 @@ def test_mixing_reaches_weights(spark):
     assert abs(got["a"] / n - 0.6) < 0.04 and abs(got["b"] / n - 0.1) < 0.03 and abs(got[None] / n - 0.3) < 0.04
 
 
+def test_copies_in_blocks_are_the_same_copies(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "rare", 1), (2, "b", 900), (3, "b", 700), (3, "b", 700), (None, "c", 400)], "doc_id long, source string, n_chars long").withColumn("mix_block", F.lit("x"))
+    at_once = rows_of(mixing.mix(docs, {"rare": 0.3}))
+    monkeypatch.setattr(mixing, "COPY_BLOCK", 7)
+    assert rows_of(mixing.mix(docs, {"rare": 0.3})) == at_once and len(at_once) > 500
+
+
+def test_slots_in_blocks_are_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_BLOCK", 10)
+    rows = spark.range(1000).selectExpr("id % 3 AS doc_id", "id % 3 AS s_hash", "CAST(id % 2 AS INT) AS s_shard")
+    found = sharding.numbered(rows).groupBy("s_shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert {tuple(r)[1:] for r in found} == {(500, 500, 0, 499)}
+
+
 def test_mixing_edges(edge, empty):
     assert mixing.mix(empty, mixing.TARGET_WEIGHTS).collect() == []
     assert set(mixing.mix(edge, {"src0": 0.5}).columns) == {*edge.columns, "copy_no", "shuffle_key"}
@@ -105,6 +120,16 @@ def test_learned_list_finds_thresholds_and_keeps_clean_rows():
     assert quality.learn([{**base, "bad": 0}] * 50) == [] == quality.learn([])
 
 
+def test_the_sample_is_bounded_by_ids(spark, monkeypatch):
+    """Rows of one id, in either table, are one row of what the driver learns from."""
+    docs = spark.range(40_000).selectExpr("id % 50 AS doc_id", "concat('word ', id % 7, ' some more words of a text') AS text", "1 AS q_row")
+    labels = spark.range(2000).selectExpr("id % 50 AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda rows: seen.extend(rows) or [])
+    assert quality.fit(docs, labels) == []
+    assert 0 < len(seen) <= 50
+
+
 def test_quality_empty(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(empty, labels) == []

@@ -83,6 +83,21 @@ def test_blocks_read_references_space_and_unclosed_elements():
     assert html.blocks(None) == html.blocks("") == [] == html.blocks("<p> \n</p>")
 
 
+def test_hidden_elements_keep_what_is_in_them():
+    texts = lambda page: [x[1] for x in html.blocks(page)]
+    assert texts("<article><p>x<template><div>hid</div></template>y</p></article>") == ["xy"]
+    assert texts("<p>a<noscript><p>b</p></noscript>c</p>") == ["ac"]
+    assert texts("<p>a<iframe><li>no</iframe>b") == ["ab"]
+
+
+def test_malformed_pages_are_read():
+    texts = lambda page: " ".join(x[1] for x in html.blocks(page))
+    assert texts("<p>a<![foo[x]]>b</p>") == "ab" and texts("a<![>b") == "ab"
+    assert texts("if (a<![b]) c > d") == "if (a d"
+    for bit in ("<a b='", "<![", "<p><b class=x>", "&#9999999999;"):
+        html.blocks(bit * (300_000 // len(bit)))
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (None, "u", ""), (3, "v", "plain text"), (3, "v", "plain text"), (4, "w", "<p>" + "word " * 50000 + "</p>"), (5, "x", "<li>y" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
