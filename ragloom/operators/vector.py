@@ -1,17 +1,31 @@
 """Exact vector search: normalisation (V3), cosine (V6), fusion of several query forms (V7), quotas (V8, V9).
 
-Every stage is a window over one query's rows, so many queries are answered at once. Queries are broadcast up to a
-number of bytes; more are searched in blocks, each against all chunks. The quotas' stages see only the best rows of
-each query and document, which rank limits pick out before the shuffle.
+Every stage is a window over one query's rows, so many queries are answered at once. What the stages can pick is
+bounded by rank limits (``Limit``): the best rows of a pool, at most so many of a document. ``best_scores`` keeps to them
+while it scores: each task holds the rows of each query that are within a limit so far, and whatever scores below the
+last of them is let go at once, so that a task sends a few rows for each query instead of one for each chunk. Scores
+are summed in the order of components, as ``dot`` does, so that equal vectors tie.
+
+Queries are broadcast up to a number of bytes; more are searched in blocks, each against all chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.sinks import small_batches
 
 #: Bytes of queries that may be broadcast; more are joined in blocks of about so many, each with blocks of chunks.
 MOST_BYTES = 64 << 20
+#: Queries that are scored together.
+GROUP = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,6 +61,120 @@ def fused_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.select("query_id", "chunk_id", "doc", "doc_type", "score_original", F.greatest("score_original", "translated_score").alias("score"))
 
 
+@dataclass(frozen=True)
+class Limit:
+    """The ``most`` best rows by a score, of a document type or of all, of the ``per_doc`` best ones of each document."""
+
+    by: str
+    most: int
+    doc_type: str | None = None
+    per_doc: int | None = None
+
+
+class _Best:
+    """Of some queries the rows that are within a limit, of all chunks so far."""
+
+    def __init__(self, first: int, count: int, limits: list[Limit]) -> None:
+        self.first, self.count, self.limits = first, count, limits
+        self.least = [np.full(count, -np.inf) for _ in limits]  # what a row of the limit's pool must reach
+        self.rows: list[dict] = []
+        self.scored = self.kept = 0
+
+    def add(self, scores: dict[str, np.ndarray], batch: dict[str, np.ndarray], exclude: list[set]) -> None:
+        """Scores (chunks, queries) of a batch's chunks."""
+        may = np.zeros(scores["score"].shape, bool)
+        for limit, least in zip(self.limits, self.least):
+            pool = slice(None) if limit.doc_type is None else batch["doc_type"] == limit.doc_type
+            may[pool] |= ~(scores[limit.by][pool] < least)
+        chunk, query = np.nonzero(may)
+        inside = np.array([batch["chunk_id"][c] not in exclude[self.first + q] for c, q in zip(chunk.tolist(), query.tolist())], bool)
+        chunk, query = chunk[inside], query[inside]
+        if len(chunk):
+            new = {"query": query} | {k: scores[k][chunk, query] for k in scores} | {k: v[chunk] for k, v in batch.items()}
+            self.rows.append(new)
+            self._prune()
+
+    def _prune(self) -> None:
+        rows = {k: np.concatenate([r[k] for r in self.rows]) for k in self.rows[0]}
+        _, order = np.unique(rows["chunk_id"], return_inverse=True)
+        doc = np.unique(np.array([x or "" for x in rows["doc"]], object), return_inverse=True)[1] * 2 + np.array([x is None for x in rows["doc"]])
+        keep = np.zeros(len(order), bool)
+        for k, limit in enumerate(self.limits):
+            pool = np.arange(len(order)) if limit.doc_type is None else np.flatnonzero(rows["doc_type"] == limit.doc_type)
+            value = np.where(np.isnan(rows[limit.by]), np.inf, rows[limit.by])
+            if limit.per_doc:
+                pool = _first(pool, [rows["query"], doc], value, order, limit.per_doc)
+            pool = _first(pool, [rows["query"]], value, order, limit.most)
+            keep[pool] = True
+            held, last = np.bincount(rows["query"][pool], minlength=self.count), np.full(self.count, np.inf)
+            np.minimum.at(last, rows["query"][pool], value[pool])
+            self.least[k] = np.where(held >= limit.most, last, -np.inf)
+        self.rows = [{k: v[keep] for k, v in rows.items()}]
+
+
+def _first(rows: np.ndarray, keys: list[np.ndarray], value: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
+    """Of ``rows`` the ``most`` first of each key, by value downwards, then by ``ties``."""
+    rows = rows[np.lexsort([ties[rows], -value[rows], *(k[rows] for k in reversed(keys))])]
+    if not len(rows):
+        return rows
+    new = np.any([np.diff(k[rows], prepend=k[rows[0]] - 1) != 0 for k in keys], 0)
+    starts = np.flatnonzero(new)
+    return rows[np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) < most]
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed component by component."""
+    out, term = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    for k in range(a.shape[1]):
+        np.multiply(a[:, k, None], b[None, :, k], out=term)
+        out += term
+    return out
+
+
+def best_scores(chunks: DataFrame, queries: DataFrame, limits: list[Limit]) -> DataFrame:
+    """V6, V7: the rows of ``fused_scores`` that may be within one of ``limits``: those that are so in their task.
+
+    Queries of more than MOST_BYTES, and queries whose vectors have several lengths or nulls, go through ``fused_scores``.
+    A chunk whose vector is null, has nulls or another length has null scores, which come last.
+    """
+    spark = chunks.sparkSession
+    shape = queries.agg(F.sum(8 * (F.size("original") + F.size("translated") + F.size("exclude")) + 64).alias("bytes"), F.min(F.least(F.size("original"), F.size("translated"))).alias("low"), F.max(F.greatest(F.size("original"), F.size("translated"))).alias("high"), F.count_if(F.col("original").isNull() | F.col("translated").isNull() | F.exists("original", lambda x: x.isNull()) | F.exists("translated", lambda x: x.isNull())).alias("odd")).first()
+    if not shape.bytes or shape.bytes > MOST_BYTES or shape.low != shape.high or shape.odd:
+        return fused_scores(chunks, queries)
+    small_batches(spark)
+    asked = queries.select("query_id", "original", "translated", "exclude").toArrow()
+    size = shape.low
+    matrix = lambda c: asked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    held = spark.sparkContext.broadcast((matrix("original"), matrix("translated"), [set(x or ()) for x in asked["exclude"].to_pylist()], asked["query_id"].combine_chunks()))
+    kinds = {c: to_arrow_type(chunks.schema[c].dataType) for c in ("chunk_id", "doc", "doc_type")}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        original, translated, exclude, ids = held.value
+        groups = [_Best(k, min(GROUP, len(ids) - k), limits) for k in range(0, len(ids), GROUP)]
+        for batch in batches:
+            vectors = batch.column(3)
+            good = np.array([n == size for n in vectors.value_lengths().to_pylist()], bool)
+            flat = vectors.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            points, regular = np.zeros((len(good), size)), good.copy()
+            points[good] = flat
+            if vectors.flatten().null_count:
+                regular &= np.array([v is not None and None not in v for v in vectors.to_pylist()], bool)
+            columns = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(kinds)} | {"regular": regular}
+            for group in groups:
+                own = slice(group.first, group.first + group.count)
+                first = _dots(points, original[own])
+                second = _dots(points, translated[own])
+                first[~regular], second[~regular] = -np.inf, -np.inf
+                group.add({"score_original": first, "score": np.maximum(first, second)}, columns, exclude)
+        for group in groups:
+            for rows in group.rows:
+                score = lambda c: pa.array(rows[c], mask=~rows["regular"])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows["query"] + group.first)), *(pa.array(rows[c], kind) for c, kind in kinds.items()), score("score_original"), score("score")], ["query_id", *kinds, "score_original", "score"])
+
+    fields = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, names in ((queries, ["query_id"]), (chunks, list(kinds))) for c in names)
+    return chunks.select("chunk_id", "doc", "doc_type", "vector").mapInArrow(search, f"{fields}, score_original double, score double")
+
+
 def topk(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The k best rows of each query with their rank; ties go to the lesser chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
@@ -77,21 +205,31 @@ def _best(rows: DataFrame, by: str, per_doc: int | None, most: int) -> DataFrame
     return limited(limited(rows, ["query_id", "doc"], per_doc) if per_doc else rows, ["query_id"], most)
 
 
-def _candidates(scored: DataFrame, k: int, per_doc: int | None, academic: int, public: int, public_per_doc: int | None) -> DataFrame:
-    """All rows that ``quota_topk`` can pick, and few others.
+def quota_limits(k: int = 10, per_doc: int | None = 2, academic: int = 0, public: int = 5, public_per_doc: int | None = 1) -> list[Limit]:
+    """Limits that all rows which ``quota_topk`` can pick are within.
 
     The public stage picks the best ones of its pool outright. Before a later stage at most public + academic rows
     are picked; of a document at most as many as its caps allow. So of a document's rows the best that many and
     ``per_doc`` more can matter, and of a query's documents the best that are full already and k more.
     """
+    public, public_per_doc = min(public, k), public_per_doc or per_doc
     before = public + academic
     each = per_doc + min(before, max(per_doc, public_per_doc or before)) if per_doc else None
     most = (before + k) * (each or 1)
-    found = _best(scored, "score", each, most)
+    limits = [Limit("score", most, None, each)]
     if academic:
-        found = found.unionByName(_best(scored.filter("doc_type = 'academic'"), "score", each, most))
+        limits.append(Limit("score", most, "academic", each))
     if public:
-        found = found.unionByName(_best(scored.filter("doc_type = 'public'"), "score_original", public_per_doc, public))
+        limits.append(Limit("score_original", public, "public", public_per_doc))
+    return limits
+
+
+def _candidates(scored: DataFrame, k: int, per_doc: int | None, academic: int, public: int, public_per_doc: int | None) -> DataFrame:
+    """All rows that ``quota_topk`` can pick, and few others."""
+    found = None
+    for limit in quota_limits(k, per_doc, academic, public, public_per_doc):
+        own = _best(scored if limit.doc_type is None else scored.filter(F.col("doc_type") == limit.doc_type), limit.by, limit.per_doc, limit.most)
+        found = own if found is None else found.unionByName(own)
     return found.dropDuplicates(["query_id", "chunk_id"])
 
 

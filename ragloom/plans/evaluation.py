@@ -41,7 +41,7 @@ def _pages(column):
 
 
 def _marked(spark, d):
-    scored = vector.fused_scores(tables.chunks(spark, d), tables.queries(spark, d))
+    scored = vector.best_scores(tables.chunks(spark, d), tables.queries(spark, d), [vector.Limit("score", 10), *vector.quota_limits()])
     found = vector.topk(scored, 10).withColumn("strategy", F.lit("fused")).unionByName(vector.quota_topk(scored).withColumn("strategy", F.lit("quota")))
     placed = found.withColumn("pages", _pages("chunk_id")).withColumn("label", (F.col("chunk_id") % 10).cast("string"))
     return retrieval.marked_hits(placed, retrieval.gold(_questions(spark, d)))
@@ -263,7 +263,7 @@ def answer_auto_checks(spark, d):
 
 def answer_gold_found(spark, d):
     """Gold documents among the ten best."""
-    best = vector.topk(vector.fused_scores(tables.chunks(spark, d), tables.queries(spark, d)), 10).groupBy("query_id").agg(F.collect_set("doc").alias("docs"))
+    best = vector.topk(vector.best_scores(tables.chunks(spark, d), tables.queries(spark, d), [vector.Limit("score", 10)]), 10).groupBy("query_id").agg(F.collect_set("doc").alias("docs"))
     gold = retrieval.gold(_questions(spark, d)).groupBy("query_id").agg(F.collect_set("doc").alias("gold"))
     return gold.join(best, "query_id").select("query_id", F.array_join(answers.gold_found(F.col("gold"), F.col("docs")), ",").alias("found"), F.size("gold").cast("long").alias("n_gold"))
 
@@ -285,7 +285,7 @@ def answer_checks_joined(spark, d):
 def strategy_grid(spark, d):
     """Q8: two strategies, the even and the odd chunks, each searched for all questions."""
     index = tables.chunks(spark, d).withColumn("strategy", F.when(F.col("chunk_id") % 2 == 0, "even").otherwise("odd"))
-    found = retrieval.strategy_grid(index, tables.queries(spark, d), lambda chunks, asked: vector.topk(vector.fused_scores(chunks, asked), 3), suffix=retrieval.setting_suffix(per_doc=2, translated=True))
+    found = retrieval.strategy_grid(index, tables.queries(spark, d), lambda chunks, asked: vector.topk(vector.best_scores(chunks, asked, [vector.Limit("score", 3)]), 3), suffix=retrieval.setting_suffix(per_doc=2, translated=True))
     return found.select("strategy", "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

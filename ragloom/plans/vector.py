@@ -8,8 +8,8 @@ from ..operators import vector
 from ..sources import tables
 
 
-def _scored(spark, d):
-    return vector.fused_scores(tables.chunks(spark, d), tables.queries(spark, d))
+def _scored(spark, d, limits):
+    return vector.best_scores(tables.chunks(spark, d), tables.queries(spark, d), limits)
 
 
 def _out(df):
@@ -18,22 +18,23 @@ def _out(df):
 
 def vector_cosine_topk(spark, d):
     """V6: the 10 nearest chunks by the original form."""
-    return vector.topk(_scored(spark, d), 10, "score_original").select("query_id", "chunk_id", F.round("score_original", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return vector.topk(_scored(spark, d, [vector.Limit("score_original", 10)]), 10, "score_original").select("query_id", "chunk_id", F.round("score_original", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def vector_fused_topk(spark, d):
     """V7: the 10 nearest chunks by the better of two forms."""
-    return _out(vector.topk(_scored(spark, d), 10))
+    return _out(vector.topk(_scored(spark, d, [vector.Limit("score", 10)]), 10))
 
 
 def vector_quota_topk(spark, d):
     """V8, V9 (flagship): k 10, 2 of a document, 5 public first, 1 of a public document."""
-    return _out(vector.quota_topk(_scored(spark, d)))
+    return _out(vector.quota_topk(_scored(spark, d, vector.quota_limits())))
 
 
 def vector_quota_academic(spark, d):
     """V8 with an academic quota: k 8, 3 academic, 2 of a document."""
-    return _out(vector.quota_topk(_scored(spark, d), k=8, per_doc=2, academic=3, public=2, public_per_doc=None))
+    quotas = {"k": 8, "per_doc": 2, "academic": 3, "public": 2, "public_per_doc": None}
+    return _out(vector.quota_topk(_scored(spark, d, vector.quota_limits(**quotas)), **quotas))
 
 
 def vector_l2_normalise(spark, d):

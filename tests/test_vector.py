@@ -48,3 +48,33 @@ def test_quotas_match_a_greedy_pick(spark):
         for x in vector.quota_topk(df, *setting).collect():
             got.setdefault(x.query_id, set()).add(x.chunk_id)
         assert got == {q: plain_quota(each, *setting) for q, each in rows.items()}, setting
+
+
+def test_best_scores_hold_all_that_limits_let_through(spark, monkeypatch):
+    """Ties, equal vectors, broken vectors and exclusions; queries in several groups; every limit's rows are there."""
+    monkeypatch.setattr(vector, "GROUP", 3)
+    r = random.Random(9)
+    some = [[r.choice((0.5, -0.5, 1.0)) for _ in range(4)] for _ in range(9)]
+    rows = [(f"c{k:03}", r.choice(("d1", "d2", "d3", None)), r.choice(("public", "academic")), r.choice(some)) for k in range(300)]
+    rows += [("x1", "d1", "public", None), ("x2", "d2", "public", [1.0, None, 0.0, 0.0]), ("x3", "d2", "academic", [9.0]), ("x4", "d4", "public", [float("nan")] * 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc string, doc_type string, vector array<float>").repartition(5)
+    asked = spark.createDataFrame([(q, [r.gauss(0, 1) for _ in range(4)], [r.gauss(0, 1) for _ in range(4)], [f"c{q:03}", "x9"]) for q in range(8)], "query_id long, original array<double>, translated array<double>, exclude array<string>")
+    every = vector.fused_scores(chunks, asked)
+    columns = ("query_id", "chunk_id", "score", "score_original", "rank")
+    told = lambda df: sorted(map(repr, _rows(df, *columns)))
+    for setting in ((10, 2, 0, 5, 1), (8, None, 2, 3, None), (12, 3, 4, 0, None)):
+        few = vector.best_scores(chunks, asked, vector.quota_limits(*setting))
+        assert told(vector.quota_topk(few, *setting)) == told(vector.quota_topk(every, *setting))
+    few = vector.best_scores(chunks, asked, [vector.Limit("score", 7)])
+    assert told(vector.topk(few, 7)) == told(vector.topk(every, 7))
+    assert few.count() <= 5 * 8 * 7
+    assert vector.best_scores(chunks, asked.limit(0), [vector.Limit("score", 7)]).count() == 0
+    assert vector.best_scores(chunks.limit(0), asked, [vector.Limit("score", 7)]).count() == 0
+
+
+def test_few_rows_leave_the_scan(spark, sf_dir):
+    from ragloom.sources import tables
+
+    chunks, asked = tables.chunks(spark, sf_dir).coalesce(2), tables.queries(spark, sf_dir)
+    pairs = vector.fused_scores(chunks, asked).count()
+    assert vector.best_scores(chunks, asked, vector.quota_limits()).count() < pairs / 2
