@@ -28,6 +28,8 @@ from .graph import components
 NEAR, SAME, SIZE = 0.6, 0.98, 10
 #: Texts and shingles of a block, rows of signatures and shingles that are compared in one call, and edges of a component that one call decides.
 BLOCK, BLOCK_SHINGLES, CALL_ROWS, CALL_SHINGLES, CALL_EDGES = 1024, 1 << 20, 8192, 4 << 20, 200_000
+#: Shingles of a component that one call walks.
+WALK_SHINGLES = 16 << 20
 #: Most slots of the map of ids that are looked up. A full map only costs time.
 MOST_SLOTS = 1 << 23
 #: Distinct texts that a task remembers, so that copies are read once.
@@ -76,12 +78,16 @@ def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(batches, "doc_id long, node long, n int, sig binary, spots array<long>")
 
 
-def _blocks(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (part, i, j, block, node, n, sig): the texts of each two blocks, i <= j, of a component of texts that meet on bands."""
+def _components(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, root, n) of texts that meet others on bands, directly or over others."""
     met = found.filter("spots is not null").select("node", F.explode("spots").alias("spot"))
     shared = met.groupBy("spot").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("spot", "low")
     joined = components(met.join(shared, "spot").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
-    members = checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n"), "node"))
+    return checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n"), "node"))
+
+
+def _blocks(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (part, i, j, block, node, n, sig): the texts of each two blocks, i <= j, of a component."""
     sized = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = found.filter("sig is not null").select("node", "sig").join(placed, "node").dropDuplicates(["node"])
@@ -192,19 +198,88 @@ def _counted(likely: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
     return _calls(likely, calls).groupBy("call").cogroup(sent.groupBy("call")).applyInArrow(lambda a, b: count(a, b), "u long, v long, inter long")
 
 
-def classes_and_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """``class_members`` and ``jaccard_pairs`` of one reading of the texts."""
+def _read(docs: DataFrame, least: float, size: int) -> tuple[DataFrame, DataFrame, DataFrame, sets.Plan, str]:
+    """What one reading of the texts gives: rows of ``_texts``, classes (node, id, n), members (doc_id, class_id), the plan, a path to delete."""
     cut = sets.plan(least, docs.count())
     found, path = written(_texts(docs, size, cut))
     classes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")))
     members = checkpointed(found.select("doc_id", "node").join(classes.select("node", F.col("id").alias("class_id")), "node").select("doc_id", "class_id"))
-    likely = checkpointed(_likely(checkpointed(_blocks(found, classes)), cut, least))
-    delete(docs.sparkSession, path)
+    return found, classes, members, cut, path
+
+
+def _pairs(found: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame, cut: sets.Plan, least: float, size: int) -> DataFrame:
+    """Rows (a, b, inter, jaccard) of components ``members``."""
+    likely = checkpointed(_likely(checkpointed(_blocks(found, members)), cut, least))
     near = _counted(likely, docs, classes, size)
     for side in "uv":
         near = near.join(classes.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n")), side)
     rated = near.withColumn("jaccard", F.col("inter") / (F.col("u_n") + F.col("v_n") - F.col("inter")))
-    return members, checkpointed(filter_after(rated, F.col("jaccard") >= least).select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), "inter", "jaccard"))
+    return checkpointed(filter_after(rated, F.col("jaccard") >= least).select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), "inter", "jaccard"))
+
+
+def classes_and_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """``class_members`` and ``jaccard_pairs`` of one reading of the texts."""
+    found, classes, members, cut, path = _read(docs, least, size)
+    pairs = _pairs(found, classes, _components(found, classes), docs, cut, least, size)
+    delete(docs.sparkSession, path)
+    return members, pairs
+
+
+def copies_excluded(docs: DataFrame, same: float = SAME, size: int = SIZE) -> DataFrame:
+    """Rows (doc_id, excluded_by) of all classes, named by their least doc_id, without the pairs of a large family.
+
+    The rows of ``content_exclusion`` over all pairs. The walk in order of id only needs what isn't excluded: a component of
+    up to WALK_SHINGLES shingles is walked in one call, each text against the ones that stay so far. Larger components
+    go through their pairs.
+    """
+    found, classes, members, cut, path = _read(docs, same, size)
+    placed = _components(found, classes)
+    placed = checkpointed(placed.join(placed.groupBy("root").agg(F.sum("n").alias("shingles")), "root"))
+    walked = checkpointed(_walked(placed.filter(F.col("shingles") <= WALK_SHINGLES), docs, classes, cut, same, size))
+    large = checkpointed(placed.filter(F.col("shingles") > WALK_SHINGLES).select("node", "root", "n"))
+    if not large.isEmpty():
+        pairs = _pairs(found, classes, large, docs, cut, same, size)
+        walked = walked.unionByName(content_exclusion(large.join(classes.select("node", F.col("id").alias("doc_id")), "node").select("doc_id"), pairs, same).filter("excluded_by is not null"))
+    delete(docs.sparkSession, path)
+    return members.filter("doc_id = class_id").select("doc_id").distinct().join(walked, "doc_id", "left").select("doc_id", "excluded_by")
+
+
+def _walked(members: DataFrame, docs: DataFrame, classes: DataFrame, cut: sets.Plan, same: float, size: int) -> DataFrame:
+    """Rows (doc_id, excluded_by) of the excluded texts of components (node, root, n), each walked in one call, many in each."""
+    wanted = checkpointed(members.select("node", "root", "n").join(classes.select("node", "id"), "node"))
+    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) // WALK_SHINGLES)
+    read = _of_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter("doc_id is not null"), wanted.select("id"))
+    sent = wanted.join(read, F.col("id") == F.col("doc_id")).select("root", "id", "node", "lang", "text", F.pmod(F.xxhash64("root"), F.lit(max(1, calls))).cast("int").alias("call"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        roots, ids, nodes = (np.array(table[c].to_pylist(), np.int64) for c in ("root", "id", "node"))
+        langs, texts, out = table["lang"], table["text"], []
+        stay: list[tuple[int, np.ndarray]] = []
+        marks, root, last = np.zeros((0, cut.values), np.uint32), None, None
+        for k in np.lexsort((ids, roots)).tolist():
+            if roots[k] != root:
+                root, stay, last = roots[k], [], None
+                marks = np.zeros((16, cut.values), np.uint32)
+            found = sets.shingle_set(texts[k].as_py(), size)
+            # rows of one id may differ: the text of the class counts, once
+            if nodes[k] == last or sets.set_key(found, langs[k].as_py()) != nodes[k]:
+                continue
+            last, mark = nodes[k], sets.signature(found, cut.values)
+            for at in np.flatnonzero((marks[: len(stay)] == mark).sum(1) >= cut.agree).tolist():
+                other, n = stay[at][1], len(found)
+                if same * max(n, len(other)) <= min(n, len(other)):
+                    inter = len(np.intersect1d(found, other, assume_unique=True))
+                    if inter / (n + len(other) - inter) >= same:
+                        out.append((ids[k], stay[at][0]))
+                        break
+            else:
+                if len(stay) == len(marks):
+                    marks = np.concatenate([marks, np.zeros_like(marks)])
+                marks[len(stay)] = mark
+                stay.append((ids[k], found))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "excluded_by"])
+
+    return sent.groupBy("call").applyInArrow(lambda table: walk(table), "doc_id long, excluded_by long")
 
 
 def jaccard_pairs(docs: DataFrame, least: float = NEAR, size: int = SIZE) -> DataFrame:

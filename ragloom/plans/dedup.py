@@ -37,8 +37,7 @@ def dedup_class_members(spark, d):
 
 def dedup_content_exclusion(spark, d):
     """D3 over class representatives."""
-    members, pairs = dedup.classes_and_pairs(_docs(spark, d), dedup.SAME)
-    return dedup.content_exclusion(members.filter("doc_id = class_id").select("doc_id"), pairs)
+    return dedup.copies_excluded(_docs(spark, d))
 
 
 def dedup_notes(spark, d):

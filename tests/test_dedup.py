@@ -118,3 +118,15 @@ def test_long_sets_of_copies_go_through_once(spark):
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.expr("repeat('all work and no play makes a dull text 0123456789 ', 50)"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("end of number "), F.col("id").cast("string"))).otherwise("")).alias("text"))
     pairs = dedup.jaccard_pairs(docs, 0.5)
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in (0, 1, 10, 20, 30) for b in (0, 1, 10, 20, 30) if a < b}
+
+
+@pytest.mark.parametrize("most", [0, 9000, 10**9])
+def test_copies_are_excluded_as_by_all_pairs(spark, rows, monkeypatch, most):
+    """In one call, in several, and by pairs."""
+    monkeypatch.setattr(dedup, "WALK_SHINGLES", max(1, most))
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS).repartition(5)
+    members, pairs = dedup.classes_and_pairs(docs, 0.8)
+    live = members.filter("doc_id = class_id").select("doc_id").distinct()
+    expected = sorted(map(str, dedup.content_exclusion(live, pairs, 0.8).collect()))
+    assert sorted(map(str, dedup.copies_excluded(docs, 0.8).collect())) == expected
+    assert sum("None" not in x for x in expected) > 20
