@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import building, catalog, chunking, dedup, evaluation, markup, vector
+from . import building, catalog, chunking, crawl, dedup, evaluation, markup, vector
 
-MODULES: tuple = (vector, catalog, dedup, chunking, building, evaluation, markup)
+MODULES: tuple = (vector, catalog, dedup, chunking, building, evaluation, markup, crawl)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
