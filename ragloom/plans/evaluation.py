@@ -290,8 +290,9 @@ def strategy_grid(spark, d):
 
 
 def grading_width(spark, d):
-    """G1, on texts with Hangul and full forms put in."""
-    odd = F.concat("text", F.repeat(F.lit("가ｱ（○"), (F.col("doc_id") % 5).cast("int")))
+    """G1, on texts with Hangul and full forms put in, and a character of known width: a watch, lightning, an angle, Tangut, an accent, a half, a half form."""
+    known = F.element_at(F.split(F.lit("⌚,⚡,〈,𗀀,é,½,ｱ"), ","), (F.col("doc_id") % 7 + 1).cast("int"))
+    odd = F.concat("text", F.repeat(F.lit("가ｱ（○"), (F.col("doc_id") % 5).cast("int")), F.repeat(known, 3))
     return tables.table(spark, d, "documents").select("doc_id", repro.display_width(odd).cast("long").alias("width"))
 
 
@@ -465,7 +466,7 @@ c AS (SELECT result,
 long AS (SELECT result, unnest([{{'check': 'refused_out', 'v': refused_out}}, {{'check': 'refused_part', 'v': refused_part}}, {{'check': 'scope_right', 'v': scope_right}}, {{'check': 'diagnosis', 'v': diagnosis}}, {{'check': 'advice', 'v': advice}}, {{'check': 'asked_back', 'v': asked_back}}, {{'check': 'verifiable', 'v': verifiable}}, {{'check': 'gold_cited', 'v': gold_cited}}]) AS x FROM c)
 SELECT result, x.check AS check, coalesce(count_if(x.v), 0)::BIGINT AS yes, count(x.v) AS asked FROM long GROUP BY 1, 2""",
     "strategy_grid": _SCORED + """ SELECT CASE WHEN chunk_id % 2 = 0 THEN 'even' ELSE 'odd' END || '+doc2+en' AS strategy, query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id % 2 ORDER BY fused DESC, chunk_id) AS rank FROM s0) WHERE rank <= 3""",
-    "grading_width": "SELECT doc_id, length(text) + 6 * (doc_id % 5) AS width FROM documents",
+    "grading_width": "SELECT doc_id, length(text) + 6 * (doc_id % 5) + 3 * CASE WHEN doc_id % 7 < 4 THEN 2 ELSE 1 END AS width FROM documents",
     "grading_cited_texts": """
 SELECT conv_id AS number, rank, 'text ' || rank AS text, rank IN (2, conv_id % 4) AS cited FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn <= 1 AND conv_id % 3 <> 0) CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS rank)""",
     "grading_sheet_blocks": """

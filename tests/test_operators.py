@@ -184,12 +184,55 @@ def test_width_and_wrapping(spark):
     sample = "a한글 ○１ｱ（、漢あ😀é"
     wide = lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)
     assert all(got(spark, c, repro.display_width) == wide(c) for c in [*sample, sample])
-    lines = repro.wrap_lines("- " + "가나다 " * 30 + "\n\n[ ] 12. " + "word " * 40, indent="  ")
+    lines = got(spark, "- " + "가나다 " * 30 + "\n\n[ ] 12. " + "word " * 40, lambda c: repro.wrapped(c, indent=2))
     assert all(wide(x) <= 72 for x in lines) and "" in lines
     assert lines[0].startswith("  - 가") and lines[1].startswith("    가")
     box = lines[lines.index("") + 1 :]
     assert box[0].startswith("  [ ] 12. word") and all(x.startswith(" " * 10 + "word") for x in box[1:])
-    assert got(spark, "가" * 50, repro.wrap) == ["가" * 50] and got(spark, None, repro.wrap) is None
+    assert got(spark, "가" * 50, repro.wrapped) == ["가" * 50] and got(spark, None, repro.wrapped) is None
+    every = [chr(c) for c in range(0x20, 0x33000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(every[k : k + 997]) for k in range(0, len(every), 997)]
+    rows = spark.createDataFrame([(b,) for b in blocks], "t string").select("t", repro.display_width(F.col("t")).alias("w")).collect()
+    assert all(r.w == wide(r.t) for r in rows)
+
+
+def test_wrapping_fills_lines_word_by_word(spark):
+    """Against a plain fill of lines, at several widths."""
+    import random
+    import re
+    import unicodedata
+
+    wide = lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)
+    r = random.Random(3)
+    texts = ["\n".join(r.choice(["", "- ", "3. ", "[ ] 4. ", "[ ] [2] ", "  * "]) + " ".join(r.choice(["가나", "word", "", "a" * 30, "é"]) for _ in range(r.randrange(25))) for _ in range(3)) for _ in range(60)]
+    for columns, indent in ((72, 0), (20, 2), (12, 3)):
+        found = [x.y for x in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(repro.wrapped(F.col("t"), columns, indent).alias("y")).collect()]
+        for text, lines in zip(texts, found):
+            assert [x for x in "".join(lines) if x != " "] == [x for x in text if x not in " \n"]
+            at = 0
+            for line in text.split("\n"):
+                if not line.strip():
+                    assert lines[at] == ""
+                    at += 1
+                    continue
+                mark = re.match(r"\s*(?:\[ \] \S+\s*|[-*]\s+|\d+\.\s+)?", line)[0]
+                rows, used = [[]], indent + wide(mark)
+                for word in line[len(mark) :].split(" "):
+                    if rows != [[]] and used + 1 + wide(word) > columns:
+                        rows.append([])
+                        used = indent + wide(mark)
+                    else:
+                        used += rows != [[]]
+                    used += wide(word)
+                    rows[-1].append(word)
+                for k, words in enumerate(rows):
+                    assert lines[at] == ((" " * indent + mark if k == 0 else " " * (indent + wide(mark))) + " ".join(words)).rstrip(" ")
+                    at += 1
+            assert at == len(lines)
+
+
+def test_plain_answers(spark):
+    assert got(spark, " # Title\n## **Bold** x\n#\n\n- a **b**\ntext # no ", repro.plain_answer) == "Title\nBold x\n\n- a b\ntext # no"
 
 
 def test_blank_boxes_are_not_graded(spark):
