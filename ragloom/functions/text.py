@@ -57,6 +57,11 @@ def strip_request(question: Column, pattern: str) -> Column:
     return F.when(rest == "", question).otherwise(rest)
 
 
+def percent_decoded(text: Column) -> Column:
+    """Text with its percent signs read as UTF-8, or as it is where they can't be; a plus stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
 def tags(text: Column, table: dict[str, str]) -> Column:
     """The names, in the table's order, whose pattern occurs in the text, case ignored."""
     return F.filter(F.array(*[F.when(text.rlike(f"(?iu){pattern}"), F.lit(name)) for name, pattern in table.items()]), lambda name: name.isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.text import percent_decoded
 from .markup import article_texts, links, main_text, plain_text, portal_texts, title
 
 EMPTY_CHARS, SCAN_SHARE, LEAST_OCR, MOST_FILES = 20, 0.9, 100, 3
@@ -23,11 +24,16 @@ def request_gap(delay: Column, crawl_delay: Column, least_gap: Column) -> Column
 
 
 def download_name(disposition: Column, url: Column) -> Column:
-    """The name that a download states in UTF-8, else plainly, else the end of its path, else ``download``."""
+    """The name that a download states in UTF-8, else plainly, in quotes or without, else the end of its path, else ``download``.
+
+    Percent signs are read in each of them.
+    """
     some = lambda c: F.when(c != "", c)
-    extended = F.try_url_decode(F.regexp_extract(disposition, "(?i)filename\\*\\s*=\\s*UTF-8''([^;\\s]+)", 1))
-    plain = _decoded(F.regexp_extract(disposition, '(?i)filename\\s*=\\s*"([^"]+)"', 1))
-    path = F.try_url_decode(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[^:]+://[^/]*/(?:.*/)?([^/]*)$", 1))
+    extended = percent_decoded(F.regexp_extract(disposition, "(?i)filename\\*\\s*=\\s*UTF-8''([^;]+)", 1))
+    quoted = F.regexp_extract(disposition, '(?i)(?:^|[;\\s])filename\\s*=\\s*"([^"]+)"', 1)
+    bare = F.trim(F.regexp_extract(disposition, '(?i)(?:^|[;\\s])filename\\s*=\\s*([^";]+)', 1))
+    plain = percent_decoded(_decoded(F.coalesce(some(quoted), bare)))
+    path = percent_decoded(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[^:]+://[^/]*/(?:.*/)?([^/]*)$", 1))
     return F.coalesce(some(extended), some(plain), some(path), F.lit("download"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, settled, site_key
+from ..functions.text import percent_decoded, settled, site_key
 from ..sources.sinks import small_batches
 from .acquire import robots_policy
 
@@ -26,11 +26,6 @@ ENCODINGS = ("utf-8", "cp949", "shift_jis", "gb18030", "cp1251")
 ANY = "latin-1"
 
 
-def _plain(path: Column) -> Column:
-    """A path with its percent signs read, or as it is where they can't be."""
-    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
-
-
 def robots_rules(files: DataFrame) -> DataFrame:
     """Rows (site, group_no, agents, is_default, delay, rules) of robots files (site, body); rules (no, allow, path) in order.
 
@@ -47,8 +42,8 @@ def robots_rules(files: DataFrame) -> DataFrame:
     placed = told.withColumns({"begins": begins, "stretch": F.count_if(F.col("kind") == "blank").over(order)}).withColumn("group_no", F.count_if("begins").over(order))
     # a rule counts if its group began behind the last blank line
     whole = placed.filter("group_no > 0 and kind <> 'blank'").withColumn("home", F.first(F.when(F.col("begins"), F.col("stretch")), ignorenulls=True).over(Window.partitionBy("site", "group_no").orderBy("no"))).filter("stretch = home")
-    path = F.when(F.col("kind") == "rule", F.struct(F.col("no").alias("no"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), _plain(F.col("value")).alias("path"), (F.col("field") == "crawl-delay").alias("is_delay")))
-    groups = whole.groupBy("site", "group_no").agg(F.collect_list(F.when(F.col("kind") == "agent", F.lower(_plain(F.col("value"))))).alias("agents"), F.array_sort(F.collect_list(path)).alias("all"), F.max_by(F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value as int)")), F.when((F.col("field") == "crawl-delay") & F.col("value").rlike("^[0-9]+$"), F.col("no"))).alias("delay"))
+    path = F.when(F.col("kind") == "rule", F.struct(F.col("no").alias("no"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), percent_decoded(F.col("value")).alias("path"), (F.col("field") == "crawl-delay").alias("is_delay")))
+    groups = whole.groupBy("site", "group_no").agg(F.collect_list(F.when(F.col("kind") == "agent", F.lower(percent_decoded(F.col("value"))))).alias("agents"), F.array_sort(F.collect_list(path)).alias("all"), F.max_by(F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value as int)")), F.when((F.col("field") == "crawl-delay") & F.col("value").rlike("^[0-9]+$"), F.col("no"))).alias("delay"))
     rules = F.transform(F.filter("all", lambda r: ~r["is_delay"]), lambda r: F.struct(r["no"].alias("no"), r["allow"].alias("allow"), r["path"].alias("path")))
     return groups.filter(F.size("all") > 0).select("site", "group_no", "agents", F.array_contains("agents", "*").alias("is_default"), "delay", rules.alias("rules"))
 
@@ -78,7 +73,7 @@ def robots_allowed(urls: DataFrame, files: DataFrame, agent: str, longest: bool
     policy = files.select("site", robots_policy(F.col("status")).alias("policy"))
     ruled = policy.join(rules_for(files.filter(robots_policy(F.col("status")) == "rules"), agent), "site", "left")
     known = site_of.join(ruled, "site", "left")
-    rest = F.regexp_replace(_plain(F.col("url")), "^[^:/?#]+://[^/?#]*", "")
+    rest = F.regexp_replace(percent_decoded(F.col("url")), "^[^:/?#]+://[^/?#]*", "")
     placed = known.withColumn("path", settled(F.when(rest == "", "/").otherwise(rest)))
     if longest:
         fits = F.filter("rules", lambda r: (r["path"] != "") & _matches(F.col("path"), r["path"]))

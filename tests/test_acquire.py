@@ -18,6 +18,10 @@ def test_download_names(spark):
         ('inline; filename="a b.pdf"', "https://s/x", "a b.pdf"),
         (None, "https://s/d/c%20d.pdf?z=/q", "c d.pdf"),
         ("", "https://s/", "download"),
+        ("attachment; filename=report.pdf", "https://s/other.txt", "report.pdf"),
+        ("attachment; filename=a+b%20c.pdf; size=3", "https://s/x", "a+b c.pdf"),
+        ('attachment; filename="%ED%95%9C.pdf"', "https://s/x", "한.pdf"),
+        ("attachment; filename=\"50% off.pdf\"", "https://s/x", "50% off.pdf"),
     ]
     df = spark.createDataFrame(cases, "d string, u string, w string")
     assert all(r.n == r.w for r in df.select("w", acquire.download_name(F.col("d"), F.col("u")).alias("n")).collect())

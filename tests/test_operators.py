@@ -41,7 +41,7 @@ def test_urls_need_a_page(spark):
 
 
 def test_file_types(spark):
-    rows = [(b"%PDF-1", "a", "pdf"), (b"\xff\xd8\xff\xe0", "a", "image"), (b"GIF89a", "a", "image"), (b"\xd0\xcf\x11\xe0", "a", "hwp"), (b"PK\x03\x04", "a.HWPX", "hwpx"), (b"PK\x03\x04", "a.zip", "unknown"), (b" \n<html>", "a", "html"), (b"", "a", "unknown")]
+    rows = [(b"%PDF-1", "a", "pdf"), (b"\xff\xd8\xff\xe0", "a", "image"), (b"GIF89a", "a", "image"), (b"\xd0\xcf\x11\xe0", "a", "hwp"), (b"PK\x03\x04", "a.HWPX", "hwpx"), (b"PK\x03\x04", "a.zip", "unknown"), (b" \n<html>", "a", "html"), (b" \t\n" * 300 + b"<p>", "a", "html"), (b"x <p>", "a", "unknown"), (b"", "a", "unknown")]
     df = spark.createDataFrame([(bytearray(d), n, w) for d, n, w in rows], "d binary, n string, w string")
     assert all(r.t == r.w for r in df.select("w", catalog.detect_type(F.col("d"), F.col("n")).alias("t")).collect())
 
