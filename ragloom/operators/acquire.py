@@ -134,6 +134,31 @@ def parse_fetched(fetched: DataFrame, kind: str, **how) -> DataFrame:
     raise ValueError(f"no kind {kind}")
 
 
+def parse_mixed(fetched: DataFrame, hows: dict[str, dict] | None = None) -> DataFrame:
+    """What is made of fetched files of all kinds at once: rows (key, kind, what, url, title, text, error).
+
+    ``fetched``: key (long), kind, url, html. ``what``: a file to fetch (url), a text, or an error: an unknown kind, a null
+    page, XML that isn't what its kind says. An error is a row like another, and no page stops the rest. ``hows`` has the
+    settings of kinds for ``parse_fetched``.
+    """
+    hows = hows or {}
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    known = F.coalesce(F.col("kind").isin("pdf", "page", "html", "pmc", "kdca", *(["khepi"] if "khepi" in hows else [])), F.lit(False))
+    bad = F.when(~known, F.concat(F.lit("unknown kind "), F.coalesce("kind", F.lit("")))).when(F.col("html").isNull() & (F.col("kind") != "pdf"), "nothing was fetched")
+    marked = fetched.select("key", "kind", "url", "html", bad.alias("error"))
+    out = marked.filter("error is not null").select("key", "kind", F.lit("error").alias("what"), none("url"), none("title"), none("text"), "error")
+    good = marked.filter("error is null").select(F.col("key").alias("page_id"), "kind", "url", "html")
+    for kind in ("pdf", "page", "html", "pmc", "kdca", *(["khepi"] if "khepi" in hows else [])):
+        made = parse_fetched(good.filter(F.col("kind") == kind).drop("kind"), kind, **hows.get(kind, {}))
+        said = lambda name: F.col(name) if name in made.columns else none(name)  # noqa: B023, E731
+        key = F.col("page_id" if "page_id" in made.columns else "list_id" if "list_id" in made.columns else "doc")
+        url = F.col("system_file") if kind == "khepi" else said("url")
+        what = F.lit("file") if kind in ("pdf", "page", "khepi") else F.when(F.col("text").isNotNull(), "text").otherwise("error")
+        error = F.coalesce(said("error"), F.when(what == "error", "no article")) if kind in ("pmc", "kdca") else none("error")
+        out = out.unionByName(made.select(key.alias("key"), F.lit(kind).alias("kind"), what.alias("what"), url.alias("url"), said("title").alias("title"), said("text").alias("text"), error.alias("error")))
+    return out
+
+
 def page_plan(pages: DataFrame) -> DataFrame:
     """Rows (doc, n_pages, n_empty, recognise, n_ocr) for pages (doc, page, n_chars, ocr_chars).
 

@@ -47,6 +47,17 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.concat(F.lit("manual://"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1)).alias("key"), "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def read_fetched(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched files of mixed kinds (key, kind, path, content, charset): the kind is the name of the folder that a file lies in.
+
+    Files are read by Spark's own reader, in whatever store they are, which passes over empty ones; the key is a hash of the
+    last two names of the path.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    names = F.split("path", "/")
+    return raw.select(F.xxhash64(F.element_at(names, -2), F.element_at(names, -1)).alias("key"), F.element_at(names, -2).alias("kind"), "path", "content", F.lit(None).cast("string").alias("charset"))
+
+
 def import_notes(files: DataFrame, known: DataFrame, note: str) -> DataFrame:
     """Rows (key, sha256, note) of local files in order of their key; ``note`` is put once behind what ``known`` (key, note) has."""
     joined = files.select("key", "sha256").join(known.select("key", F.col("note").alias("before")), "key", "left")
