@@ -90,7 +90,7 @@ def stub_answer(prompts: list[str]) -> list[str]:
 
 
 def ask(prompts: DataFrame, model: Answer = stub_answer, out: str = "answer") -> DataFrame:
-    """Rows (query_id, answer); a failed call gives ``ERROR: ...`` in its row, and the run goes on."""
+    """Rows (query_id, answer) without doubled bullets; a failed call gives ``ERROR: ...`` in its row, and the run goes on."""
     small_batches(prompts.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,8 @@ def ask(prompts: DataFrame, model: Answer = stub_answer, out: str = "answer") ->
                     said.append(f"ERROR: {problem}")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.string())], ["query_id", out])
 
-    return prompts.select(F.col("query_id").cast("long"), "prompt").mapInArrow(run, f"query_id long, {out} string")
+    said = prompts.select(F.col("query_id").cast("long"), "prompt").mapInArrow(run, f"query_id long, {out} string")
+    return said.withColumn(out, answers.single_bullets(F.col(out)))
 
 
 def stub_translate(texts: list[str]) -> list[str]:
@@ -147,18 +148,49 @@ class Rules:
     ask_back_rule: str = "First ask for the conditions that are missing."
     outside_rule: str = "Give no advice on %s."
     again_rule: str = "The last answer had: %s. Write it without that."
+    sentence_ends: str = answers.ENDS
 
 
 Search = Callable[[DataFrame], DataFrame]
+#: Of an answer's candidate sentences, a line each, the one that breaks the rule; None or "" if none does.
+Judge = Callable[[str], str | None]
 
 
-def run(questions: DataFrame, rules: Rules, search: Search, model: Answer = stub_answer, translations: DataFrame | None = None, translator: Answer = stub_translate) -> DataFrame:
+def judged(rows: DataFrame, rules: Rules, judge: Judge | None, answer: str, out: str) -> DataFrame:
+    """``rows`` (query_id, ...) with ``out``: the sentence of ``answer`` that advises, null if none does.
+
+    Only answers with candidate sentences go to the judge; one that fails has said nothing. Without a judge the first
+    candidate counts.
+    """
+    found = answers.candidates(F.col(answer), rules.advice, rules.references, rules.sentence_ends)
+    if judge is None:
+        return rows.withColumn(out, F.get(found, F.lit(0)))
+    small_batches(rows.sparkSession)
+
+    def run_(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            said = []
+            for sentences in part.column(1).to_pylist():
+                try:
+                    said.append(judge(sentences) or None)
+                except Exception:  # the judge is anybody's code
+                    said.append(None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.string())], ["query_id", out])
+
+    asked = rows.select("query_id", F.array_join(F.transform(found, strip), "\n").alias("sentences")).filter("sentences <> ''")
+    # written, so that the judge is asked once
+    verdicts = checkpointed(asked.mapInArrow(run_, f"query_id long, {out} string"))
+    return rows.join(verdicts, "query_id", "left")
+
+
+def run(questions: DataFrame, rules: Rules, search: Search, model: Answer = stub_answer, translations: DataFrame | None = None, translator: Answer = stub_translate, judge: Judge | None = None) -> DataFrame:
     """Rows (query_id, scope, asked, searched, translated, diagnosis, answer, sources) of questions (query_id, question, scope, out_of_scope, rewritten).
 
     Out of scope: a refusal, without search and model. In part: the rewritten question is asked, if there is one, and
     a notice follows. The search text lacks the generic request; its translation (with a cache (key, en) in
     ``translations``) is searched too. ``search``: rows (query_id, text, translated) to rows (query_id, rank, cite, score,
-    text). An answer that advises or judges is asked for once more with the sentence named; what is still there goes.
+    text). An answer that advises, by its candidate sentences or by what ``judge`` says of them, or that judges is asked
+    for once more with the sentence named; what is still there goes.
     """
     outside = questions.filter("scope = 'out'")
     none = F.lit(None).cast("string")
@@ -179,23 +211,29 @@ def run(questions: DataFrame, rules: Rules, search: Search, model: Answer = stub
     extra = F.concat_ws("\n", F.when(diagnosis, F.lit(rules.diagnosis_rule)), F.when(answers.ask_back(F.col("question"), rules.asks_diagnosis, rules.stated, rules.conditions), F.lit(rules.ask_back_rule)), F.when(part, F.format_string(rules.outside_rule, topics)))
     rows = inside.join(answers.context(found), "query_id", "left").join(listed, "query_id", "left").withColumns({"diagnosis": diagnosis, "extra": extra})
     prompt = F.concat_ws("\n", "extra", "asked", F.coalesce("context", F.lit("")))
-    rows = rows.join(ask(rows.select("query_id", prompt.alias("prompt")), model), "query_id")
-    rows = _rewritten(rows, F.get(answers.candidates(F.col("answer"), rules.advice, rules.references), F.lit(0)), rules.advice, rules, model)
-    judged = F.when(F.col("diagnosis") & answers.banned(F.col("answer"), rules.diagnosis, rules.references), F.regexp_extract(answers.body(F.col("answer"), rules.references), rules.diagnosis, 0))
-    rows = _rewritten(rows, judged, rules.diagnosis, rules, model)
+    # written, so that the model is asked once
+    rows = checkpointed(rows.join(ask(rows.select("query_id", prompt.alias("prompt")), model), "query_id"))
+    rows = _rewritten(judged(rows, rules, judge, "answer", "hit"), rules.advice, rules, model, judge)
+    banned = F.when(F.col("diagnosis") & answers.banned(F.col("answer"), rules.diagnosis, rules.references), F.regexp_extract(answers.body(F.col("answer"), rules.references), rules.diagnosis, 0))
+    rows = _rewritten(rows.withColumn("hit", banned), rules.diagnosis, rules, model)
     final = F.when(part, F.concat("answer", F.lit("\n\n"), F.format_string(rules.notice, topics))).otherwise(F.col("answer"))
     done = rows.select("query_id", "scope", "asked", F.col("text").alias("searched"), "translated", "diagnosis", final.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"))
     return refused.unionByName(done)
 
 
-def _rewritten(rows: DataFrame, hit: Column, pattern: str, rules: Rules, model: Answer) -> DataFrame:
-    """``rows`` where answers with a ``hit`` are asked for once more, and lose the sentences that still match."""
-    marked = checkpointed(rows.withColumn("hit", hit))
+def _rewritten(rows: DataFrame, pattern: str, rules: Rules, model: Answer, judge: Judge | None = None) -> DataFrame:
+    """``rows`` where answers with a ``hit`` are asked for once more, and lose what still matches: the sentence that the judge names, or all of the pattern."""
+    marked = checkpointed(rows)
     named = F.format_string(rules.again_rule, F.substring("hit", 1, 60))
-    again = ask(marked.filter("hit is not null").select("query_id", F.concat_ws("\n", "extra", named, "asked", F.coalesce("context", F.lit(""))).alias("prompt")), model, "retried")
-    both = marked.join(again, "query_id", "left")
-    clean = F.when(answers.banned(F.col("retried"), pattern, rules.references), answers.drop_sentences(F.col("retried"), pattern, rules.references)).otherwise(F.col("retried"))
-    return both.withColumn("answer", F.coalesce(clean, "answer")).drop("hit", "retried")
+    again = checkpointed(ask(marked.filter("hit is not null").select("query_id", F.concat_ws("\n", "extra", named, "asked", F.coalesce("context", F.lit(""))).alias("prompt")), model, "retried"))
+    if judge:
+        told = judged(again, rules, judge, "retried", "still")
+        clean = F.when(F.col("still").isNotNull(), answers.drop_sentences(F.col("retried"), F.substring(F.trim("still"), 1, 40), rules.references, rules.sentence_ends)).otherwise(F.col("retried"))
+    else:
+        told = again
+        clean = F.when(answers.banned(F.col("retried"), pattern, rules.references), answers.drop_sentences(F.col("retried"), pattern, rules.references, rules.sentence_ends)).otherwise(F.col("retried"))
+    both = marked.join(told.select("query_id", clean.alias("clean")), "query_id", "left")
+    return both.withColumn("answer", F.coalesce("clean", "answer")).drop("hit", "clean")
 
 
 def baseline(questions: DataFrame, model: Answer = stub_answer) -> DataFrame:

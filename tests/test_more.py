@@ -232,6 +232,45 @@ def test_answers_are_asked_for_again(spark):
     assert failed.failed and failed.answer == "ERROR: down" and failed.memo == ""
 
 
+def test_a_judge_clears_or_names_a_sentence(spark, tmp_path):
+    """What the judge clears stays as it was, without a second call; what it names goes, and only that."""
+    rules = models.Rules("out: %s", "left out: %s", "x^", "x^", "x^", "x^", "x^", "pills|약", "Refs")
+    questions = spark.createDataFrame([(k, q, "in", [], None) for k, q in enumerate(("doctor?", "more?", "breaks?", "none?", "korean?", "mended?"))], "query_id long, question string, scope string, out_of_scope array<string>, rewritten string")
+    said = {
+        "doctor?": "- - Ask a doctor about pills. Walk.", "more?": "Take more pills. Ask a doctor about pills. Walk.", "breaks?": "Take more pills. Walk.", "none?": "Walk.",
+        "korean?": "약을 끊으세요 걷기는 좋다 약은 의사와 상의한다", "mended?": "Take more pills.",
+    }
+
+    def model(prompts):
+        for p in prompts:
+            with open(tmp_path / "asked", "a") as f:
+                f.write(next(q for q in said if q in p) + "\n")
+        return ["Walk." if "mended?" in p and "The last" in p else next(a for q, a in said.items() if q in p) for p in prompts]
+
+    def judge(sentences):
+        if "pills. Walk" in sentences or "Walk" in sentences.split("\n"):
+            raise AssertionError("not a candidate")
+        return next((s for s in sentences.split("\n") if s.startswith(("Take more", "약을"))), "")
+
+    search = lambda rows: rows.select("query_id", F.lit(1).alias("rank"), F.lit("c").alias("cite"), F.lit(0.5).alias("score"), F.lit("t").alias("text"))
+    done = {r.asked: r.answer for r in models.run(questions, rules, search, model, judge=judge).collect()}
+    assert done["doctor?"] == "- Ask a doctor about pills. Walk." and done["none?"] == "Walk."
+    assert done["more?"] == "Ask a doctor about pills. Walk." and done["breaks?"] == "Walk." and done["mended?"] == "Walk."
+    assert done["korean?"] == "걷기는 좋다 약은 의사와 상의한다"
+    asked = (tmp_path / "asked").read_text().split()
+    assert {q: asked.count(q) for q in said} == {"doctor?": 1, "none?": 1, "more?": 2, "breaks?": 2, "mended?": 2, "korean?": 2}
+    plain = {r.asked: r.answer for r in models.run(questions, rules, search, model).collect()}
+    assert plain["doctor?"] == "Walk." and plain["more?"] == "Walk."
+
+
+def test_sentences_end_as_stated(spark):
+    row = spark.createDataFrame([("약을 끊는다 걷는다. 약을 먹어요 좋다",)], "t string")
+    assert row.select(answers.candidates(F.col("t"), "약", "Refs").alias("y")).first().y == ["약을 끊는다", "약을 먹어요"]
+    assert row.select(answers.drop_sentences(F.col("t"), "약", "Refs").alias("y")).first().y == "걷는다. 좋다"
+    assert row.select(answers.candidates(F.col("t"), "약", "Refs", ".").alias("y")).first().y == ["약을 끊는다 걷는다.", "약을 먹어요 좋다"]
+    assert row.select(answers.drop_sentences(F.col("t"), F.lit("끊"), "Refs").alias("y")).first().y == "걷는다. 약을 먹어요 좋다"
+
+
 def test_models_wait_and_try_again():
     calls, waits = [], []
 
