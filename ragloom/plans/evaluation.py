@@ -330,14 +330,22 @@ SETTINGS = {"model": {"answers": "m", "temperature": 0}, "search": {"strategy":
 
 
 def snapshot_settings(spark, d):
-    """Settings, and the documents of ids divisible by 20 as files."""
-    files = tables.table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
-    return spark.createDataFrame(repro.snapshot(SETTINGS, files), "path string, value string")
+    """Settings, and the documents as files."""
+    files = tables.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return repro.snapshot(spark, SETTINGS, files)
+
+
+def grading_sheet_report(spark, d):
+    """The report of the sheets of ``grading_sheet_blocks``' kind, a sheet for each twenty conversations: all are graded but some judgements."""
+    part = F.concat(F.lit("====\n"), F.col("conv_id").cast("string"), F.lit("번 · kind\n====\n[scope] "), F.when(F.col("conv_id") % 2 == 0, "O").otherwise("X"), F.lit("\n["), F.when(F.col("conv_id") % 3 == 0, " ").otherwise("O"), F.lit("] judgement yes\n[△] 1. a\n[O] [2] c\n["), F.when(F.col("n_chars") > 300, "X").otherwise("O"), F.lit("] [3] d\n[O] retrieval hit\nviolations: "), (F.col("n_chars") % 3).cast("string"), F.lit("\n"))
+    convs = _turns(spark, d).groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_chars"))
+    sheets = convs.groupBy(F.floor(F.col("conv_id") / 20).alias("sheet_id")).agg(F.array_join(F.array_sort(F.collect_list(part)), "").alias("text"))
+    return repro.sheet_report(repro.parse_sheet(sheets.select("sheet_id", F.concat(F.lit("head\n"), "text").alias("text"))))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (gold_parse, label_pages, retrieval_hits, retrieval_reachability, retrieval_first_rank, retrieval_strategy_summary, query_strip_suffix, citation_string, setting_label_codec, scope_override_rules, context_assembly, answer_refusal, answer_askback, answer_cited_numbers, answer_verifiable_sources, answer_gold_cited, answer_check_matrix, guard_banned_expression, guard_drop_sentences, expected_scope, fingerprint, snapshot_diff, grading_rubric_split, grading_sheet_parse, grading_score_report, embed_cache_misses, embed_cache_upsert, answer_pipeline_stub, answer_baseline, query_translation_cache, answer_scope_right, answer_auto_checks, answer_gold_found, answer_checks_joined, strategy_grid, grading_width, grading_cited_texts, grading_sheet_lines, grading_sheet_blocks, snapshot_settings)
+    for f in (gold_parse, label_pages, retrieval_hits, retrieval_reachability, retrieval_first_rank, retrieval_strategy_summary, query_strip_suffix, citation_string, setting_label_codec, scope_override_rules, context_assembly, answer_refusal, answer_askback, answer_cited_numbers, answer_verifiable_sources, answer_gold_cited, answer_check_matrix, guard_banned_expression, guard_drop_sentences, expected_scope, fingerprint, snapshot_diff, grading_rubric_split, grading_sheet_parse, grading_score_report, embed_cache_misses, embed_cache_upsert, answer_pipeline_stub, answer_baseline, query_translation_cache, answer_scope_right, answer_auto_checks, answer_gold_found, answer_checks_joined, strategy_grid, grading_width, grading_cited_texts, grading_sheet_lines, grading_sheet_blocks, snapshot_settings, grading_sheet_report)
 }
 
 _SPEC = SPEC.replace("\n", "' || chr(10) || '")
@@ -475,5 +483,11 @@ SELECT conv_id AS number, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 5 =
   CASE WHEN conv_id % 7 = 0 THEN 1.0 END::DOUBLE AS hit, CASE WHEN conv_id % 2 = 0 THEN 'O' ELSE 'X' END AS scope FROM conversations WHERE turn = 0""",
     "snapshot_settings": f"""
 SELECT * FROM (VALUES ('model > answers', 'm'), ('model > temperature', '0'), ('search > strategy', 'fixed'), ('search > k', '10'), ('search > request', substring(sha256('{ASK_FOR}'), 1, 12)), ('rules > terms', substring(sha256('{TERMS}'), 1, 12)), ('rules > stages', substring(sha256('{STAGES}'), 1, 12))) t(path, value)
-UNION ALL SELECT 'files > ' || doc_id, substring(sha256(text), 1, 12) FROM documents WHERE doc_id % 20 = 0""",
+UNION ALL SELECT 'files > ' || doc_id, substring(sha256(text), 1, 12) FROM documents""",
+    "grading_sheet_report": """
+WITH c AS (SELECT conv_id, floor(conv_id / 20)::BIGINT AS sheet_id, sum(length(text)) AS n FROM conversations GROUP BY 1),
+s AS (SELECT sheet_id, count(*) AS q, count(*) FILTER (conv_id % 3 <> 0) AS j, count(*) FILTER (conv_id % 2 = 0) AS o, count(*) FILTER (n <= 300) AS r, count(*) FILTER (n % 3 > 0) AS v, sum(n % 3) AS vs FROM c GROUP BY 1),
+m AS (SELECT sheet_id, unnest(['judgement', 'details', 'citations', 'hits', 'questions with violations', 'violations', 'scopes']) AS measure, unnest([j, q / 2, q + r, q, v, vs, o])::DOUBLE AS reached,
+  unnest([j, q, 2 * q, q, q, q, q])::DOUBLE AS graded, unnest([q - j, 0, 0, 0, 0, 0, 0])::DOUBLE AS blank FROM s)
+SELECT *, CASE WHEN graded > 0 AND measure <> 'violations' THEN round(reached / graded, 6) END AS rate FROM m WHERE graded > 0 OR (blank > 0 AND measure = 'judgement')""",
 }

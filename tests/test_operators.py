@@ -240,6 +240,28 @@ def test_blank_boxes_are_not_graded(spark):
     assert [(m.mark, m.rest) for m in marks] == [(1.0, "a"), (None, "b"), (0.5, "c"), (0.5, "d")]
 
 
+def test_freeze_and_its_exit_codes(spark, tmp_path, capsys):
+    from ragloom import __main__ as command
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_text("one")
+    settings, base = tmp_path / "s.json", str(tmp_path / "base")
+    settings.write_text('{"model": {"k": 1}, "text:rules": "abc"}')
+    run = lambda *more: command.main(["freeze", base, str(settings), "--files", str(tmp_path / "files"), *more], spark)
+    assert run() == 1 and "no baseline" in capsys.readouterr().out
+    assert run("--write") == 0 and run() == 0
+    (tmp_path / "files" / "a.txt").write_text("two")
+    settings.write_text('{"model": {"k": 1}, "text:rules": "abd"}')
+    assert run() == 1
+    told = capsys.readouterr().out
+    assert "files > a.txt" in told and "rules" in told and "model" not in told
+
+
+def test_rubrics_lose_their_prefix(spark):
+    assert tuple(got(spark, "judgement: walk / a / b", lambda c: repro.rubric(c, "judgement:"))) == ("walk", ["a", "b"])
+    assert got(spark, "walk / a", lambda c: repro.rubric(c, "judgement:")).judgement == "walk"
+
+
 def test_snapshot_gate(spark):
     old = spark.createDataFrame([("a", "1"), ("b", None)], "path string, value string")
     new = spark.createDataFrame([("a", "1"), ("c", None)], "path string, value string")
