@@ -16,7 +16,7 @@ import numpy as np
 #: Chance that a pair of just the least similarity shares no band, and that its signatures are told apart.
 MISS = 1e-9
 #: Similarity that texts which aren't copies are taken to have at most; a wrong guess costs time only.
-UNRELATED = 0.003
+UNRELATED = 0.0015
 #: Fixed white space of the data model, as code points: what the class SPACE of the text functions holds.
 WHITE = (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _WHITE = np.isin(np.arange(0x3002), WHITE)
