@@ -24,6 +24,8 @@ BLOCK_SECONDS = 3600
 #: Fixed order of the encodings that are tried, and the one that takes any bytes.
 ENCODINGS = ("utf-8", "cp949", "shift_jis", "gb18030", "cp1251")
 ANY = "latin-1"
+#: So few high bytes, each run counted once, tell nothing of their encoding.
+FEW = 4
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
@@ -123,7 +125,8 @@ def guess_encoding(data: bytes | None, cut: int = 4) -> str | None:
     """The encoding of raw bytes without a stated one: what their mark says, UTF-8 if they are valid as such, else the likeliest.
 
     Bytes may be cut off within a character: an error in the last ``cut`` bytes is none. Other encodings are scored by
-    their letters and by how seldom the script changes from letter to letter. Null for null.
+    their letters and by how seldom the script changes from letter to letter; of equal scores ANY's goes first where high bytes
+    are FEW or no two are neighbours, else last. Null for null.
     """
     if data is None:
         return None
@@ -138,11 +141,15 @@ def guess_encoding(data: bytes | None, cut: int = 4) -> str | None:
             if problem.start < len(data) - cut or problem.start == 0 or not re.search("unexpected end|incomplete", problem.reason):
                 continue
             text = data[: problem.start].decode(name)
+            # a last byte alone is no cut character: it may as well be a letter of ANY
+            if text.isascii() and (name != "utf-8" or len(data) < problem.start + 2):
+                continue
         if name == "utf-8":
             return name
         scores.append((_letters(text) - _scripts(text) / max(1, len(text)), -k, name))
     text = data.decode(ANY)
-    scores.append((_letters(text) - _scripts(text) / max(1, len(text)) - sum("\xa1" <= c <= "\xbf" or c in "×÷" for c in text) / max(1, len(text)), -len(ENCODINGS), ANY))
+    lone = sum(map(len, set(re.findall(b"[\x80-\xff]+", data)))) <= FEW or not re.search(b"[\x80-\xff]{2}", data)
+    scores.append((_letters(text) - _scripts(text) / max(1, len(text)) - sum("\xa1" <= c <= "\xbf" or c in "×÷" for c in text) / max(1, len(text)), 1 if lone else -len(ENCODINGS), ANY))
     return max(scores)[2]
 
 

@@ -69,3 +69,12 @@ def test_encodings_are_guessed_and_read(spark):
     found = {r.key: (r.encoding, r.text) for r in crawl.decoded(spark.createDataFrame(rows, "key long, content binary, charset string")).collect()}
     assert [found[k] for k in range(len(known))] == [(g, t) for t, _, g in known]
     assert found[90] == (None, None) and found[91] == ("ISO-8859-1", german) and found[92] == ("utf-8", "abc") and found[93] == ("utf-8", "x�") and found[94] == ("utf-16-le", "ü")
+
+
+def test_latin_texts_that_end_in_their_only_letter_or_are_short(spark):
+    """Read as a cut-off UTF-8 or Korean character, or as single Cyrillic or Chinese ones, before."""
+    texts = ["der den ist chenen\u00e4", "Rement\u00e7", "\u00d6r", "un \u00e9", "\u00e8\u00e9\u00e8 &&&", "\u00d6\u00df,", "Ci\u00f3n d", "l'\u00e9t\u00e9 \u00e0", "\u00c9\u00e9 \u00c9\u00e9 \u00c9\u00e9"]
+    rows = [(k, bytearray(t.encode("latin-1")), None) for k, t in enumerate(texts)]
+    found = {r.key: (r.encoding, r.text) for r in crawl.decoded(spark.createDataFrame(rows, "key long, content binary, charset string")).collect()}
+    assert found == {k: ("latin-1", t) for k, t in enumerate(texts)}
+    assert crawl.guess_encoding("abc\u4f60".encode()[:-1]) == "utf-8"
