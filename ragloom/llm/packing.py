@@ -9,7 +9,9 @@ the capacity; the last of them is cut at powers of two, which are never padded.
 is padding, at most 1 / 64 of a piece each.
 
 A document's tokens are its whole text's ids and then the end id. Ids are made a word at a time and kept in a
-bounded table: the tokenizer never joins across white space. Texts with a marker of its special tokens or with
+bounded table: the tokenizer never joins across white space. A word of ASCII and Latin-1 letters is put into small
+letters and cut into the tokenizer's pieces here, if its file has the rules for which that holds (``RULES``), and only new
+pieces go through its model: normalising a word costs more than its merges. Texts with a marker of its special tokens or with
 the four separators that Python alone takes for white space go through the tokenizer whole.
 
 Nulls: a null text is empty: one token, the end id. A null doc_id is kept. Repeated rows are packed apart. Ties don't
@@ -19,7 +21,9 @@ many pieces as it needs. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,23 +39,44 @@ CAPACITY, END_ID, SHORT = 2048, 1, 32
 WASTE = 1 / 64
 #: Words that a worker keeps the ids of.
 KEPT_WORDS = 800_000
+#: Rules of a tokenizer file, normalizers and pre-tokenizers, that PLAIN words and their PIECES follow.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """The ids of a word, as little-endian bytes; forgets all words when full."""
+    """The ids of a word or a piece of one, as little-endian bytes; forgets all words when full."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.model = self.tokenizer.model
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.ruled = (told["normalizer"], told["pre_tokenizer"]) == RULES
+
+    def _ids(self, word: str) -> bytes:
+        if self.ruled and PLAIN(word):
+            pieces = PIECES(word.lower())
+            if pieces != [word]:
+                return b"".join(map(self.__getitem__, pieces))
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else self.as_bytes(word)[0][0])]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.kept:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[word] = self._ids(word)
         return out
 
     def of_text(self, text: str) -> bytes:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 import zlib
 
 import pytest
@@ -285,3 +286,24 @@ def test_words_forgotten_change_nothing():
         want = many.tokenizer.encode(text, add_special_tokens=False).ids
         got = few.of_text(text)
         assert got == many.of_text(text) and [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == want
+
+
+def test_plain_words_go_through_the_model_piece_by_piece():
+    """Words of small alphabets give the whole tokenizer's ids, and plain ones never pass its normalizer."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, []
+
+        def encode(self, text, **how):
+            self.asked.append(text)
+            return self.inner.encode(text, **how)
+
+    words, r = packing.WordIds(packing.default_tokenizer(), kept=5000), random.Random(4)
+    words.tokenizer = Counting(whole := words.tokenizer)
+    some = ["a", "B", "s", "T", "re", "LL", "'", "''", '"', "1", "23", "É", "ß", "ÿ", "Þ", "×", "é", "&", ">", "!", "_", "\\", "-", "d"]
+    plain, other = (["".join(r.choice(of) for _ in range(r.randint(1, 8))) for _ in range(3000)] for of in (some, [*some, "µ", "²", "ë", "İ", "中", "\x7f", "\xad", "ſ"]))
+    ids = lambda data: list(struct.unpack(f"<{len(data) // 4}I", data))
+    for w in plain + other:
+        assert ids(words[w]) == whole.encode(w, add_special_tokens=False).ids, w
+    assert {w for w in words.tokenizer.asked if "×" not in w} <= {w for w in other if not packing.PLAIN(w)}
