@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.sinks import small_batches
+from ..sources.sinks import checkpointed, small_batches
 
 #: Bytes of queries that may be broadcast; more are joined in blocks of about so many, each with blocks of chunks.
 MOST_BYTES = 64 << 20
 #: Queries that are scored together.
 GROUP = 128
+#: Rows that a group gathers at least before it sorts them.
+LEAST_NEW = 4096
+#: A group holds what rows must reach of each document for at most so many documents.
+MOST_DOCS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,44 +76,96 @@ class Limit:
 
 
 class _Best:
-    """Of some queries the rows that are within a limit, of all chunks so far."""
-
-    def __init__(self, first: int, count: int, limits: list[Limit]) -> None:
-        self.first, self.count, self.limits = first, count, limits
-        self.least = [np.full(count, -np.inf) for _ in limits]  # what a row of the limit's pool must reach
+    """Of some queries the rows that are within a limit, of all chunks so far. Rows are numbers: of the query, and codes of document and type."""
+
+    def __init__(self, first: int, original: np.ndarray, translated: np.ndarray, limits: list[Limit]) -> None:
+        self.first, self.count, self.limits = first, len(original), limits
+        self.forms = (original, translated)
+        self.sides = np.concatenate([original, translated]).T.copy()
+        # how far a product of matrices may lie from the sum by components, for a vector of length 1
+        self.slack = 4e-16 * (original.shape[1] + 8) * np.sqrt((self.sides**2).sum(0))
+        self.least = [np.full(self.count, -np.inf) for _ in limits]  # what a row of the limit's pool must reach
+        self.of_doc: list[tuple | None] = [None] * len(limits)  # and what it must of its document, while pools aren't full
         self.rows: list[dict] = []
-        self.scored = self.kept = 0
-
-    def add(self, scores: dict[str, np.ndarray], batch: dict[str, np.ndarray], exclude: list[set]) -> None:
-        """Scores (chunks, queries) of a batch's chunks."""
-        may = np.zeros(scores["score"].shape, bool)
-        for limit, least in zip(self.limits, self.least):
-            pool = slice(None) if limit.doc_type is None else batch["doc_type"] == limit.doc_type
-            may[pool] |= ~(scores[limit.by][pool] < least)
-        chunk, query = np.nonzero(may)
-        inside = np.array([batch["chunk_id"][c] not in exclude[self.first + q] for c, q in zip(chunk.tolist(), query.tolist())], bool)
-        chunk, query = chunk[inside], query[inside]
-        if len(chunk):
-            new = {"query": query} | {k: scores[k][chunk, query] for k in scores} | {k: v[chunk] for k, v in batch.items()}
-            self.rows.append(new)
-            self._prune()
-
-    def _prune(self) -> None:
+        self.held = self.new = 0
+
+    def _must(self, k: int, doc: np.ndarray, query: np.ndarray | slice) -> np.ndarray:
+        """What rows of these documents must reach for a limit and queries."""
+        if self.of_doc[k] is None:
+            return self.least[k][query]
+        docs, table = self.of_doc[k]
+        at = np.minimum(np.searchsorted(docs, doc), len(docs) - 1)
+        return np.maximum(self.least[k][query], table[np.where(docs[at] == doc, at, len(docs)), query])
+
+    def add(self, points: np.ndarray, norms: np.ndarray, batch: dict[str, np.ndarray], kinds: list[tuple[slice, list[bool]]], exclude: tuple[np.ndarray, np.ndarray]) -> None:
+        """A batch's chunks, those of one document type side by side: ``kinds`` has each type's rows and which limits are for it.
+
+        A product of matrices tells which pairs can be within a limit; only those are summed as ``dot`` does.
+        """
+        may = np.zeros((len(points), self.count), bool)
+        with np.errstate(invalid="ignore", over="ignore"):
+            close = points @ self.sides
+            for rows, for_it in kinds:
+                least = {"score": np.inf, "score_original": np.inf}
+                for k, limit in enumerate(self.limits):
+                    if for_it[k]:
+                        least[limit.by] = np.minimum(least[limit.by], self._must(k, batch["doc"][rows], slice(None)))
+                room = norms[rows, None] * self.slack
+                either = np.minimum(least["score"], least["score_original"])
+                may[rows] = ~((close[rows, : self.count] < either - room[:, : self.count]) & (close[rows, self.count :] < least["score"] - room[:, self.count :]))
+            may[~batch["regular"]] |= any(np.isneginf(x).any() for x in self.least)
+            mine = (exclude[1] >= self.first) & (exclude[1] < self.first + self.count)
+            may[exclude[0][mine], exclude[1][mine] - self.first] = False
+            chunk, query = np.nonzero(may)
+            first, second = (_dots(points, chunk, form, query) for form in self.forms)
+            odd = ~batch["regular"][chunk]
+            first[odd], second[odd] = -np.inf, -np.inf
+            scores = {"score_original": first, "score": np.maximum(first, second)}
+            inside = np.zeros(len(chunk), bool)
+            for k, limit in enumerate(self.limits):
+                pool = np.array([for_it[k] for _, for_it in kinds], bool)[batch["kind"][chunk]]
+                inside |= pool & ~(scores[limit.by] < self._must(k, batch["doc"][chunk], query))
+        if inside.any():
+            chunk, query = chunk[inside], query[inside]
+            self.rows.append({"query": query} | {k: v[inside] for k, v in scores.items()} | {k: v[chunk] for k, v in batch.items()} | {"pools": np.array([for_it for _, for_it in kinds], bool)[batch["kind"][chunk]]})
+            self.new += len(chunk)
+            # a row is sorted a few times only: when as many have come as are held
+            if self.new > max(self.held, LEAST_NEW):
+                self.prune()
+
+    def prune(self) -> None:
+        """Let go what is within no limit."""
+        if not self.new:
+            return
         rows = {k: np.concatenate([r[k] for r in self.rows]) for k in self.rows[0]}
         _, order = np.unique(rows["chunk_id"], return_inverse=True)
-        doc = np.unique(np.array([x or "" for x in rows["doc"]], object), return_inverse=True)[1] * 2 + np.array([x is None for x in rows["doc"]])
         keep = np.zeros(len(order), bool)
         for k, limit in enumerate(self.limits):
-            pool = np.arange(len(order)) if limit.doc_type is None else np.flatnonzero(rows["doc_type"] == limit.doc_type)
+            pool = np.flatnonzero(rows["pools"][:, k])
             value = np.where(np.isnan(rows[limit.by]), np.inf, rows[limit.by])
             if limit.per_doc:
-                pool = _first(pool, [rows["query"], doc], value, order, limit.per_doc)
+                pool = _first(pool, [rows["query"], rows["doc"]], value, order, limit.per_doc)
             pool = _first(pool, [rows["query"]], value, order, limit.most)
             keep[pool] = True
             held, last = np.bincount(rows["query"][pool], minlength=self.count), np.full(self.count, np.inf)
             np.minimum.at(last, rows["query"][pool], value[pool])
-            self.least[k] = np.where(held >= limit.most, last, -np.inf)
-        self.rows = [{k: v[keep] for k, v in rows.items()}]
+            self.least[k], self.of_doc[k] = np.where(held >= limit.most, last, -np.inf), None
+            docs, at = np.unique(rows["doc"][pool], return_inverse=True)
+            if limit.per_doc and (held < limit.most).any() and 0 < len(docs) <= MOST_DOCS:
+                place = at * self.count + rows["query"][pool]
+                each, last = np.bincount(place, minlength=len(docs) * self.count), np.full(len(docs) * self.count, np.inf)
+                np.minimum.at(last, place, value[pool])
+                table = np.where(each >= limit.per_doc, last, -np.inf).reshape(len(docs), self.count)
+                self.of_doc[k] = docs, np.concatenate([table, np.full((1, self.count), -np.inf)])
+        self.rows, self.held, self.new = [{k: v[keep] for k, v in rows.items()}], int(keep.sum()), 0
+
+
+class _Codes(dict):
+    """Numbers for values as they come."""
+
+    def __missing__(self, value: str | None) -> int:
+        out = self[value] = len(self)
+        return out
 
 
 def _first(rows: np.ndarray, keys: list[np.ndarray], value: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
@@ -122,12 +178,12 @@ def _first(rows: np.ndarray, keys: list[np.ndarray], value: np.ndarray, ties: np
     return rows[np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) < most]
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, each summed component by component."""
-    out, term = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
-    for k in range(a.shape[1]):
-        np.multiply(a[:, k, None], b[None, :, k], out=term)
-        out += term
+def _dots(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray, run: int = 8192) -> np.ndarray:
+    """The inner products of rows ``left`` of ``a`` with rows ``right`` of ``b``, each summed component by component."""
+    out = np.zeros(len(left))
+    for k in range(0, len(left), run):
+        for x, y in zip(np.ascontiguousarray(a[left[k : k + run]].T), np.ascontiguousarray(b[right[k : k + run]].T)):
+            out[k : k + run] += x * y
     return out
 
 
@@ -135,7 +191,9 @@ def best_scores(chunks: DataFrame, queries: DataFrame, limits: list[Limit]) -> D
     """V6, V7: the rows of ``fused_scores`` that may be within one of ``limits``: those that are so in their task.
 
     Queries of more than MOST_BYTES, and queries whose vectors have several lengths or nulls, go through ``fused_scores``.
-    A chunk whose vector is null, has nulls or another length has null scores, which come last.
+    A chunk whose vector is null, has nulls or another length has null scores, which come last. Many queries are dealt over
+    tasks in blocks, each of which meets all chunks or a part of them, so that what tasks send doesn't grow with their
+    number. The rows are checkpointed, as each limit reads them.
     """
     spark = chunks.sparkSession
     shape = queries.agg(F.sum(8 * (F.size("original") + F.size("translated") + F.size("exclude")) + 64).alias("bytes"), F.min(F.least(F.size("original"), F.size("translated"))).alias("low"), F.max(F.greatest(F.size("original"), F.size("translated"))).alias("high"), F.count_if(F.col("original").isNull() | F.col("translated").isNull() | F.exists("original", lambda x: x.isNull()) | F.exists("translated", lambda x: x.isNull())).alias("odd")).first()
@@ -143,36 +201,62 @@ def best_scores(chunks: DataFrame, queries: DataFrame, limits: list[Limit]) -> D
         return fused_scores(chunks, queries)
     small_batches(spark)
     asked = queries.select("query_id", "original", "translated", "exclude").toArrow()
-    size = shape.low
+    size, total = shape.low, len(asked)
     matrix = lambda c: asked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-    held = spark.sparkContext.broadcast((matrix("original"), matrix("translated"), [set(x or ()) for x in asked["exclude"].to_pylist()], asked["query_id"].combine_chunks()))
-    kinds = {c: to_arrow_type(chunks.schema[c].dataType) for c in ("chunk_id", "doc", "doc_type")}
+    excluded: dict = {}
+    for q, some in enumerate(asked["exclude"].to_pylist()):
+        for c in some or ():
+            excluded.setdefault(c, []).append(q)
+    held = spark.sparkContext.broadcast((matrix("original"), matrix("translated"), excluded, asked["query_id"].combine_chunks()))
+    names = {c: to_arrow_type(chunks.schema[c].dataType) for c in ("chunk_id", "doc", "doc_type")}
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    blocks = min(tasks, total // (2 * GROUP))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        original, translated, exclude, ids = held.value
-        groups = [_Best(k, min(GROUP, len(ids) - k), limits) for k in range(0, len(ids), GROUP)]
-        for batch in batches:
-            vectors = batch.column(3)
-            good = np.array([n == size for n in vectors.value_lengths().to_pylist()], bool)
-            flat = vectors.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-            points, regular = np.zeros((len(good), size)), good.copy()
-            points[good] = flat
-            if vectors.flatten().null_count:
-                regular &= np.array([v is not None and None not in v for v in vectors.to_pylist()], bool)
-            columns = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(kinds)} | {"regular": regular}
-            for group in groups:
-                own = slice(group.first, group.first + group.count)
-                first = _dots(points, original[own])
-                second = _dots(points, translated[own])
-                first[~regular], second[~regular] = -np.inf, -np.inf
-                group.add({"score_original": first, "score": np.maximum(first, second)}, columns, exclude)
-        for group in groups:
+        original, translated, excluded, ids = held.value
+        groups: dict[int, list[_Best]] = {}
+        docs, types = _Codes(), _Codes()
+        for whole in batches:
+            for block in set(whole.column(4).to_pylist()):
+                batch = whole.filter(pa.array(whole.column(4).to_numpy() == block))
+                if block not in groups:
+                    own = range(block * total // max(1, blocks), (block + 1) * total // max(1, blocks) if blocks > 1 else total)
+                    groups[block] = [_Best(k, original[k : min(k + GROUP, own.stop)], translated[k : min(k + GROUP, own.stop)], limits) for k in range(own.start, own.stop, GROUP)]
+                kind = np.array([types[x] for x in batch.column(2).to_pylist()])
+                order = np.argsort(kind, kind="stable")
+                batch, kind = batch.take(pa.array(order)), kind[order]
+                vectors = batch.column(3)
+                good = np.array([n == size for n in vectors.value_lengths().to_pylist()], bool)
+                flat = vectors.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                points, regular = np.zeros((len(good), size)), good.copy()
+                points[good] = flat
+                if vectors.flatten().null_count:
+                    regular &= np.array([v is not None and None not in v for v in vectors.to_pylist()], bool)
+                found = batch.column(0).to_pylist()
+                pairs = [(row, q) for row, c in enumerate(found) for q in excluded.get(c, ())]
+                columns = {"chunk_id": batch.column(0).to_numpy(zero_copy_only=False), "doc": np.array([docs[x] for x in batch.column(1).to_pylist()]), "kind": kind, "regular": regular}
+                told = list(types)
+                ends = np.searchsorted(kind, np.arange(len(told) + 1))
+                kinds = [(slice(ends[k], ends[k + 1]), [x.doc_type is None or x.doc_type == told[k] for x in limits]) for k in range(len(told))]
+                for group in groups[block]:
+                    group.add(points, np.sqrt((points**2).sum(1)), columns, kinds, tuple(np.array(pairs, int).reshape(-1, 2).T))
+        values = [pa.array(list(c), names[n]) for c, n in ((docs, "doc"), (types, "doc_type"))]
+        for group in (g for each in groups.values() for g in each):
+            group.prune()
             for rows in group.rows:
                 score = lambda c: pa.array(rows[c], mask=~rows["regular"])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows["query"] + group.first)), *(pa.array(rows[c], kind) for c, kind in kinds.items()), score("score_original"), score("score")], ["query_id", *kinds, "score_original", "score"])
-
-    fields = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, names in ((queries, ["query_id"]), (chunks, list(kinds))) for c in names)
-    return chunks.select("chunk_id", "doc", "doc_type", "vector").mapInArrow(search, f"{fields}, score_original double, score double")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows["query"] + group.first)), pa.array(rows["chunk_id"], names["chunk_id"]), values[0].take(pa.array(rows["doc"])), values[1].take(pa.array(rows["kind"])), score("score_original"), score("score")], ["query_id", *names, "score_original", "score"])
+
+    fields = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, some in ((queries, ["query_id"]), (chunks, list(names))) for c in some)
+    rows = chunks.select("chunk_id", "doc", "doc_type", "vector")
+    if blocks > 1:
+        # task p has the query block p % blocks and the part p // blocks of the chunks
+        parts = max(1, tasks // blocks)
+        part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int") * blocks
+        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(parts * blocks, part + F.col("block"))
+    else:
+        dealt = rows.withColumn("block", F.lit(0))
+    return checkpointed(dealt.mapInArrow(search, f"{fields}, score_original double, score double"))
 
 
 def topk(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

@@ -78,3 +78,39 @@ def test_few_rows_leave_the_scan(spark, sf_dir):
     chunks, asked = tables.chunks(spark, sf_dir).coalesce(2), tables.queries(spark, sf_dir)
     pairs = vector.fused_scores(chunks, asked).count()
     assert vector.best_scores(chunks, asked, vector.quota_limits()).count() < pairs / 2
+
+
+def test_few_documents_fill_no_pool_but_let_few_rows_through():
+    """With fewer documents than a limit asks for, each chunk of theirs was kept and sorted anew."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    points, asked = r.normal(size=(4000, 8)), r.normal(size=(6, 8))
+    limits = [vector.Limit("score", 50, "academic", 2)]
+    group, taken = vector._Best(0, asked, -asked, limits), 0
+    none, true = np.zeros(0, int), np.ones(100, bool)
+    for k in range(0, 4000, 100):
+        batch = {"chunk_id": np.arange(k, k + 100), "doc": np.arange(k, k + 100) % 3, "kind": np.zeros(100, int), "regular": true}
+        before = group.new
+        group.add(points[k : k + 100], np.sqrt((points[k : k + 100] ** 2).sum(1)), batch, [(slice(0, 100), [True])], (none, none))
+        taken += group.new - before
+        group.prune()
+    score = np.maximum(points @ asked.T, points @ -asked.T)
+    docs = np.arange(4000) % 3
+    best = {(q, int(c)) for q in range(6) for d in range(3) for c in sorted(np.flatnonzero(docs == d), key=lambda c: -score[c, q])[:2]}
+    rows = group.rows[0]
+    assert set(zip(rows["query"].tolist(), rows["chunk_id"].tolist())) == best
+    assert taken < 4000 * 6 / 10
+
+
+def test_many_queries_are_dealt_in_blocks(spark, monkeypatch):
+    """Tasks send no more rows than their queries' limits let through, however many queries there are."""
+    monkeypatch.setattr(vector, "GROUP", 4)
+    r = random.Random(5)
+    rows = [(k, f"d{k % 5}", "academic" if k % 5 < 2 else "public", [r.gauss(0, 1) for _ in range(4)]) for k in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc string, doc_type string, vector array<float>").repartition(8)
+    asked = spark.createDataFrame([(q, [r.gauss(0, 1) for _ in range(4)], [r.gauss(0, 1) for _ in range(4)], [q, q + 1]) for q in range(40)], "query_id long, original array<double>, translated array<double>, exclude array<long>")
+    few = vector.best_scores(chunks, asked, [vector.Limit("score", 7)])
+    columns = ("query_id", "chunk_id", "score", "score_original", "rank")
+    assert _rows(vector.topk(few, 7), *columns) == _rows(vector.topk(vector.fused_scores(chunks, asked), 7), *columns)
+    assert few.count() <= 40 * 7
