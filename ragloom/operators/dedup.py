@@ -50,6 +50,19 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return split.select("doc_id", "lang", shingles(F.col("chars"), size).alias("shingles")).withColumn("n", F.size("shingles"))
 
 
+def shingle_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Rows (doc_id, n): how many distinct n-grams a text has."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            n = [len(sets.shingle_set(text.as_py(), size)) for text in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["doc_id", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n long")
+
+
 def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
     """Rows (doc_id, node, n, sig, spots) of documents with shingles. A node is a class of equal sets of one language.
 

@@ -15,7 +15,7 @@ def _docs(spark, d):
 
 def dedup_shingle_count(spark, d):
     """D1."""
-    return dedup.shingle_sets(_docs(spark, d)).select("doc_id", F.col("n").cast("long").alias("n"))
+    return dedup.shingle_counts(_docs(spark, d))
 
 
 def dedup_jaccard_pairs(spark, d):
