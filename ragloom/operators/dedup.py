@@ -28,8 +28,8 @@ from .graph import components
 NEAR, SAME, SIZE = 0.6, 0.98, 10
 #: Texts and shingles of a block, rows of signatures and shingles that are compared in one call, and edges of a component that one call decides.
 BLOCK, BLOCK_SHINGLES, CALL_ROWS, CALL_SHINGLES, CALL_EDGES = 1024, 1 << 20, 8192, 4 << 20, 200_000
-#: Shingles of a component that one call walks.
-WALK_SHINGLES = 16 << 20
+#: Shingles of a component that is walked in one call, and of what one call walks if components are smaller: enough calls for every core.
+WALK_SHINGLES, WALK_CALL = 16 << 20, 1 << 20
 #: Most slots of the map of ids that are looked up. A full map only costs time.
 MOST_SLOTS = 1 << 23
 #: Distinct texts that a task remembers, so that copies are read once.
@@ -260,7 +260,7 @@ def copies_excluded(docs: DataFrame, same: float = SAME, size: int = SIZE) -> Da
 def _walked(members: DataFrame, docs: DataFrame, classes: DataFrame, cut: sets.Plan, same: float, size: int) -> DataFrame:
     """Rows (doc_id, excluded_by) of the excluded texts of components (node, root, n), each walked in one call, many in each."""
     wanted = checkpointed(members.select("node", "root", "n").join(classes.select("node", "id"), "node"))
-    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) // WALK_SHINGLES)
+    calls = -(-(wanted.agg(F.sum("n")).first()[0] or 0) // WALK_CALL)
     read = _of_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter("doc_id is not null"), wanted.select("id"))
     sent = wanted.join(read, F.col("id") == F.col("doc_id")).select("root", "id", "node", "lang", "text", F.pmod(F.xxhash64("root"), F.lit(max(1, calls))).cast("int").alias("call"))
 
