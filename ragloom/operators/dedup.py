@@ -27,7 +27,7 @@ from .graph import components
 
 NEAR, SAME, SIZE = 0.6, 0.98, 10
 #: Texts and shingles of a block, rows of signatures and shingles that are compared in one call, and edges of a component that one call decides.
-BLOCK, BLOCK_SHINGLES, CALL_ROWS, CALL_SHINGLES, CALL_EDGES = 1024, 1 << 20, 8192, 4 << 20, 200_000
+BLOCK, BLOCK_SHINGLES, CALL_ROWS, CALL_SHINGLES, CALL_EDGES = 1024, 1 << 20, 8192, 1 << 20, 200_000
 #: Shingles of a component that is walked in one call, and of what one call walks if components are smaller: enough calls for every core.
 WALK_SHINGLES, WALK_CALL = 16 << 20, 1 << 20
 #: Most slots of the map of ids that are looked up. A full map only costs time.
@@ -94,8 +94,9 @@ def _texts(docs: DataFrame, size: int, cut: sets.Plan | None) -> DataFrame:
 def _components(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (node, root, n) of texts that meet others on bands, directly or over others."""
     met = found.filter("spots is not null").select("node", F.explode("spots").alias("spot"))
-    shared = met.groupBy("spot").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("spot", "low")
-    joined = components(met.join(shared, "spot").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+    # bands are shuffled once, and a band's texts are read in order, never gathered
+    least = F.first("node").over(Window.partitionBy("spot").orderBy("node"))
+    joined = components(met.select("node", least.alias("low")).filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
     return checkpointed(joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n"), "node"))
 
 
