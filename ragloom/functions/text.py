@@ -12,8 +12,8 @@ SPACE = "\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2
 
 
 def strip(text: Column) -> Column:
-    """Text without white space at its ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    """Text without white space at its ends. It is read once: a search for white space up to the end begins anew at every character."""
+    return F.regexp_extract(text, f"(?s)^[{SPACE}]*+(.*[^{SPACE}])", 1)
 
 
 def count_chars(text: Column) -> Column:
@@ -36,7 +36,7 @@ def language_of(text: Column, least: float = 0.3) -> Column:
 
 def normalise(text: Column) -> Column:
     """K1: plain spaces for no-break and ideographic ones and tabs, no control characters, '- ' for quote marks that start a line."""
-    spaced = F.translate(text, " 　\t", "   ")
+    spaced = F.regexp_replace(text, "[\\t\\xA0\\u3000]", " ")
     clean = F.regexp_replace(spaced, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
     return F.regexp_replace(clean, f"(?m)(?d)^[{SPACE}]*[»›][{SPACE}]*", "- ")
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, normalise, settled, stretches, strip
+from ..functions.text import SPACE, bound, normalise, settled, stretches, strip
 
 #: Fixed shapes of headings, bullets and sentence ends of Korean public documents and journals.
 HEADING = "^(#{1,6} |[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+\\.\\s|\\d{1,2}\\.\\s|[가-하]\\.\\s|\\d{1,2}\\)\\s|[①-⑳]\\s?|제\\s?\\d+\\s?[장절]\\s)"
 BULLET = "^([•·▪■□○●◦※\\-–»]|\\d{1,2}[.)]\\s|[가-하][.)]\\s|[①-⑳])"
-SENTENCE_END = "[.!?。」』:;]$"
+SENTENCE_END = ".!?。」』:;"
 #: Shorter lines are cells or titles, not wrapped ones; longer headings are text.
 WRAP_LEAST, HEADING_MOST = 20, 40
 EDGE_LINES, EDGE_SHARE, EDGE_LEAST = 3, 0.25, 3
@@ -55,16 +55,22 @@ def page_offset(pages: DataFrame) -> DataFrame:
 
 
 def kept_lines(text: Column, edges: Column) -> Column:
-    """K4: lines of a normalised text without edges, bare numbers in the first or last three lines, and bare URLs."""
-    lines = lines_of(text)
-    n = F.size(lines)
+    """K4: lines of a normalised text without edges, bare numbers in the first or last three lines, and bare URLs.
 
-    def keep(line: Column, i: Column) -> Column:
-        s = strip(line)
-        number = s.rlike("^[0-9]{1,4}\\z") & ((i < EDGE_LINES) | (i >= n - EDGE_LINES))
-        return ~(F.array_contains(edges, s) | number | s.rlike("^(https?://|www\\.)\\S+\\z"))
+    Patterns allow for white space at a line's ends, so that only texts with edges have their lines stripped.
+    """
+
+    def kept(x: Column) -> Column:
+        lines, n = x["lines"], F.size(x["lines"])
+
+        def keep(line: Column, i: Column) -> Column:
+            edge = (F.size(edges) > 0) & F.array_contains(edges, strip(line))
+            number = line.rlike(f"^[{SPACE}]*+[0-9]{{1,4}}[{SPACE}]*+\\z") & ((i < EDGE_LINES) | (i >= n - EDGE_LINES))
+            return ~(edge | number | line.rlike(f"^[{SPACE}]*+(https?://|www\\.)\\S*[^{SPACE}][{SPACE}]*+\\z"))
+
+        return F.filter(lines, keep)
 
-    return F.filter(lines, keep)
+    return bound(F.struct(lines_of(text).alias("lines")), kept)
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -89,9 +95,9 @@ def with_paragraphs(df: DataFrame, lines: str, out: str = "paragraphs") -> DataF
     def piece(pair: Column) -> Column:
         before, x = pair["b"], pair["x"]
         prev, cur = before["s"], x["s"]
-        # Java's $ also stops before a last line end, but stripped lines have none
-        starts = (x["i"] - before["i"] > 1) | (prev.rlike(HEADING) & (F.length(prev) <= HEADING_MOST)) | cur.rlike(BULLET) | cur.rlike(HEADING) | prev.rlike(SENTENCE_END)
-        split_word = ~before["raw"].endswith(" ") & (F.length(prev) >= WRAP_LEAST) & prev.rlike("[가-힣]$") & cur.rlike("^[가-힣]")
+        last = F.substring(prev, -1, 1)
+        starts = (x["i"] - before["i"] > 1) | (prev.rlike(HEADING) & (F.length(prev) <= HEADING_MOST)) | cur.rlike(BULLET) | cur.rlike(HEADING) | F.contains(F.lit(SENTENCE_END), last)
+        split_word = ~before["raw"].endswith(" ") & (F.length(prev) >= WRAP_LEAST) & last.between("가", "힣") & cur.rlike("^[가-힣]")
         return F.concat(F.when(before.isNull(), "").when(starts, MARK).when(split_word, "").otherwise(" "), cur)
 
     joined = seen.withColumn("k_text", settled(F.array_join(F.transform("k_pairs", piece), "")))
