@@ -108,8 +108,8 @@ def without_noise(text: Column, edges: Column, least_edge: int = 10, least_lette
     """K6: a recognised page without lines that contain a long edge or have at most two letters or digits."""
 
     def keep(line: Column) -> Column:
-        letters = F.length(F.regexp_replace(line, "[^가-힣A-Za-z0-9]+", ""))
-        return (letters >= least_letters) & ~F.exists(edges, lambda e: (F.length(e) >= least_edge) & F.contains(line, e))
+        letters = line.rlike(f"^[^가-힣A-Za-z0-9]*+([가-힣A-Za-z0-9][^가-힣A-Za-z0-9]*+){{{least_letters}}}")
+        return letters & ~F.exists(edges, lambda e: (F.length(e) >= least_edge) & F.contains(line, e))
 
     return F.array_join(F.filter(lines_of(text), keep), "\n")
 
