@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import settled
 from ..operators import building, models, textclean
 from ..sources import tables
+from ..sources.sinks import checkpointed
 from .catalog import FORMAT
 from .chunking import _SPACE, SKIP, TAGS, _edges, _normalise, _paragraphs_sql, _strip, _windows
 from .chunking import _HEAD as _HEADING
@@ -47,6 +48,7 @@ def parse_units(spark, d):
 def chunk_build(spark, d):
     """K12 over pages, K13: the chunks of two strategies with places, flags and tags."""
     docs, units = _units(spark, d)
+    units = checkpointed(units)  # both strategies read them
     both = building.build_chunks(docs, units, "section_ctx", DISEASES, TAGS).unionByName(building.build_chunks(docs, units, "fixed_ctx", DISEASES, TAGS))
     joined = [F.array_join(c, ",").alias(c) for c in ("pages", "diseases", "groups")]
     return both.select("strategy", "chunk_id", F.col("page").cast("long").alias("page"), F.col("page_end").cast("long").alias("page_end"), "label", "section", "ocr", *joined, F.md5(F.col("text").cast("binary")).alias("h"))
